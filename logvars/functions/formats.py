@@ -25,7 +25,7 @@ def count_slots(fmt: Column) -> Column:
 
 def captures(value: Column, regex: Column, slots: Column) -> Column:
     """Text in each slot; empty array for a format without slots."""
-    found = F.transform(F.sequence(F.lit(1), slots), lambda i: F.regexp_extract(value, regex, i))
+    found = F.transform(F.sequence(F.lit(1), slots), lambda i: F.call_function("regexp_extract", value, regex, i))
     return F.when(slots > 0, found).otherwise(F.array().cast("array<string>"))
 
 

@@ -34,15 +34,18 @@ def extract_parameters(lines: DataFrame, realign: bool = True) -> DataFrame:
         .withColumn("_base", tpl.recut(F.col("EventTemplate")))
         .withColumn("_c", tpl.tokens(F.col("Content")))
         .withColumn("_t", tpl.tokens(F.col("_base")))
+        .withColumn("_same", F.size("_c") == F.size("_t"))
     )
-    same = F.size("_c") == F.size("_t")
+    same = F.col("_same")
     if not realign:
         fitted = cut.where(same).withColumn("NewTemplate", F.col("_base"))
     else:
         fitted = cut.withColumn(
             "_t", F.when(same, F.col("_t")).otherwise(tpl.align(F.col("_c"), tpl.anchors(F.col("_t"))))
         ).withColumn("NewTemplate", F.when(same, F.col("_base")).otherwise(F.array_join("_t", " ")))
-    return fitted.withColumn("ParameterList", tpl.tokens_at_holes(F.col("_c"), F.col("_t"))).drop("_base", "_c", "_t")
+    return fitted.withColumn("ParameterList", tpl.tokens_at_holes(F.col("_c"), F.col("_t"))).drop(
+        "_base", "_c", "_t", "_same"
+    )
 
 
 def unaligned_lines(lines: DataFrame) -> DataFrame:

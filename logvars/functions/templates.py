@@ -75,6 +75,31 @@ def tokens_at_holes(content_tokens: Column, template_tokens: Column) -> Column:
     return F.filter(content_tokens, lambda tok, i: F.get(template_tokens, i) == HOLE)
 
 
+def fit_line(content: Column, template: Column) -> Column:
+    """struct(NewTemplate, ParameterList, same): a line's tokens at the holes of its template.
+
+    One nested expression, so that each token list is made once per line; as separate
+    columns the optimizer would put their expressions into the lambdas that use them.
+    """
+
+    def fitted(base: Column, have: Column, want: Column) -> Column:
+        same = F.size(have) == F.size(want)
+        chosen = F.when(same, want).otherwise(align(have, anchors(want)))
+        return _bind(
+            chosen,
+            lambda used: F.struct(
+                F.when(same, base).otherwise(F.array_join(used, " ")).alias("NewTemplate"),
+                tokens_at_holes(have, used).alias("ParameterList"),
+                same.alias("same"),
+            ),
+        )
+
+    return _bind(
+        recut(template),
+        lambda base: _bind(tokens(content), lambda have: _bind(tokens(base), lambda want: fitted(base, have, want))),
+    )
+
+
 def replace_nth_hole(template: Column, token: Column, n: Column) -> Column:
     """Put ``token`` into the n-th hole (1-based); other holes stay."""
     pieces = F.split(template, r"<\*>", -1)

@@ -105,10 +105,13 @@ def _tests(value: Column, markers: Sequence[str]) -> dict[str, Column]:
 
 def variable_facts(values: DataFrame, marks: DataFrame, markers: Sequence[str] = (), keep_equals: bool = False) -> DataFrame:
     """One row per variable: chosen affix, token format and value type (dot suffixes still whole)."""
-    stripped = strip_marks(values, marks)
     bare, first = F.col("bare"), F.col("first_bare")
+    cuts = affixes(bare, keep_equals)
+    # Cut values and prefixes become columns, so that no test repeats the cutting.
+    stripped = strip_marks(values, marks).select("*", *[cut.alias(f"_{kind}") for kind, cut in cuts.items()])
     aggs = [F.every(p.is_number(F.col("value"), markers)).alias("raw_number"), F.some("lossy").alias("strip_lossy")]
-    for kind, cut in affixes(bare, keep_equals).items():
+    for kind in cuts:
+        cut = F.col(f"_{kind}")
         if kind != "none":
             applies = F.coalesce(affix_prefix(bare, kind) == affix_prefix(first, kind), F.lit(False))
             aggs.append(F.every(applies).alias(f"all_{kind}"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import templates as tpl
@@ -28,31 +28,21 @@ def extract_parameters(lines: DataFrame, realign: bool = True) -> DataFrame:
     independent of line order.  With ``realign=False`` such lines are left out (see
     :func:`unaligned_lines`).  A projection only: no join, no shuffle.
     """
-    cut = (
-        lines.drop("ParameterList")
-        .where(tpl.is_dynamic(F.col("EventTemplate")))
-        .withColumn("_base", tpl.recut(F.col("EventTemplate")))
-        .withColumn("_c", tpl.tokens(F.col("Content")))
-        .withColumn("_t", tpl.tokens(F.col("_base")))
-        .withColumn("_same", F.size("_c") == F.size("_t"))
-    )
-    same = F.col("_same")
+    dynamic = lines.drop("ParameterList").where(tpl.is_dynamic(F.col("EventTemplate")))
     if not realign:
-        fitted = cut.where(same).withColumn("NewTemplate", F.col("_base"))
-    else:
-        fitted = cut.withColumn(
-            "_t", F.when(same, F.col("_t")).otherwise(tpl.align(F.col("_c"), tpl.anchors(F.col("_t"))))
-        ).withColumn("NewTemplate", F.when(same, F.col("_base")).otherwise(F.array_join("_t", " ")))
-    return fitted.withColumn("ParameterList", tpl.tokens_at_holes(F.col("_c"), F.col("_t"))).drop(
-        "_base", "_c", "_t", "_same"
-    )
+        dynamic = dynamic.where(n_tokens("Content") == n_tokens("EventTemplate"))
+    fitted = dynamic.withColumn("_fit", tpl.fit_line(F.col("Content"), F.col("EventTemplate")))
+    return fitted.select(*dynamic.columns, "_fit.NewTemplate", "_fit.ParameterList")
 
 
 def unaligned_lines(lines: DataFrame) -> DataFrame:
     """Lines whose token count differs from their re-cut template."""
-    n_content = F.size(tpl.tokens(F.col("Content")))
-    n_template = F.size(tpl.tokens(F.col("EventTemplate")))
-    return lines.where(tpl.is_dynamic(F.col("EventTemplate")) & (n_content != n_template))
+    return lines.where(tpl.is_dynamic(F.col("EventTemplate")) & (n_tokens("Content") != n_tokens("EventTemplate")))
+
+
+def n_tokens(column: str) -> Column:
+    """Token count without making the tokens; re-cutting a template does not change it."""
+    return F.length(column) - F.length(F.replace(F.col(column), F.lit(" "), F.lit(""))) + 1
 
 
 def lines_without_template(lines: DataFrame, templates: DataFrame) -> DataFrame:
@@ -62,4 +52,7 @@ def lines_without_template(lines: DataFrame, templates: DataFrame) -> DataFrame:
 
 def explode_parameters(extracted: DataFrame, *keep: str) -> DataFrame:
     """One row per line and hole: (keep…, NewTemplate, pos, value)."""
-    return extracted.select(*keep, "NewTemplate", F.posexplode("ParameterList").alias("pos", "value"))
+    # The outer form keeps the optimizer from testing the list for emptiness below the
+    # extraction, which would run the extraction twice.
+    rows = extracted.select(*keep, "NewTemplate", F.posexplode_outer("ParameterList").alias("pos", "value"))
+    return rows.where("pos is not null")

@@ -70,13 +70,8 @@ def _whole(value: Column) -> Column:
     )
 
 
-def propose_formats(values: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add Format and Parts to (keys…, value).
-
-    Addresses, paths and package names are one slot; texts joined by ``@ : = $ #`` one
-    slot per part; the rest is cut at ``_`` and ``-``, where a segment keeps the letters
-    all values agree on and digits become slots.
-    """
+def with_shape(values: DataFrame) -> DataFrame:
+    """Add _kind and, for values cut at ``_`` and ``-``, _shape (their delimiters)."""
     value = F.col("value")
     kind = (
         F.when(value.rlike(p.HOST_PORT), "joined")
@@ -84,55 +79,60 @@ def propose_formats(values: DataFrame, keys: Sequence[str]) -> DataFrame:
         .when(value.rlike(JOINED), "joined")
         .otherwise("parts")
     )
-    shaped = values.withColumn("_kind", kind).withColumn(
-        "_shape", F.when(F.col("_kind") == "parts", F.regexp_replace("value", DELIMITERS, ""))
-    )
+    return values.withColumn("_kind", kind).withColumn("_shape", F.regexp_replace("value", DELIMITERS, ""))
+
+
+def propose_formats(shaped: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys…, value, Format, Parts) from the written output of :func:`with_shape`.
+
+    Addresses, paths and package names are one slot; texts joined by ``@ : = $ #`` one
+    slot per part; the rest is cut at ``_`` and ``-``, where a segment keeps the letters
+    all values agree on and digits become slots.
+    """
+    value = F.col("value")
     parts = shaped.where("_kind = 'parts'")
     group = [*keys, "_shape"]
     # Any member may serve as the model the others are compared with; the smallest hash
     # picks one without sorting strings.
-    picked = parts.groupBy(*group).agg(F.min(F.xxhash64("value")).alias("_x"))
-    picked = stage(picked, "models")
+    picked = stage(parts.groupBy(*group).agg(F.min(F.xxhash64("value")).alias("_x")), "picked")
     models = parts.withColumn("_x", F.xxhash64("value")).join(picked, [*group, "_x"])
     models = stage(models.groupBy(*group).agg(F.min("value").alias("_model")), "models")
 
     def segments(text: Column) -> Column:
-        return F.split(F.regexp_replace(text, DIGITS, fm.SLOT), "[_-]", -1)
+        return F.split(text, "[_-]", -1)
 
-    pairs = parts.join(models, group).select(
-        *group, F.posexplode(F.arrays_zip(segments(value).alias("s"), segments(F.col("_model")).alias("m"))).alias("_i", "_z")
-    )
+    def pattern(text: Column) -> Column:
+        return F.regexp_replace(text, DIGITS, fm.SLOT)
+
+    zipped = F.arrays_zip(segments(pattern(value)).alias("s"), segments(pattern(F.col("_model"))).alias("m"))
+    pairs = parts.join(models, group).select(*group, F.posexplode_outer(zipped).alias("_i", "_z"))
     agreed = pairs.groupBy(*group, "_i").agg(F.every(F.col("_z.s") == F.col("_z.m")).alias("_same"))
-    built = agreed.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_i", "_same"))).alias("_flags")).join(models, group)
+    flags = agreed.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_i", "_same"))).alias("_flags"))
     pieces = F.zip_with(
-        segments(F.col("_model")), "_flags", lambda text, flag: F.when(flag["_same"], text).otherwise(fm.SLOT)
+        segments(pattern(F.col("_model"))), "_same", lambda text, same: F.when(same, text).otherwise(fm.SLOT)
     )
     marks = F.filter(F.split("_shape", ""), lambda mark: mark != "")
     text = F.array_join(
         F.zip_with(pieces, marks, lambda piece, mark: F.concat(piece, F.coalesce(mark, F.lit("")))), ""
     )
     built = stage(
-        built.select(*group, text.alias("_format"))
-        .withColumn("_regex", fm.to_regex(F.col("_format")))
-        .withColumn("_slots", fm.count_slots(F.col("_format"))),
+        flags.withColumn("_same", F.col("_flags._same")).join(models, group).select(*group, "_same", text.alias("Format")),
         "formats",
     )
-    joined = shaped.where("_kind <> 'parts'")
-    direct = joined.select(
-        *values.columns,
-        F.when(F.col("_kind") == "whole", fm.SLOT)
-        .otherwise(F.regexp_replace("value", ENTITY, fm.SLOT))
-        .alias("Format"),
-        F.when(F.col("_kind") == "whole", F.array("value"))
-        .otherwise(F.regexp_extract_all("value", F.lit(ENTITY), F.lit(0)))
-        .alias("Parts"),
+    columns = [c for c in shaped.columns if not c.startswith("_")]
+    # All letters and delimiters of a value are literals of its format, unless its segment is
+    # one whole slot; so a format has just one match, and the parts can be cut out directly.
+    inner = F.zip_with(
+        segments(value),
+        "_same",
+        lambda text, same: F.when(same, F.regexp_extract_all(text, F.lit(DIGITS), F.lit(0))).otherwise(F.array(text)),
     )
-    fitted = parts.join(built, group)
-    found = F.regexp_like(value, F.col("_regex"))
-    by_shape = fitted.select(
-        *values.columns,
-        F.when(found, F.col("_format")).otherwise(fm.SLOT).alias("Format"),
-        F.when(found, fm.captures(value, F.col("_regex"), F.col("_slots"))).otherwise(F.array("value")).alias("Parts"),
+    by_shape = parts.join(built, group).select(*columns, "Format", F.flatten(inner).alias("Parts"))
+    whole = F.col("_kind") == "whole"
+    direct = shaped.where("_kind <> 'parts'").select(
+        *columns,
+        F.when(whole, fm.SLOT).otherwise(F.regexp_replace("value", ENTITY, fm.SLOT)).alias("Format"),
+        F.when(whole, F.array("value")).otherwise(F.regexp_extract_all("value", F.lit(ENTITY), F.lit(0))).alias("Parts"),
     )
     return direct.unionByName(by_shape)
 
@@ -147,13 +147,14 @@ def group_formats(
     ``proposer`` may replace the rules: it gets (GroupID, value) and returns
     (GroupID, Format); its formats are then tried in order, specific ones first.
     """
-    merged = merged_values(values.join(open_groups(values), "GroupID")).drop("first_line")
+    merged = merged_values(values.join(stage(open_groups(values), "open"), "GroupID")).drop("first_line")
     if proposer is not None:
         return collapse_entities(cover_all(match_formats(merged, proposer(merged), "GroupID"))).drop("matched")
-    placed = stage(prefix_buckets(merged, prefixes), "merged")
+    placed = prefix_buckets(stage(with_shape(merged), "shaped"), prefixes)
     proposed = propose_formats(placed.where("used"), ["GroupID", "bucket"])
     alone = placed.where("not used").withColumn("Format", F.lit(fm.SLOT)).withColumn("Parts", F.array("value"))
-    return collapse_entities(proposed.unionByName(alone)).drop("bucket", "used")
+    found = proposed.unionByName(alone.select(*proposed.columns))
+    return collapse_entities(found).drop("bucket", "used")
 
 
 def format_rows(variables: DataFrame, values: DataFrame, formats: DataFrame) -> DataFrame:

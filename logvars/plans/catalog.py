@@ -138,15 +138,14 @@ def align_params(spark, sf):
 @query(sql("""
 select LineId, NewTemplate, array_to_string(list_filter(string_split(Content, ' '), lambda x, i: f[i] = '<*>'), '|') as params
 from (select LineId, Content, s as NewTemplate, string_split(s, ' ') as f from (
-  select unnest(ids) as LineId, unnest(contents) as Content, unnest(states) as s from (
+  select unnest(ids) as LineId, unnest(contents) as Content, unnest(list_append(r.done[2:], r.cur)) as s from (
     select ids, contents, list_reduce(contents, lambda st, c: struct_pack(
         cur := case when len(string_split(c, ' ')) = len(string_split(st.cur, ' ')) then st.cur else array_to_string(list_reduce(string_split(c, ' '),
           lambda s, x: struct_pack(
             k := case when x = list_filter(string_split(st.cur, ' '), lambda w: w <> '<*>')[s.k + 1] then s.k + 1 else s.k end,
             o := list_append(s.o, case when x = list_filter(string_split(st.cur, ' '), lambda w: w <> '<*>')[s.k + 1] then x when x = '' then '' else '<*>' end)),
           {'k': 0, 'o': []::varchar[]}).o, ' ') end,
-        done := list_append(st.done, st.cur)), {'cur': base, 'done': []::varchar[]}) as r,
-      list_append(r.done[2:], r.cur) as states
+        done := list_append(st.done, st.cur)), {'cur': base, 'done': []::varchar[]}) as r
     from (select list(LineId order by LineId) as ids, list(Content order by LineId) as contents,
         array_to_string(list_transform(string_split(EventTemplate, ' '), lambda x: case when contains(x, '<*>') then '<*>' else x end), ' ') as base
       from parsed_logs group by EventTemplate having bool_or(len(string_split(Content, ' ')) <> len(string_split(EventTemplate, ' '))))))

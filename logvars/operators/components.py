@@ -15,27 +15,22 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     and replaces the edges by the distinct edges between the nodes that remain, so the
     edge table shrinks from round to round.  Each round is written, which cuts lineage.
     """
-    labels = nodes.select("id", F.col("id").alias("component"))
     links = stage(
         edges.where("src <> dst")
         .select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
         .distinct(),
         "edges",
     )
+    moves = []
     while not links.isEmpty():
         both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        parent = both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("parent"))
-        parent = parent.select("id", F.least("id", "parent").alias("parent"))
-        jump = stage(parent, "parents")
+        nearest = both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("near"))
+        jump = stage(nearest.select("id", F.least("id", "near").alias("parent")), "parents")
         for _ in range(2):
             up = jump.select(F.col("id").alias("parent"), F.col("parent").alias("grand"))
             jump = jump.join(up, "parent").select("id", F.col("grand").alias("parent"))
         jump = stage(jump, "parents")
-        moved = jump.select(F.col("id").alias("component"), "parent")
-        labels = stage(
-            labels.join(moved, "component", "left").select("id", F.coalesce("parent", "component").alias("component")),
-            "labels",
-        )
+        moves.append(jump.select(F.col("id").alias("component"), "parent"))
         to_src = jump.select(F.col("id").alias("src"), F.col("parent").alias("a"))
         to_dst = jump.select(F.col("id").alias("dst"), F.col("parent").alias("b"))
         links = stage(
@@ -45,4 +40,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             .distinct(),
             "edges",
         )
+    labels = nodes.select("id", F.col("id").alias("component"))
+    for move in moves:
+        labels = labels.join(move, "component", "left").select("id", F.coalesce("parent", "component").alias("component"))
     return labels

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.templates import is_dynamic, replace_nth_hole
 from .ranking import hash_key, prefix_rows
+from .staging import stage
 from .variables import first_lines
 
 SEED = "19970411"
@@ -56,7 +57,7 @@ def mark_share(rows: DataFrame, key: str, ratio: float = 0.2, seed: str = SEED)
 def format_label_sheet(extracted: DataFrame, formats: DataFrame) -> DataFrame:
     """One row per variable and format with its first value put into the template."""
     keys = ["DynamicID", "ComponentFormat"]
-    first = formats.groupBy(*keys).agg(F.min("FirstLine").alias("FirstLine"))
+    first = stage(formats.groupBy(*keys).agg(F.min("FirstLine").alias("FirstLine")), "firsts")
     example = formats.join(first, [*keys, "FirstLine"])
     original = first_lines(extracted).select(F.col("NewTemplate").alias("Template"), F.col("EventTemplate").alias("OldTemplate"))
     content = replace_nth_hole(F.col("Template"), F.col("Token"), F.col("ParameterIndex") + 1)

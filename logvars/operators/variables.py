@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import templates as tpl
 from .extract import explode_parameters
 from .ranking import hash_key, prefix_rows
+from .staging import stage
 
 VARIABLE = ["NewTemplate", "pos"]
 
@@ -40,7 +41,7 @@ def first_lines(extracted: DataFrame) -> DataFrame:
     Two narrow passes (a minimum per template, then a join on it) instead of sorting
     all lines for an ordered aggregate.
     """
-    firsts = extracted.groupBy("NewTemplate").agg(F.min("LineId").alias("LineId"))
+    firsts = stage(extracted.groupBy("NewTemplate").agg(F.min("LineId").alias("LineId")), "firsts")
     return extracted.select("NewTemplate", "LineId", "EventTemplate", "Content").join(
         firsts, ["NewTemplate", "LineId"]
     )

@@ -14,12 +14,12 @@ from ..functions import templates as tpl
 from ..operators import analysis, classify, compare, drift, extract, groups, induce, labels, match, numbering, sampling, variables
 from ..operators.staging import stage
 from . import fixtures as fx
-from .check_sql import GROUP_PROPOSAL, VARIABLE_PROPOSAL, captures, number, sql
+from .check_sql import GROUP_PROPOSAL, VARIABLE_PROPOSAL, format_regex, number, sql
 from .workflow import SPECIAL_MARKERS, SPLIT_PREFIXES, run
 
 MARKERS = SPECIAL_MARKERS["BGL"]
 PREFIXES = SPLIT_PREFIXES["Spark"]
-MEMORY_TEMPLATE = "<*> <*> in memory on <*> <*> <*> free: <*> <*>"
+MEMORY_TEMPLATE = "<*> <*> in memory on <*> (size: <*> <*> free: <*> <*>"
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,7 +48,8 @@ def _values(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _templates(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.parsed_logs(spark, sf).groupBy("EventId", "EventTemplate").agg(F.count(F.lit(1)).alias("Occurrences"))
+    found = fx.parsed_logs(spark, sf).groupBy("EventId", "EventTemplate").agg(F.count(F.lit(1)).alias("Occurrences"))
+    return stage(found, "templates")
 
 
 def _classified(spark: SparkSession, sf: str) -> classify.Classified:
@@ -148,9 +149,9 @@ from (select LineId, Content, s as NewTemplate, string_split(s, ' ') as f from (
         done := list_append(st.done, st.cur)), {'cur': base, 'done': []::varchar[]}) as r
     from (select list(LineId order by LineId) as ids, list(Content order by LineId) as contents,
         array_to_string(list_transform(string_split(EventTemplate, ' '), lambda x: case when contains(x, '<*>') then '<*>' else x end), ' ') as base
-      from parsed_logs group by EventTemplate having bool_or(len(string_split(Content, ' ')) <> len(string_split(EventTemplate, ' '))))))
+      from parsed_logs group by EventTemplate having bool_or(len(string_split(Content, ' ')) <> len(string_split(EventTemplate, ' ')))))
   union all select LineId, Content, NewTemplate from ext where EventTemplate not in (
-    select EventTemplate from parsed_logs where len(string_split(Content, ' ')) <> len(string_split(EventTemplate, ' '))))"""))
+    select EventTemplate from parsed_logs where len(string_split(Content, ' ')) <> len(string_split(EventTemplate, ' ')))))"""))
 def drift_templates(spark, sf):
     found = drift.extract_with_drift(fx.parsed_logs(spark, sf))
     return found.select("LineId", "NewTemplate", _text("ParameterList").alias("params"))
@@ -329,7 +330,7 @@ select NewTemplate, cast(pos as bigint) as pos, value from (
   window w as (partition by NewTemplate, pos order by length(value), first_line, value rows unbounded preceding))
 where cum <= 30000 or r <= 5"""))
 def token_budget(spark, sf):
-    kept = sampling.token_budget_sample(_values(spark, sf), variables.VARIABLE)
+    kept = sampling.token_budget_sample(stage(_values(spark, sf), "values"), variables.VARIABLE)
     return kept.select("NewTemplate", F.col("pos").cast("long"), "value")
 
 
@@ -339,17 +340,14 @@ select NewTemplate, cast(pos as bigint) as pos, value from (
     count(*) over (partition by NewTemplate, pos) as n from vals)
 where r <= greatest(5, floor(n * 0.25::double))"""))
 def uniform_values(spark, sf):
-    kept = sampling.uniform_sample(_values(spark, sf), variables.VARIABLE, 0.25)
+    kept = sampling.uniform_sample(stage(_values(spark, sf), "values"), variables.VARIABLE, 0.25)
     return kept.select("NewTemplate", F.col("pos").cast("long"), "value")
 
 
 # ---- given formats ------------------------------------------------------------------
 
-_RX = captures("", "%s").replace("%s", "{0}")
-
-
 def _rx(fmt: str) -> str:
-    return "(" + captures("", fmt) + ")"
+    return "(" + format_regex(fmt) + ")"
 
 
 _ORDERED = f"""ordered as (
@@ -518,9 +516,6 @@ def variable_formats(spark, sf):
 
 # ---- analysis-ready records ---------------------------------------------------------
 
-_KNOWN_TEMPLATES = "substring(md5(Template), 1, 1) < '8'"
-
-
 @query(sql(f"""
 select p.NewTemplate, cast(p.pos as bigint) as pos, count(*) as n_lines from params p
 where not exists (select 1 from variables v where v.NewTemplate = p.NewTemplate and v.pos = p.pos and v.ValueType <> 'Undecided')
@@ -567,7 +562,8 @@ def unit_scaled(spark, sf):
 
 
 @query(sql(f"""
-select split_part(h.value, ':', 1) as host, count(*) as n_lines, sum(cast(m.num as decimal(20,4))) as total_kb, max(cast(m.num as decimal(20,4))) as max_kb
+select split_part(h.value, ':', 1) as host, count(*) as n_lines,
+  cast(sum(cast(m.num as decimal(20,4))) as double) as total_kb, cast(max(cast(m.num as decimal(20,4))) as double) as max_kb
 from (select * from {_RECORDS} where pos = 2 and NewTemplate = '{MEMORY_TEMPLATE}') h
 join (select LineId, {_NUM} as num from {_RECORDS} where pos = 5) m on h.LineId = m.LineId group by 1""", extra=GROUP_PROPOSAL))
 def free_memory_by_host(spark, sf):

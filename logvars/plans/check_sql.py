@@ -154,10 +154,9 @@ from shaped s left join shape_formats f on kind = 'parts' and s.shape = f.shape
     }
 
 
-# Captures of a format, re-assembled as 'a|b': the literals between slots are taken out one by one.
-def captures(value: str, fmt: str) -> str:
-    rx = rf"'^' || replace(regexp_replace({fmt}, '([^A-Za-z0-9_ <>])', '\\\1', 'g'), '<D>', '(.*)') || '$'"
-    return rx
+def format_regex(fmt: str) -> str:
+    """SQL text of the anchored pattern of a format column."""
+    return rf"'^' || replace(regexp_replace({fmt}, '([^A-Za-z0-9_ <>])', '\\\1', 'g'), '<D>', '(.*)') || '$'"
 
 
 def sql(body: str, *tables: str, extra: dict[str, str] | None = None) -> str:

@@ -35,7 +35,7 @@ def anchors(template_tokens: Column) -> Column:
     return F.filter(template_tokens, lambda tok: tok != HOLE)
 
 
-def _bind(value: Column, body) -> Column:
+def bind(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, also when used inside a lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -68,7 +68,7 @@ def align(content_tokens: Column, anchor_tokens: Column) -> Column:
 
         return F.aggregate(content_tokens, start, step, lambda state: state["hits"])
 
-    return _bind(_bind(anchor_tokens, fold), rebuild)
+    return bind(bind(anchor_tokens, fold), rebuild)
 
 
 def tokens_at_holes(content_tokens: Column, template_tokens: Column) -> Column:
@@ -85,7 +85,7 @@ def fit_line(content: Column, template: Column) -> Column:
     def fitted(base: Column, have: Column, want: Column) -> Column:
         same = F.size(have) == F.size(want)
         chosen = F.when(same, want).otherwise(align(have, anchors(want)))
-        return _bind(
+        return bind(
             chosen,
             lambda used: F.struct(
                 F.when(same, base).otherwise(F.array_join(used, " ")).alias("NewTemplate"),
@@ -94,9 +94,9 @@ def fit_line(content: Column, template: Column) -> Column:
             ),
         )
 
-    return _bind(
+    return bind(
         recut(template),
-        lambda base: _bind(tokens(content), lambda have: _bind(tokens(base), lambda want: fitted(base, have, want))),
+        lambda base: bind(tokens(content), lambda have: bind(tokens(base), lambda want: fitted(base, have, want))),
     )
 
 

@@ -23,6 +23,7 @@ from .variables import VARIABLE
 class Classified(NamedTuple):
     variables: DataFrame  # one row per DynamicID
     values: DataFrame  # DynamicID, token, value, first_line
+    facts: DataFrame  # one row per template and hole: how to cut and type its tokens
 
 
 TESTS = ["dot", "number", "unit", "host", "path", "macro"]
@@ -154,18 +155,29 @@ def variable_facts(values: DataFrame, marks: DataFrame, markers: Sequence[str] =
     )
 
 
+def cut_token(token: Column, begin: Column, end: Column, affix: Column, keep_equals: bool = False) -> Column:
+    """Value of a token after cutting the marks and the affix of its variable."""
+    cut = token
+    for kind, value in affixes(p.cut(token, begin, end), keep_equals).items():
+        cut = F.when(affix == kind, value).otherwise(cut)
+    return cut
+
+
+def component_and_value(cut: Column, is_dot: Column, component: Column) -> tuple[Column, Column]:
+    return (
+        F.when(is_dot, p.dot_suffix_format(cut)).otherwise(component),
+        F.when(is_dot, F.regexp_extract(cut, p.DOT_SUFFIX, 3)).otherwise(cut),
+    )
+
+
 def normalised_values(values: DataFrame, facts: DataFrame, keep_equals: bool = False) -> DataFrame:
     """Long rows (…facts, token, value, ComponentFormat, first_line) with affixes and marks cut off."""
     joined = values.withColumnRenamed("value", "token").join(facts, VARIABLE)
-    bare = p.cut(F.col("token"), F.col("begin"), F.col("end"))
-    cut = F.col("token")
-    for kind, value in affixes(bare, keep_equals).items():
-        cut = F.when(F.col("affix") == kind, value).otherwise(cut)
-    rows = joined.withColumn("_v", cut)
-    return rows.select(
+    cut = cut_token(F.col("token"), F.col("begin"), F.col("end"), F.col("affix"), keep_equals)
+    component, value = component_and_value(F.col("_v"), F.col("is_dot"), F.col("component"))
+    return joined.withColumn("_v", cut).select(
         *VARIABLE, "template_line", "TokenFormat", "ValueType", "strip_lossy", "token", "first_line",
-        F.when(F.col("is_dot"), p.dot_suffix_format(F.col("_v"))).otherwise(F.col("component")).alias("ComponentFormat"),
-        F.when(F.col("is_dot"), F.regexp_extract("_v", p.DOT_SUFFIX, 3)).otherwise(F.col("_v")).alias("value"),
+        component.alias("ComponentFormat"), value.alias("value"),
     )
 
 
@@ -185,4 +197,4 @@ def classify(values: DataFrame, markers: Sequence[str] = (), keep_equals: bool =
     )
     ids = variables.select("DynamicID", *VARIABLE, "ComponentFormat")
     numbered = rows.join(ids, [*VARIABLE, "ComponentFormat"]).select("DynamicID", "ValueType", "token", "value", "first_line")
-    return Classified(variables, numbered)
+    return Classified(variables, numbered, facts)

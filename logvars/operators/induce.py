@@ -8,6 +8,7 @@ its format by one equality join on a small table instead of trying patterns.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,20 +44,28 @@ def merged_values(values: DataFrame) -> DataFrame:
     return values.groupBy("GroupID", "value").agg(F.min("first_line").alias("first_line"))
 
 
-def prefix_buckets(merged: DataFrame, prefixes: Sequence[str]) -> DataFrame:
-    """Add bucket and used: the first prefix a value starts with.
-
-    Buckets of a single value are not used; a group without any usable bucket is kept whole.
-    """
-    if not prefixes:
-        return merged.withColumn("bucket", F.lit(WHOLE_GROUP)).withColumn("used", F.lit(True))
+def bucket_of(value: Column, prefixes: Sequence[str]) -> Column:
     bucket = F.lit(OTHER_BUCKET)
     for prefix in reversed(list(prefixes)):
-        bucket = F.when(F.col("value").startswith(prefix), F.lit(prefix)).otherwise(bucket)
-    placed = merged.withColumn("bucket", bucket)
+        bucket = F.when(value.startswith(prefix), F.lit(prefix)).otherwise(bucket)
+    return bucket
+
+
+def bucket_sizes(merged: DataFrame, prefixes: Sequence[str]) -> DataFrame:
+    """(GroupID, bucket, used, split): buckets of a single value are not used, and a group
+    without any usable bucket is not split."""
+    placed = merged.select("GroupID", bucket_of(F.col("value"), prefixes).alias("bucket"))
     sizes = placed.groupBy("GroupID", "bucket").agg((F.count(F.lit(1)) >= 2).alias("used"))
     split = sizes.groupBy("GroupID").agg(F.some("used").alias("split"))
-    sizes = stage(sizes.join(split, "GroupID"), "buckets")
+    return stage(sizes.join(split, "GroupID"), "buckets")
+
+
+def prefix_buckets(merged: DataFrame, prefixes: Sequence[str], sizes: DataFrame | None = None) -> DataFrame:
+    """Add bucket and used: the first prefix a value starts with."""
+    if not prefixes:
+        return merged.withColumn("bucket", F.lit(WHOLE_GROUP)).withColumn("used", F.lit(True))
+    sizes = bucket_sizes(merged, prefixes) if sizes is None else sizes
+    placed = merged.withColumn("bucket", bucket_of(F.col("value"), prefixes))
     return placed.join(sizes, ["GroupID", "bucket"]).select(
         *merged.columns,
         F.when(F.col("split"), F.col("bucket")).otherwise(F.lit(WHOLE_GROUP)).alias("bucket"),
@@ -73,21 +82,52 @@ def _whole(value: Column) -> Column:
 def with_shape(values: DataFrame) -> DataFrame:
     """Add _kind and, for values cut at ``_`` and ``-``, _shape (their delimiters)."""
     value = F.col("value")
-    kind = (
+    return values.withColumn("_kind", kind_of(value)).withColumn("_shape", shape_of(value))
+
+
+def kind_of(value: Column) -> Column:
+    return (
         F.when(value.rlike(p.HOST_PORT), "joined")
         .when(_whole(value), "whole")
         .when(value.rlike(JOINED), "joined")
         .otherwise("parts")
     )
-    return values.withColumn("_kind", kind).withColumn("_shape", F.regexp_replace("value", DELIMITERS, ""))
 
 
-def propose_formats(shaped: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys…, value, Format, Parts) from the written output of :func:`with_shape`.
+def shape_of(value: Column) -> Column:
+    return F.regexp_replace(value, DELIMITERS, "")
 
-    Addresses, paths and package names are one slot; texts joined by ``@ : = $ #`` one
-    slot per part; the rest is cut at ``_`` and ``-``, where a segment keeps the letters
-    all values agree on and digits become slots.
+
+def segments(text: Column) -> Column:
+    return F.split(text, "[_-]", -1)
+
+
+def segment_parts(value: Column, same: Column) -> Column:
+    """Parts of a value cut at its delimiters.
+
+    All letters and delimiters of a value are literals of its format, unless its segment is
+    one whole slot; so a format has just one match, and the parts can be cut out directly.
+    """
+    inner = F.zip_with(
+        segments(value),
+        same,
+        lambda text, agreed: F.when(agreed, F.regexp_extract_all(text, F.lit(DIGITS), F.lit(0))).otherwise(F.array(text)),
+    )
+    return F.flatten(inner)
+
+
+def direct_format(value: Column, whole: Column) -> tuple[Column, Column]:
+    """Format and parts of a value that needs no comparison with others."""
+    return (
+        F.when(whole, F.lit(fm.SLOT)).otherwise(F.regexp_replace(value, ENTITY, fm.SLOT)),
+        F.when(whole, F.array(value)).otherwise(F.regexp_extract_all(value, F.lit(ENTITY), F.lit(0))),
+    )
+
+
+def shape_formats(shaped: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys…, _shape, _same, Format) from the written output of :func:`with_shape`.
+
+    ``_same`` tells for each segment whether all values agree on it up to digits.
     """
     value = F.col("value")
     parts = shaped.where("_kind = 'parts'")
@@ -98,9 +138,6 @@ def propose_formats(shaped: DataFrame, keys: Sequence[str]) -> DataFrame:
     models = parts.withColumn("_x", F.xxhash64("value")).join(picked, [*group, "_x"])
     models = stage(models.groupBy(*group).agg(F.min("value").alias("_model")), "models")
 
-    def segments(text: Column) -> Column:
-        return F.split(text, "[_-]", -1)
-
     def pattern(text: Column) -> Column:
         return F.regexp_replace(text, DIGITS, fm.SLOT)
 
@@ -115,28 +152,43 @@ def propose_formats(shaped: DataFrame, keys: Sequence[str]) -> DataFrame:
     text = F.array_join(
         F.zip_with(pieces, marks, lambda piece, mark: F.concat(piece, F.coalesce(mark, F.lit("")))), ""
     )
-    built = stage(
-        flags.withColumn("_same", F.col("_flags._same")).join(models, group).select(*group, "_same", text.alias("Format")),
-        "formats",
-    )
+    joined = flags.withColumn("_same", F.col("_flags._same")).join(models, group)
+    return stage(joined.select(*group, "_same", text.alias("Format")), "formats")
+
+
+def propose_formats(shaped: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys…, value, Format, Parts).
+
+    Addresses, paths and package names are one slot; texts joined by ``@ : = $ #`` one
+    slot per part; the rest is cut at ``_`` and ``-``, where a segment keeps the letters
+    all values agree on and digits become slots.
+    """
     columns = [c for c in shaped.columns if not c.startswith("_")]
-    # All letters and delimiters of a value are literals of its format, unless its segment is
-    # one whole slot; so a format has just one match, and the parts can be cut out directly.
-    inner = F.zip_with(
-        segments(value),
-        "_same",
-        lambda text, same: F.when(same, F.regexp_extract_all(text, F.lit(DIGITS), F.lit(0))).otherwise(F.array(text)),
-    )
-    by_shape = parts.join(built, group).select(*columns, "Format", F.flatten(inner).alias("Parts"))
-    whole = F.col("_kind") == "whole"
-    direct = shaped.where("_kind <> 'parts'").select(
-        *columns,
-        F.when(whole, fm.SLOT).otherwise(F.regexp_replace("value", ENTITY, fm.SLOT)).alias("Format"),
-        F.when(whole, F.array("value")).otherwise(F.regexp_extract_all("value", F.lit(ENTITY), F.lit(0))).alias("Parts"),
-    )
+    built = shape_formats(shaped, keys)
+    by_shape = shaped.where("_kind = 'parts'").join(built, [*keys, "_shape"])
+    by_shape = by_shape.select(*columns, "Format", segment_parts(F.col("value"), F.col("_same")).alias("Parts"))
+    fmt, parts = direct_format(F.col("value"), F.col("_kind") == "whole")
+    direct = shaped.where("_kind <> 'parts'").select(*columns, fmt.alias("Format"), parts.alias("Parts"))
     return direct.unionByName(by_shape)
 
 
+class GroupRules(NamedTuple):
+    """What must be known of each group to format its values; small tables only."""
+
+    prefixes: Sequence[str]
+    sizes: DataFrame | None
+    shapes: DataFrame
+
+
+def group_rules(values: DataFrame, prefixes: Sequence[str] = ()) -> GroupRules:
+    """Rules of the open groups of (GroupID, ValueType, value, first_line)."""
+    merged = merged_values(values.join(stage(open_groups(values), "open"), "GroupID")).drop("first_line")
+    shaped = stage(with_shape(merged), "shaped")
+    sizes = bucket_sizes(shaped, prefixes) if prefixes else None
+    placed = prefix_buckets(shaped, prefixes, sizes).where("used")
+    return GroupRules(prefixes, sizes, shape_formats(placed, ["GroupID", "bucket"]))
+
+
 def group_formats(
     values: DataFrame,
     prefixes: Sequence[str] = (),

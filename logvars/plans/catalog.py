@@ -57,7 +57,7 @@ def _classified(spark: SparkSession, sf: str) -> classify.Classified:
 
 
 def _grouped(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    table, rows = _classified(spark, sf)
+    table, rows, _ = _classified(spark, sf)
     rows = stage(rows, "rows")
     return stage(groups.attach_groups(table, groups.same_value_groups(table, rows)), "grouped"), rows
 
@@ -259,7 +259,7 @@ def affix_normal(spark, sf):
 select NewTemplate, cast(pos as bigint) as pos, ComponentFormat, value, count(*) as n_tokens from named
 where ComponentFormat like '%...%' group by NewTemplate, pos, ComponentFormat, value"""))
 def dot_suffix(spark, sf):
-    table, rows = _classified(spark, sf)
+    table, rows, _ = _classified(spark, sf)
     dotted = table.where(F.col("ComponentFormat").contains("...")).select("DynamicID", "NewTemplate", "pos", "ComponentFormat")
     found = rows.join(dotted, "DynamicID").groupBy("NewTemplate", "pos", "ComponentFormat", "value")
     return found.agg(F.count(F.lit(1)).alias("n_tokens")).withColumn("pos", F.col("pos").cast("long"))
@@ -510,7 +510,7 @@ select v.DynamicID, n.token as Token, case when v.ValueType = 'Undecided' then p
 from variables v join numbered n on v.DynamicID = n.DynamicID
 left join proposed p on v.ValueType = 'Undecided' and p.DynamicID = v.DynamicID and p.value = n.value""", extra=VARIABLE_PROPOSAL))
 def variable_formats(spark, sf):
-    table, rows = _classified(spark, sf)
+    table, rows, _ = _classified(spark, sf)
     return induce.variable_formats(table, stage(rows, "rows")).select("DynamicID", "Token", "ComponentFormat")
 
 
@@ -522,7 +522,7 @@ where not exists (select 1 from variables v where v.NewTemplate = p.NewTemplate
 group by p.NewTemplate, p.pos"""))
 def params_without_format(spark, sf):
     """Variables still undecided after typing have no format yet."""
-    table, rows = _classified(spark, sf)
+    table, rows, _ = _classified(spark, sf)
     typed = table.where("ValueType <> 'Undecided'").select(F.col("NewTemplate").alias("Template"), F.col("pos").alias("ParameterIndex"))
     found = analysis.parameters_without_format(_extracted(spark, sf), typed)
     return found.withColumn("pos", F.col("pos").cast("long"))
@@ -542,18 +542,38 @@ def _records(spark, sf):
     return analysis.analysis_ready(extracted, stage(_format_rows(spark, sf), "formats"))
 
 
-@query(sql(f"select LineId, NewTemplate, cast(pos as bigint) as pos, value, parts, format, type, {_NUM} as num from {_RECORDS}", extra=GROUP_PROPOSAL))
-def analysis_ready(spark, sf):
-    item = F.explode("params").alias("p")
-    return _records(spark, sf).select("LineId", "NewTemplate", item).select(
+def _applied(spark, sf):
+    """The same records without looking up tokens: lines meet only per-template rules."""
+    table, rows, facts = _classified(spark, sf)
+    rows = stage(rows, "rows")
+    grouped = stage(groups.attach_groups(table, groups.same_value_groups(table, rows)), "grouped")
+    rules = induce.group_rules(rows.join(grouped.select("DynamicID", "GroupID"), "DynamicID"), PREFIXES)
+    return analysis.apply_formats(_extracted(spark, sf), analysis.template_rules(facts, grouped, rules), PREFIXES)
+
+
+def _items(records):
+    return records.select("LineId", "NewTemplate", F.explode_outer("params").alias("p")).where("p is not null").select(
         "LineId", "NewTemplate", F.col("p.pos").cast("long").alias("pos"), "p.value", _text("p.parts").alias("parts"),
         "p.format", "p.type", "p.num",
     )
 
 
+_ITEMS = sql(f"select LineId, NewTemplate, cast(pos as bigint) as pos, value, parts, format, type, {_NUM} as num from {_RECORDS}", extra=GROUP_PROPOSAL)
+
+
+@query(_ITEMS)
+def analysis_ready(spark, sf):
+    return _items(_records(spark, sf))
+
+
+@query(_ITEMS)
+def applied_formats(spark, sf):
+    return _items(_applied(spark, sf))
+
+
 @query(sql(f"select * from (select LineId, cast(pos as bigint) as pos, value, next_value as unit, {_NUM} as kb from {_RECORDS}) where kb is not null", extra=GROUP_PROPOSAL))
 def unit_scaled(spark, sf):
-    rows = _records(spark, sf).select(
+    rows = _applied(spark, sf).select(
         "LineId",
         F.explode(F.transform("params", lambda x, i: F.struct(x.alias("it"), F.get("params", i + 1)["value"].alias("unit")))).alias("r"),
     )
@@ -567,7 +587,7 @@ select split_part(h.value, ':', 1) as host, count(*) as n_lines,
 from (select * from {_RECORDS} where pos = 2 and NewTemplate = '{MEMORY_TEMPLATE}') h
 join (select LineId, {_NUM} as num from {_RECORDS} where pos = 5) m on h.LineId = m.LineId group by 1""", extra=GROUP_PROPOSAL))
 def free_memory_by_host(spark, sf):
-    return analysis.free_memory_by_host(_records(spark, sf), MEMORY_TEMPLATE, 2, 5)
+    return analysis.free_memory_by_host(_applied(spark, sf), MEMORY_TEMPLATE, 2, 5)
 
 
 # ---- other parsers ------------------------------------------------------------------

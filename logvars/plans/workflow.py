@@ -6,12 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from ..operators.analysis import analysis_ready
+from ..operators.analysis import analysis_ready, apply_formats, template_rules
 from ..operators.classify import classify
 from ..operators.drift import extract_with_drift
 from ..operators.extract import extract_parameters
 from ..operators.groups import attach_groups, same_value_groups
-from ..operators.induce import format_rows, group_formats
+from ..operators.induce import format_rows, group_formats, group_rules
 from ..operators.staging import stage
 from ..operators.variables import variable_values
 from ..sources.logs import write_table
@@ -58,16 +58,20 @@ def run(
     if drift or out:
         extracted = stage(extracted, "structured")
     values = stage(variable_values(extracted), "values")
-    variables, rows = classify(values, markers)
+    variables, rows, facts = classify(values, markers)
     rows = stage(rows, "rows")
     grouped = stage(attach_groups(variables, same_value_groups(variables, rows)), "grouped")
     result = {"structured": extracted, "variables": grouped, "values": rows}
     if until != "grouped":
-        with_group = rows.join(grouped.select("DynamicID", "GroupID"), "DynamicID")
-        formats = group_formats(with_group, prefixes, proposer)
+        members = rows.join(grouped.select("DynamicID", "GroupID"), "DynamicID")
+        formats = group_formats(members, prefixes, proposer)
         result["formats"] = stage(format_rows(grouped, rows, formats), "formats")
     if until == "analysis":
-        result["analysis"] = analysis_ready(extracted, result["formats"])
+        if proposer is None:
+            templates = template_rules(facts, grouped, group_rules(members, prefixes))
+            result["analysis"] = apply_formats(extracted, templates, prefixes)
+        else:
+            result["analysis"] = analysis_ready(extracted, result["formats"])
     if out:
         for name, table in result.items():
             write_table(table, f"{out}/{name}")

@@ -171,7 +171,7 @@ def variable(spark, *value_lists):
 
 
 def types_of(spark, *value_lists, **options):
-    table, rows = classify.classify(variable(spark, *value_lists), **options)
+    table, rows, _ = classify.classify(variable(spark, *value_lists), **options)
     found = {}
     for r in table.orderBy("DynamicID").collect():
         found.setdefault(int(r.NewTemplate[1:]), []).append((r.ValueType, r.TokenFormat, r.ComponentFormat))
@@ -201,7 +201,7 @@ def test_types(spark):
 
 
 def test_lossy_strip_is_reported(spark):
-    table, _ = classify.classify(variable(spark, ["(a)", "bcd"]))
+    table, _, _ = classify.classify(variable(spark, ["(a)", "bcd"]))
     assert [r.strip_lossy for r in table.collect()] == [True]
 
 
@@ -297,7 +297,7 @@ def test_result_does_not_depend_on_partitions(spark):
     results = []
     for df in (lines.repartition(1), lines.repartition(17), lines.orderBy(F.desc("LineId"))):
         values = stage(variables.variable_values(extract.extract_parameters(df)), "values")
-        table, rows = classify.classify(values)
+        table, rows, _ = classify.classify(values)
         grouped = groups.same_value_groups(table, stage(rows, "rows"))
         joined = table.join(grouped, "DynamicID").select("DynamicID", "NewTemplate", "pos", "ValueType", "GroupID")
         results.append(sorted(map(tuple, joined.collect())))

@@ -51,10 +51,26 @@ def punctuation(firsts: DataFrame) -> DataFrame:
         F.concat(
             F.substring(value, F.lit(1), begin), F.lit(COMPONENT), F.substring(value, F.length(value) - end + 1, end)
         ).alias("marks"),
+        value.alias("first"),
         p.cut(value, begin, end).alias("first_bare"),
     )
 
 
+def first_outcomes(marks: DataFrame, markers: Sequence[str], keep_equals: bool) -> DataFrame:
+    """Add what holds for each first value.
+
+    All values of a variable can only pass a test that the first one passes, so the other
+    values need just the few tests that are left.
+    """
+    bare = F.col("first_bare")
+    outcomes = [p.is_number(F.col("first"), markers).alias("ok_raw")]
+    for kind, cut in affixes(bare, keep_equals).items():
+        if kind != "none":
+            outcomes.append(affix_prefix(bare, kind).alias(f"prefix_{kind}"))
+        outcomes += [test.alias(f"ok_{kind}_{name}") for name, test in _tests(cut, markers).items()]
+    return marks.select("*", *outcomes)
+
+
 def strip_marks(values: DataFrame, marks: DataFrame) -> DataFrame:
     """Add the stripped value ``bare`` (and what strip would cut by mistake: ``lossy``)."""
     value, begin, end = F.col("value"), F.col("begin"), F.col("end")
@@ -106,19 +122,30 @@ def _tests(value: Column, markers: Sequence[str]) -> dict[str, Column]:
 
 def variable_facts(values: DataFrame, marks: DataFrame, markers: Sequence[str] = (), keep_equals: bool = False) -> DataFrame:
     """One row per variable: chosen affix, token format and value type (dot suffixes still whole)."""
-    bare, first = F.col("bare"), F.col("first_bare")
+    bare = F.col("bare")
     cuts = affixes(bare, keep_equals)
-    # Cut values and prefixes become columns, so that no test repeats the cutting.
-    stripped = strip_marks(values, marks).select("*", *[cut.alias(f"_{kind}") for kind, cut in cuts.items()])
-    aggs = [F.every(p.is_number(F.col("value"), markers)).alias("raw_number"), F.some("lossy").alias("strip_lossy")]
+    known = stage(first_outcomes(marks, markers, keep_equals), "outcomes")
+    # Cut values become columns, so that no test repeats the cutting.
+    columns = [
+        (cut if kind == "none" else F.when(F.col(f"prefix_{kind}").isNotNull(), cut)).alias(f"_{kind}")
+        for kind, cut in cuts.items()
+    ]
+    stripped = strip_marks(values, known).select("*", *columns)
+
+    def every(test: Column, allowed: str) -> Column:
+        return F.every(F.when(F.col(allowed), test).otherwise(F.lit(False)))
+
+    aggs = [every(p.is_number(F.col("value"), markers), "ok_raw").alias("raw_number"), F.some("lossy").alias("strip_lossy")]
     for kind in cuts:
         cut = F.col(f"_{kind}")
         if kind != "none":
-            applies = F.coalesce(affix_prefix(bare, kind) == affix_prefix(first, kind), F.lit(False))
-            aggs.append(F.every(applies).alias(f"all_{kind}"))
+            tail = F.length(cut) - (1 if kind == "eq" and keep_equals else 0)
+            prefix = F.substring(bare, F.lit(1), F.length(bare) - tail)
+            aggs.append(F.every(F.coalesce(prefix == F.col(f"prefix_{kind}"), F.lit(False))).alias(f"all_{kind}"))
         # Nulls are left out of the conjunction; it is read only where the affix fits all values.
-        aggs += [F.every(test).alias(f"{kind}_{name}") for name, test in _tests(cut, markers).items()]
-    keys = [*VARIABLE, "template_line", "begin", "end", "marks", "first_bare"]
+        aggs += [every(test, f"ok_{kind}_{name}").alias(f"{kind}_{name}") for name, test in _tests(cut, markers).items()]
+    keys = [*VARIABLE, "template_line", "begin", "end", "marks", *[f"prefix_{kind}" for kind in cuts if kind != "none"]]
+    aggs += [F.count(F.lit(1)).alias("n_values"), F.min("first_line").alias("format_line")]
     flags = stripped.groupBy(*keys).agg(*aggs)
     affix = F.lit("none")
     for kind in ["eq", "hex", "ip", "url"]:
@@ -134,7 +161,7 @@ def variable_facts(values: DataFrame, marks: DataFrame, markers: Sequence[str] =
     component = F.lit(COMPONENT)
     for kind in ["url", "ip", "hex", "eq"]:
         component = F.when(
-            F.col("affix") == kind, F.concat(affix_prefix(first, kind), F.lit(COMPONENT))
+            F.col("affix") == kind, F.concat(F.col(f"prefix_{kind}"), F.lit(COMPONENT))
         ).otherwise(component)
     token_format = F.when(F.col("affix") == "raw", F.lit(COMPONENT)).otherwise(fill(F.col("marks"), component))
     typed = chosen.withColumn("TokenFormat", token_format).withColumn(
@@ -152,6 +179,7 @@ def variable_facts(values: DataFrame, marks: DataFrame, markers: Sequence[str] =
         (holds("dot") & (F.col("affix") != "raw")).alias("is_dot"),
         (F.col("strip_lossy") & (F.col("affix") != "raw")).alias("strip_lossy"),
         F.when(F.col("ValueType") == "Identifier", F.lit("<D>:<D>")).otherwise(F.lit(SLOT)).alias("component"),
+        "n_values", "format_line",
     )
 
 
@@ -189,12 +217,17 @@ def classify(values: DataFrame, markers: Sequence[str] = (), keep_equals: bool =
     """
     marks = stage(punctuation(first_values(values)), "marks")
     facts = stage(variable_facts(values, marks, markers, keep_equals), "facts")
-    rows = normalised_values(values, facts, keep_equals)
     keys = [*VARIABLE, "template_line", "TokenFormat", "ComponentFormat", "ValueType", "strip_lossy"]
-    formats = rows.groupBy(*keys).agg(F.min("first_line").alias("format_line"), F.count(F.lit(1)).alias("n_values"))
+    plain = facts.where("not is_dot").select(
+        *[F.col("component").alias(k) if k == "ComponentFormat" else k for k in keys], "format_line", "n_values"
+    )
+    dotted = normalised_values(values, facts.where("is_dot"), keep_equals).groupBy(*keys)
+    dotted = dotted.agg(F.min("first_line").alias("format_line"), F.count(F.lit(1)).alias("n_values"))
+    formats = plain.unionByName(dotted)
     variables = stage(
         number_by_order(formats, ["template_line", "pos", "format_line", "ComponentFormat"], "DynamicID"), "variables"
     )
+    rows = normalised_values(values, facts, keep_equals)
     ids = variables.select("DynamicID", *VARIABLE, "ComponentFormat")
     numbered = rows.join(ids, [*VARIABLE, "ComponentFormat"]).select("DynamicID", "ValueType", "token", "value", "first_line")
     return Classified(variables, numbered, facts)

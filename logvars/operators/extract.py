@@ -28,11 +28,13 @@ def extract_parameters(lines: DataFrame, realign: bool = True) -> DataFrame:
     independent of line order.  With ``realign=False`` such lines are left out (see
     :func:`unaligned_lines`).  A projection only: no join, no shuffle.
     """
-    dynamic = lines.drop("ParameterList").where(tpl.is_dynamic(F.col("EventTemplate")))
+    dynamic = lines.drop("ParameterList").where(tpl.is_dynamic(F.col("EventTemplate")) & F.col("Content").isNotNull())
     if not realign:
         dynamic = dynamic.where(n_tokens("Content") == n_tokens("EventTemplate"))
     fitted = dynamic.withColumn("_fit", tpl.fit_line(F.col("Content"), F.col("EventTemplate")))
-    return fitted.select(*dynamic.columns, "_fit.NewTemplate", "_fit.ParameterList")
+    # Never null here; saying so spares joins on it a null test that would extract twice.
+    new_template = F.coalesce("_fit.NewTemplate", F.lit(""))
+    return fitted.select(*dynamic.columns, new_template.alias("NewTemplate"), "_fit.ParameterList")
 
 
 def unaligned_lines(lines: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Line numbers are hashes of a row's key: unique, the same in both engines, and made
 # without sorting the table.
-SPARK_LINE_ID = "cast(conv(substring(md5(line_key), 1, 15), 16, 10) as bigint)"
+SPARK_LINE_ID = "coalesce(cast(conv(substring(md5(line_key), 1, 15), 16, 10) as bigint), 0)"
 CHECK_LINE_ID = "cast('0x' || substring(md5(line_key), 1, 15) as bigint)"
 
 _RAW = """

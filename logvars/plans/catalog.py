@@ -52,25 +52,36 @@ def _templates(spark: SparkSession, sf: str) -> DataFrame:
     return stage(found, "templates")
 
 
-def _classified(spark: SparkSession, sf: str) -> classify.Classified:
-    return classify.classify(stage(_values(spark, sf), "values"), MARKERS)
+def _structured(spark: SparkSession, sf: str) -> DataFrame:
+    """Extracted parameters as a written table, for jobs that read them more than once."""
+    return stage(_extracted(spark, sf).select("LineId", "NewTemplate", "ParameterList"), "structured")
 
 
-def _grouped(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    table, rows, _ = _classified(spark, sf)
+def _classified(spark: SparkSession, sf: str, extracted: DataFrame | None = None) -> classify.Classified:
+    values = variables.variable_values(_extracted(spark, sf) if extracted is None else extracted)
+    return classify.classify(stage(values, "values"), MARKERS)
+
+
+def _grouped(spark: SparkSession, sf: str, extracted: DataFrame | None = None) -> classify.Classified:
+    """Variables with GroupID, written values, and facts."""
+    table, rows, facts = _classified(spark, sf, extracted)
     rows = stage(rows, "rows")
-    return stage(groups.attach_groups(table, groups.same_value_groups(table, rows)), "grouped"), rows
+    grouped = stage(groups.attach_groups(table, groups.same_value_groups(table, rows)), "grouped")
+    return classify.Classified(grouped, rows, facts)
 
 
 def _members(spark: SparkSession, sf: str) -> DataFrame:
-    table, rows = _grouped(spark, sf)
+    table, rows, _ = _grouped(spark, sf)
+    return _with_groups(table, rows)
+
+
+def _with_groups(table: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.join(table.select("DynamicID", "GroupID"), "DynamicID")
 
 
-def _format_rows(spark: SparkSession, sf: str) -> DataFrame:
-    table, rows = _grouped(spark, sf)
-    members = rows.join(table.select("DynamicID", "GroupID"), "DynamicID")
-    return induce.format_rows(table, rows, induce.group_formats(members, PREFIXES))
+def _format_rows(spark: SparkSession, sf: str, extracted: DataFrame | None = None) -> DataFrame:
+    table, rows, _ = _grouped(spark, sf, extracted)
+    return induce.format_rows(table, rows, induce.group_formats(_with_groups(table, rows), PREFIXES))
 
 
 def _keyed_values(spark: SparkSession, sf: str) -> DataFrame:
@@ -538,17 +549,16 @@ _NUM = """case when next_type = 'Unit' then try_cast(value as double) * case nex
 
 
 def _records(spark, sf):
-    extracted = _extracted(spark, sf)
-    return analysis.analysis_ready(extracted, stage(_format_rows(spark, sf), "formats"))
+    extracted = _structured(spark, sf)
+    return analysis.analysis_ready(extracted, stage(_format_rows(spark, sf, extracted), "formats"))
 
 
 def _applied(spark, sf):
     """The same records without looking up tokens: lines meet only per-template rules."""
-    table, rows, facts = _classified(spark, sf)
-    rows = stage(rows, "rows")
-    grouped = stage(groups.attach_groups(table, groups.same_value_groups(table, rows)), "grouped")
-    rules = induce.group_rules(rows.join(grouped.select("DynamicID", "GroupID"), "DynamicID"), PREFIXES)
-    return analysis.apply_formats(_extracted(spark, sf), analysis.template_rules(facts, grouped, rules), PREFIXES)
+    extracted = _structured(spark, sf)
+    table, rows, facts = _grouped(spark, sf, extracted)
+    rules = induce.group_rules(_with_groups(table, rows), PREFIXES)
+    return analysis.apply_formats(extracted, analysis.template_rules(facts, table, rules), PREFIXES)
 
 
 def _items(records):

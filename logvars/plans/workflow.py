@@ -55,7 +55,7 @@ def run(
     markers = SPECIAL_MARKERS.get(dataset, []) if markers is None else markers
 
     extracted = extract_with_drift(lines) if drift else extract_parameters(lines)
-    if drift or out:
+    if drift or out or until == "analysis":
         extracted = stage(extracted, "structured")
     values = stage(variable_values(extracted), "values")
     variables, rows, facts = classify(values, markers)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid
+from .common import fold
+from .decontaminate import find_contamination
 from .packing import pack
 from .token_files import read_token_files, write_token_files
 
@@ -27,6 +30,31 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that lie in windows of ten benchmark words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_contamination(docs, table(spark, sf_dir, "benchmark"), window=10)
+    items = F.col("contamination.items")
+    named = F.concat_ws(",", F.array_sort(items.cast("array<string>")))
+    return found.select(
+        "doc_id",
+        "contamination.n_words",
+        "contamination.n_hit",
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(named, 256).alias("items_sha256"),
+        (F.col("contamination.n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by the dictionaries of rows outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold(F.col("doc_id")) == 0
+    languages = langid.learn(docs.where(~held_out))
+    found = langid.identify(docs.select("doc_id", "text"), languages)
+    return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, written to Arrow files and read back."""
     index = write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), "words", end_id=2)
@@ -35,6 +63,36 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op4_decontamination": op4_decontamination,
+    "op7_language": op7_language,
     "op8_token_files": op8_token_files,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+# Windows of ten words (or whole shorter items) by position, joined on their words.
+DECONTAMINATION_SQL = r"""
+with recursive
+item_words as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark),
+item_windows as (
+  select distinct item_id, least(len(w), 10) as n, array_to_string(w[p:p + least(len(w), 10) - 1], ' ') as window_text
+  from (select item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) as p from item_words where len(w) > 0)),
+doc_words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents),
+doc_windows as (
+  select doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') as window_text
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as p
+        from doc_words, (select distinct n from item_windows) where len(w) >= n)),
+hits as (select distinct doc_id, item_id, p, n from doc_windows join item_windows using (n, window_text)),
+covered as (select doc_id, count(distinct q) as n_hit
+            from (select doc_id, unnest(range(p, p + n)) as q from (select distinct doc_id, p, n from hits)) group by doc_id),
+found as (select doc_id, count(*) as n_items, string_agg(cast(item_id as varchar), ',' order by cast(item_id as varchar)) as items
+          from (select distinct doc_id, item_id from hits) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from doc_words left join covered using (doc_id) left join found using (doc_id)
+"""
+ORACLE_SQL: dict[str, str] = {"op4_decontamination": DECONTAMINATION_SQL}

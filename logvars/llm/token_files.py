@@ -25,21 +25,23 @@ ROWS = 64
 INDEX = "doc_id long, range int, file string, first long, n_tokens long"
 
 
-def _schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def _schema(length: int, narrow: bool) -> pa.Schema:
+    """Ids take two bytes where the whole vocabulary fits; masks take a bit."""
+    return pa.schema([("ids", pa.list_(pa.uint16() if narrow else pa.uint32(), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 class TokenFileWriter:
     """Appends documents' ids; holds one record batch in memory."""
 
-    def __init__(self, folder: str, name: str, length: int):
+    def __init__(self, folder: str, name: str, length: int, narrow: bool):
         self.name, self.length, self.written = name, length, 0
+        self.schema = _schema(length, narrow)
         self.waiting: list[bytes] = []
         self.size = 0
         fs, path = filesystem(folder)
         fs.create_dir(path, recursive=True)
         self.sink = fs.open_output_stream(f"{path}/{name}")
-        self.writer = pa.ipc.new_file(self.sink, _schema(length))
+        self.writer = pa.ipc.new_file(self.sink, self.schema)
 
     def append(self, ids: bytes) -> int:
         """Position of the document's first id in this file."""
@@ -61,12 +63,10 @@ class TokenFileWriter:
 
     def _write(self, ids: np.ndarray) -> None:
         rows = -(-len(ids) // self.length)
-        full = np.zeros(rows * self.length, dtype=np.uint32)
+        full = np.zeros(rows * self.length, dtype=self.schema.field("ids").type.value_type.to_pandas_dtype())
         full[: len(ids)] = ids
-        mask = np.zeros(rows * self.length, dtype=np.uint8)
-        mask[: len(ids)] = 1
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (full, mask)]
-        self.writer.write_batch(pa.record_batch(lists, schema=_schema(self.length)))
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (full, np.arange(len(full)) < len(ids))]
+        self.writer.write_batch(pa.record_batch(lists, schema=self.schema))
 
     def close(self) -> None:
         self._flush(last=True)
@@ -85,15 +85,15 @@ class TokenFile:
         self.length = self.reader.schema.field("ids").type.list_size
         self.at = -1
 
-    def _batch(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+    def _batch(self, number: int) -> tuple[np.ndarray, pa.BooleanArray]:
         if number != self.at:
             batch = self.reader.get_batch(number)
-            self.views = tuple(batch.column(c).values.to_numpy(zero_copy_only=True) for c in ("ids", "mask"))
+            self.views = batch.column("ids").values.to_numpy(zero_copy_only=True), batch.column("mask").values
             self.at = number
         return self.views
 
-    def sequence(self, number: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence ``number``."""
+    def sequence(self, number: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of sequence ``number``, both views."""
         ids, mask = self._batch(number // ROWS)
         at = number % ROWS * self.length
         return ids[at : at + self.length], mask[at : at + self.length]
@@ -105,7 +105,7 @@ class TokenFile:
             ids, mask = self._batch(first // batch)
             at = first % batch
             take = min(count, batch - at)
-            if at + take > len(ids) or not mask[at + take - 1]:
+            if at + take > len(ids) or not mask[at + take - 1].as_py():
                 raise ValueError(f"ids {first} to {first + take} lie beyond the end of the file")
             parts.append(ids[at : at + take])
             first, count = first + take, count - take
@@ -144,6 +144,7 @@ def write_token_files(
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, open_file, current = encoder(tokenizer, chunks).encode, None, None
+        narrow = max(encoder(tokenizer, chunks).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
             out = []
@@ -152,7 +153,7 @@ def write_token_files(
                 if rng != current:
                     if open_file:
                         open_file.close()
-                    current, open_file = rng, TokenFileWriter(folder, f"range-{rng:07d}-{uuid.uuid4().hex}.arrow", length)
+                    current, open_file = rng, TokenFileWriter(folder, f"range-{rng:07d}-{uuid.uuid4().hex}.arrow", length, narrow)
                 out.append((doc, rng, open_file.name, open_file.append(found + end), len(found) // 4 + 1))
             names = ("doc_id", "range", "file", "first", "n_tokens")
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64())
@@ -187,7 +188,7 @@ def read_token_files(index: DataFrame, opened: int = 8) -> DataFrame:
                         files[key] = TokenFile(folder, name)
                         if len(files) > opened:
                             files.popitem(last=False)
-                    out.append(files[key].span(first, count).tobytes())
+                    out.append(files[key].span(first, count).astype("<u4").tobytes())
                 yield pa.record_batch([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "ids"])
 
     return index.mapInArrow(read, schema)

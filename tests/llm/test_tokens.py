@@ -54,7 +54,7 @@ def test_token_files_with_odd_rows(spark, odd_docs, no_docs):
     assert [r.doc_id for r in ordered][0] is None
     file = TokenFile(rows[0].folder, ordered[-1].file)
     ids_of, mask = file.sequence(0)
-    assert len(ids_of) == len(mask) == 16 and not ids_of.flags.owndata
+    assert len(ids_of) == len(mask) == 16 and not ids_of.flags.owndata and not ids_of.flags.writeable
     assert write_token_files(no_docs, *args).count() == 0
 
 

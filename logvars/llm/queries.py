@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import langid
 from .common import fold
 from .decontaminate import find_contamination
+from .minhash import near_duplicates
 from .packing import pack
 from .token_files import read_token_files, write_token_files
 
@@ -61,11 +62,17 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(index).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose five-word shingles agree by 85 per cent or more."""
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85, rows=10)
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op4_decontamination": op4_decontamination,
     "op7_language": op7_language,
     "op8_token_files": op8_token_files,
+    "op9_minhash": op9_minhash,
 }
 
 # Windows of ten words (or whole shorter items) by position, joined on their words.

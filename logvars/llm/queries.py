@@ -10,7 +10,9 @@ from .common import fold
 from .decontaminate import find_contamination
 from .minhash import near_duplicates
 from .packing import pack
+from .sharding import shard
 from .token_files import read_token_files, write_token_files
+from .winnow import edited_likeness
 
 
 def tokenizer_path(name: str) -> str:
@@ -23,6 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of nearly equal bytes by a K-d tree."""
+    found = shard(table(spark, sf_dir, "documents"), shards=40)
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cutting-stock packing of all documents into sequences of 1024 ids."""
     packed = pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), "byte_level", end_id=0)
@@ -47,6 +57,15 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winnowed fingerprints of all documents and of their edited texts."""
+    found = edited_likeness(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint",
+        "edited_fingerprint", "near_edited", "near_next",
+    )
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by the dictionaries of rows outside the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -68,8 +87,10 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
     "op4_decontamination": op4_decontamination,
+    "op5_fingerprints": op5_fingerprints,
     "op7_language": op7_language,
     "op8_token_files": op8_token_files,
     "op9_minhash": op9_minhash,

@@ -12,6 +12,7 @@ from .minhash import near_duplicates
 from .packing import pack
 from .sharding import shard
 from .token_files import read_token_files, write_token_files
+from .warc import number_column, read_archives, write_archives
 from .winnow import edited_likeness
 
 
@@ -66,6 +67,18 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, written and read back."""
+    records = read_archives(spark, write_archives(table(spark, sf_dir, "pages")))
+    return records.select(
+        number_column("record_id").alias("page_id"),
+        "payload_bytes",
+        F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"),
+        "record_type",
+        number_column("refers_to").alias("refers_to"),
+    )
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by the dictionaries of rows outside the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -91,6 +104,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op4_decontamination": op4_decontamination,
     "op5_fingerprints": op5_fingerprints,
+    "op6_warc": op6_warc,
     "op7_language": op7_language,
     "op8_token_files": op8_token_files,
     "op9_minhash": op9_minhash,
@@ -123,4 +137,17 @@ select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, c
        sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from doc_words left join covered using (doc_id) left join found using (doc_id)
 """
-ORACLE_SQL: dict[str, str] = {"op4_decontamination": DECONTAMINATION_SQL}
+# Base32 of a SHA-1, four characters for each five hexadecimal digits.
+WARC_SQL = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, octet_length(encode(html)) as payload_bytes, sha1(html) as h, min(page_id) over (partition by html) as f from p),
+v as (select *, [cast('0x' || h[5 * g + 1:5 * g + 5] as integer) for g in range(0, 8)] as five from d)
+select page_id, cast(payload_bytes as bigint) as payload_bytes,
+       array_to_string(['ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((five[i // 4 + 1] >> cast(15 - 5 * (i % 4) as integer)) & 31) + 1]
+                        for i in range(0, 32)], '')
+         as payload_digest,
+       case when f = page_id then 'response' else 'revisit' end as record_type,
+       case when f = page_id then null else f end as refers_to
+from v
+"""
+ORACLE_SQL: dict[str, str] = {"op6_warc": WARC_SQL, "op4_decontamination": DECONTAMINATION_SQL}

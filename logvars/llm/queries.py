@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid
+from . import langid, quality
 from .common import fold
 from .decontaminate import find_contamination
 from .minhash import near_duplicates
@@ -42,6 +42,15 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by the labelled rows outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id")) != 0)
+    scored = quality.rate(docs, quality.learn(docs, labels), out="score")
+    predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", predicted)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents that lie in windows of ten benchmark words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -102,6 +111,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
+    "op3_quality": op3_quality,
     "op4_decontamination": op4_decontamination,
     "op5_fingerprints": op5_fingerprints,
     "op6_warc": op6_warc,

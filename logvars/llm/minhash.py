@@ -286,3 +286,20 @@ def near_duplicates(
     found = prints.select("doc_id", *same_set).join(stage(labelled, "class-components"), same_set, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull(), F.lit(False)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One document of each group of near duplicates, with all its columns.
+
+    The document with the smallest id stays.  Of rows with one id, one stays (that whose text hashes
+    lowest); rows without an id stay.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
+    found = stage(found.select("doc_id", "kept"), "kept")
+    drop = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
+    repeated = stage(found.where("doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).count().where("count > 1").select(id_col), "repeated-ids")
+    left = docs.join(drop, id_col, "left_anti").select(*docs.columns)
+    once = left.join(repeated, id_col, "left_anti").select(*docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = left.join(repeated, id_col, "left_semi").groupBy(id_col).agg(F.min_by(whole, F.xxhash64(text_col)).alias("_row"))
+    return once.unionByName(again.select("_row.*"))

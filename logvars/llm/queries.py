@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import langid, quality
 from .common import fold
 from .decontaminate import find_contamination
+from .hmm import language_model_scores
 from .minhash import near_duplicates
 from .packing import pack
 from .sharding import shard
@@ -108,6 +109,12 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85, rows=10)
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hidden Markov log probabilities of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return language_model_scores(docs, fold(F.col("doc_id")) == 1)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
@@ -118,6 +125,7 @@ QUERIES = {
     "op7_language": op7_language,
     "op8_token_files": op8_token_files,
     "op9_minhash": op9_minhash,
+    "op10_language_model": op10_language_model,
 }
 
 # Windows of ten words (or whole shorter items) by position, joined on their words.

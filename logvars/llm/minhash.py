@@ -1,9 +1,10 @@
 """Near duplicates: many universal hash minima, bands, signature and full-set verification, star components.
 
-Equal shingle sets are one class from the start.  The classes that meet in a band are compared with a
-few of the band's classes (hubs), which links most of a group of near copies without comparing all
-its pairs; where a band still holds classes of different components, exactly the pairs across
-components are compared, in blocks.  Every link is confirmed on the full sets.
+Equal shingle sets are one class from the start.  Classes that meet in a band are compared with a hub of
+the band, which links most of a group of near copies without comparing all its pairs.  Classes joined
+by bands are a cluster; where one still holds several components, the pairs across them that share a
+band are compared in blocks of bounded size, and only what joins components leaves a block.  Every
+link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -16,16 +17,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from .common import stage
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: Minima kept for the signature, 16 bits each.
 KEPT = 256
-#: Hubs that a band's members are compared with, over all bands.
-HUBS = 8
-#: Members of a band in a block.
-BLOCK = 256
+#: Orders by which bands choose their hub.
+HUBS = 2
+#: Members of a cluster in a block, and shingles in a block, about.
+BLOCK, BLOCK_SHINGLES = 256, 1_000_000
+#: Bits of the filter that keeps most texts that aren't wanted out of a shuffle; a fixed size.
+FILTER_BITS = 1 << 25
 
 
 class _WordHashes(dict):
@@ -121,18 +125,51 @@ def _prints(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(prints, schema)
 
 
+def _filter_places(ids: np.ndarray) -> np.ndarray:
+    """Three places of each id among the filter's bits."""
+    x = ids.astype(np.int64).view(np.uint64)
+    return np.stack([_mixed(x + _MIX[0] * np.uint64(i)) & np.uint64(FILTER_BITS - 1) for i in (1, 2, 3)])
+
+
+def _wanted_filter(wanted: DataFrame) -> np.ndarray:
+    """Bits set by the ids of ``wanted(id)``; the driver gets no more than the filter's size."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+        for batch in batches:
+            for places in _filter_places(batch.column("id").to_numpy()):
+                np.bitwise_or.at(bits, (places >> np.uint64(3)).astype(np.int64), np.uint8(1) << (places & np.uint64(7)).astype(np.uint8))
+        words = bits.view(np.int64)
+        used = np.flatnonzero(words)
+        yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(words[used])], names=["place", "bits"])
+
+    words = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    found = wanted.select("id").mapInArrow(mark, "place int, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words[found.column("place").to_numpy()] = found.column("bits").to_numpy()
+    return words.view(np.uint8)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(id, set) of the documents whose ids are wanted."""
+    """(id, set) of the documents whose ids are wanted.
+
+    A fixed-size filter of the ids drops most other texts before the join, which decides.
+    """
+    bits = _wanted_filter(wanted)
+
+    @arrow_udf("boolean")
+    def may_be_wanted(ids: pa.Array) -> pa.Array:
+        places = _filter_places(ids.fill_null(0).to_numpy(zero_copy_only=False))
+        return pa.array((bits[(places >> np.uint64(3)).astype(np.int64)] >> (places & np.uint64(7)).astype(np.uint8) & 1).all(axis=0))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                found = [shingles(t, hashes, size).view(np.int64) for t in batch.column("text").to_pylist()]
+                found = [np.sort(shingles(t, hashes, size).view(np.int64)) for t in batch.column("text").to_pylist()]
                 yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], names=["id", "set"])
 
-    chosen = docs.join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    chosen = docs.where(may_be_wanted("doc_id")).join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     return chosen.mapInArrow(build, "id long, set array<long>")
 
 
@@ -156,9 +193,7 @@ def _verified_by_signature(pairs: DataFrame, reps: DataFrame, least: float) -> D
 
 def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs that the signatures and then the full sets confirm."""
-    t = percent / 100
-    least = t - 5 * math.sqrt(t * (1 - t) / KEPT)
-    close = stage(_verified_by_signature(pairs, reps, least), "near-pairs")
+    close = stage(_verified_by_signature(pairs, reps, _least_estimate(percent)), "near-pairs")
     ids = close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id"))).distinct()
     sets = stage(_sets(docs, ids, size), "near-sets")
     a = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
@@ -201,44 +236,75 @@ def star_components(edges: DataFrame) -> DataFrame:
     return found.union(now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
 
 
-def _across(members: DataFrame, reps: DataFrame, components: DataFrame, tested: DataFrame, least: float) -> DataFrame:
-    """Pairs of a band's members in different components that may be close and were not compared yet."""
-    placed = members.join(components.withColumnRenamed("id", "cid"), "cid", "left").select(
-        "key", "cid", "n", F.coalesce("component", "cid").alias("component")
-    )
-    placed = stage(placed.where("n > 2"), "band-members")
-    groups = placed.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("mark"), F.count(F.lit(1)).alias("m")
-    )
-    # Bands with the same members are compared once.
-    open_keys = groups.where("low <> high").groupBy("mark", "m").agg(F.min("key").alias("key")).select("key", "m")
-    chosen = placed.join(open_keys, "key").join(reps.select("cid", "signature"), "cid")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("long")
-    dealt = chosen.select("key", F.pmod(F.xxhash64("cid"), blocks).alias("block"), F.struct("cid", "component", "signature").alias("one"))
-    packs = stage(dealt.groupBy("key", "block").agg(F.collect_list("one").alias("pack")), "band-blocks")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for left, right, same in zip(batch.column("pack"), batch.column("other"), batch.column("same").to_pylist(), strict=True):
-                (ia, ca, sa), (ib, cb, sb) = (_unpacked(p.values) for p in (left, right))
-                out_a, out_b = [], []
-                for i in range(len(ia)):
-                    near = (ca[i] != cb) & ((sa[i] == sb).mean(axis=1) >= least)
-                    if same:
-                        near[: i + 1] = False
-                    hit = ib[near]
-                    out_a.append(np.minimum(hit, ia[i]))
-                    out_b.append(np.maximum(hit, ia[i]))
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (out_a, out_b)], names=["a", "b"])
+def _across(pairs: DataFrame, docs: DataFrame, reps: DataFrame, components: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between components of one cluster, by comparing the members that share a band across components."""
+    clusters = star_components(pairs).withColumnsRenamed({"id": "cid", "component": "cluster"})
+    placed = clusters.join(components.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    placed = stage(placed, "cluster-members")
+    lows = placed.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"))
+    chosen = stage(placed.join(lows.where("low <> high and m > 2").select("cluster"), "cluster"), "open-members")
+    sets = stage(_sets(docs, chosen.select(F.col("cid").alias("id")), size), "open-sets").withColumnRenamed("id", "cid")
+    held = chosen.join(sets, "cid").groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum(F.size("set").cast("long")).alias("total"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("long")
+    full = chosen.join(sets, "cid").join(reps, "cid").join(stage(held.select("cluster", blocks.alias("blocks")), "cluster-sizes"), "cluster")
+    dealt = full.withColumn("block", F.pmod(F.xxhash64("cid"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cluster", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "cid", "component", "signature", "bands", "set")
+    least = _least_estimate(percent)
 
-    other = packs.select("key", F.col("block").alias("block2"), F.col("pack").alias("other"))
-    met = packs.join(other, "key").where("block <= block2").select("pack", "other", (F.col("block") == F.col("block2")).alias("same"))
-    return met.mapInArrow(compare, "a long, b long").where("a <> b").distinct().join(tested, ["a", "b"], "left_anti")
+    def compare(table: pa.Table) -> pa.Table:
+        a, b = _joining(table.combine_chunks(), percent, least)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
+    return dealt.groupBy("cluster", "b1", "b2").applyInArrow(compare, "a long, b long")
 
-def _unpacked(pack: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    signatures = np.frombuffer(b"".join(pack.field("signature").to_pylist()), dtype="<u2").reshape(-1, KEPT)
-    return pack.field("cid").to_numpy(), pack.field("component").to_numpy(), signatures
+
+def _least_estimate(percent: int) -> float:
+    """Five standard deviations of the estimate below the threshold."""
+    t = percent / 100
+    return t - 5 * math.sqrt(t * (1 - t) / KEPT)
+
+
+def _joining(table: pa.Table, percent: int, least: float) -> tuple[list[int], list[int]]:
+    """Links that join components, among the members of two blocks (or within one)."""
+    column = {c: table.column(c).combine_chunks() for c in ("block", "b1", "b2", "cid", "component", "signature", "bands", "set")}
+    block, ids = column["block"].to_numpy(), column["cid"].to_numpy()
+    within = column["b1"][0] == column["b2"][0]
+    signatures = np.frombuffer(b"".join(column["signature"].to_pylist()), dtype="<u2").reshape(-1, KEPT)
+    bands = column["bands"].values.to_numpy().reshape(len(ids), -1)
+    shingle, ends = column["set"].values.to_numpy(), column["set"].offsets.to_numpy()
+    parent = {int(c): int(c) for c in column["component"].to_numpy()}
+    component = column["component"].to_numpy()
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    out_a, out_b = [], []
+    for i in range(len(ids)):
+        mine = shingle[ends[i] : ends[i + 1]]
+        sizes = ends[i + 1 :] - ends[i:-1]
+        top = sizes[0]
+        later = np.arange(i + 1, len(ids))
+        n = sizes[1:]
+        near = (component[later] != component[i]) & (100 * np.minimum(n, top) >= percent * np.maximum(n, top))
+        near &= True if within else block[later] != block[i]
+        later = later[near]
+        later = later[(bands[later] == bands[i]).any(axis=1)]
+        later = later[(signatures[later] == signatures[i]).mean(axis=1) >= least]
+        for j in later.tolist():
+            ra, rb = root(int(component[i])), root(int(component[j]))
+            if ra == rb:
+                continue
+            other = shingle[ends[j] : ends[j + 1]]
+            at = np.searchsorted(mine, other)
+            common = int((mine[np.minimum(at, len(mine) - 1)] == other).sum())
+            if 100 * common >= percent * (len(mine) + len(other) - common):
+                parent[max(ra, rb)] = min(ra, rb)
+                out_a.append(min(int(ids[i]), int(ids[j])))
+                out_b.append(max(int(ids[i]), int(ids[j])))
+    return out_a, out_b
 
 
 def near_duplicates(
@@ -264,22 +330,21 @@ def near_duplicates(
     prints = stage(_prints(table, size, bands, rows), "prints")
     same_set = ["n_shingles", "k1", "k2"]
     classes = stage(prints.where("n_shingles > 0").groupBy(*same_set).agg(F.min("doc_id").alias("cid")), "set-classes")
-    ids = classes.select("cid").where("cid is not null").distinct()
-    reps = stage(
-        prints.where("n_shingles > 0").withColumnRenamed("doc_id", "cid").join(ids, "cid", "left_semi").select("cid", "bands", "signature"), "class-prints"
-    )
+    # Rows of a class other than its first document's: copies, mostly few beside the table.
+    whole = prints.where("n_shingles > 0").select("doc_id", *same_set).join(classes, same_set)
+    copies = stage(whole.where("not doc_id <=> cid").select("doc_id", *same_set).distinct(), "copies")
+    firsts = prints.where("n_shingles > 0 and doc_id is not null").join(copies, ["doc_id", *same_set], "left_anti")
+    reps = stage(firsts.select(F.col("doc_id").alias("cid"), "bands", "signature"), "class-prints")
     keyed = reps.select("cid", F.explode("bands").alias("key"))
     seed = F.pmod(F.col("key"), F.lit(HUBS))
     first = F.min(F.struct(F.xxhash64("cid", seed).alias("h"), F.col("cid").alias("hub"))).alias("first")
-    hubs = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1").select("key", "n", F.col("first.hub").alias("hub"))
-    members = stage(keyed.join(stage(hubs, "band-hubs"), "key").select("key", "cid", "n", "hub"), "bands")
-    pairs = stage(members.where("cid <> hub").select(*_ordered(F.col("cid"), F.col("hub"))).distinct(), "hub-pairs")
+    hubs = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1").select("key", F.col("first.hub").alias("hub"))
+    met = keyed.join(stage(hubs, "band-hubs"), "key").where("cid <> hub")
+    pairs = stage(met.select(*_ordered(F.col("cid"), F.col("hub"))).distinct(), "hub-pairs")
     links = _links(pairs, table, reps, size, percent)
     components = stage(star_components(links), "components")
-    t = percent / 100
-    rest = stage(_across(members, reps, components, pairs, t - 5 * math.sqrt(t * (1 - t) / KEPT)), "across-pairs")
-    if not rest.isEmpty():
-        more = _links(rest, table, reps, size, percent)
+    more = stage(_across(pairs, table, reps, components, size, percent), "across-links")
+    if not more.isEmpty():
         stars = components.select(F.col("component").alias("a"), F.col("id").alias("b"))
         components = stage(star_components(stars.union(more)), "components")
     labelled = classes.join(components.withColumnRenamed("id", "cid"), "cid", "left").select(*same_set, F.coalesce("component", "cid").alias("component"))

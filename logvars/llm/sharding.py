@@ -10,8 +10,11 @@ histogram of weights over key ranges, narrowed round the wanted weight until it
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,11 +41,15 @@ class Node:
     below: int = 0
     wanted: float = 0
 
-    def column(self) -> Column:
-        """The first shard of the leaf or open node that a row falls into."""
+    def leaf_of(self, keys: dict[str, np.ndarray]) -> np.ndarray:
+        """The first shard of the leaf or open node that each row falls into."""
         if self.left is None or self.right is None:
-            return F.lit(self.first)
-        return F.when(F.col(self.dimension) < self.cut, self.left.column()).otherwise(self.right.column())
+            return np.full(len(keys[DIMENSIONS[0]]), self.first, dtype=np.int32)
+        out = np.empty(len(keys[DIMENSIONS[0]]), dtype=np.int32)
+        left = keys[self.dimension] < self.cut
+        for side, child in ((left, self.left), (~left, self.right)):
+            out[side] = child.leaf_of({d: k[side] for d, k in keys.items()})
+        return out
 
 
 def _units(rows: DataFrame, target: float, part: float) -> tuple[DataFrame, DataFrame]:
@@ -78,17 +85,49 @@ def _keyed(units: DataFrame) -> DataFrame:
     )
 
 
+def _summed(units: DataFrame, of: Callable, schema: str) -> DataFrame:
+    """``of`` (keys by dimension, weights) for every batch; its rows are summed up by the caller's aggregate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = of({d: batch.column(d).to_numpy() for d in DIMENSIONS}, batch.column("w").to_numpy())
+            yield pa.record_batch([pa.array(c) for c in found.values()], names=list(found))
+
+    return units.select(*DIMENSIONS, "w").mapInArrow(run, schema)
+
+
+def _extents(units: DataFrame, tree: Node) -> dict[int, dict]:
+    """Weight and the lowest and highest key of each dimension, by node."""
+
+    def extents(keys: dict[str, np.ndarray], w: np.ndarray) -> dict[str, np.ndarray]:
+        leaf = tree.leaf_of(keys)
+        nodes, at = np.unique(leaf, return_inverse=True)
+        out = {"node": nodes, "w": np.zeros(len(nodes), np.int64)}
+        np.add.at(out["w"], at, w)
+        for d in DIMENSIONS:
+            out[f"low_{d}"] = np.full(len(nodes), np.iinfo(np.int64).max)
+            out[f"high_{d}"] = np.full(len(nodes), np.iinfo(np.int64).min)
+            np.minimum.at(out[f"low_{d}"], at, keys[d])
+            np.maximum.at(out[f"high_{d}"], at, keys[d])
+        return out
+
+    names = [f"{side}_{d}" for d in DIMENSIONS for side in ("low", "high")]
+    found = _summed(units, extents, "node int, w long, " + ", ".join(f"{n} long" for n in names))
+    merged = found.groupBy("node").agg(F.sum("w").alias("w"), *[(F.min if n.startswith("low") else F.max)(n).alias(n) for n in names])
+    return {r["node"]: r.asDict() for r in merged.collect()}
+
+
 def _open(units: DataFrame, nodes: list[Node], tree: Node, spans: dict[str, int]) -> None:
     """Choose each node's widest dimension and the range of keys in which its cut lies."""
-    inside = units.withColumn("node", tree.column()).where(F.col("node").isin([n.first for n in nodes]))
-    bounds = [f(d).alias(f"{name}_{d}") for d in DIMENSIONS for name, f in (("low", F.min), ("high", F.max))]
-    found = {r["node"]: r for r in inside.groupBy("node").agg(F.sum("w").alias("w"), *bounds).collect()}
+    found, shift = _extents(units, tree), _HASH_BITS + _SLICE_BITS
+    if not spans:
+        spans |= {d: max([1, *((r[f"high_{d}"] >> shift) - (r[f"low_{d}"] >> shift) for r in found.values())]) for d in DIMENSIONS}
     for node in nodes:
         r = found.get(node.first)
         if r is None:  # more leaves than points: everything there is lies on the left
             node.dimension, node.low, node.high, node.wanted = DIMENSIONS[0], 0, 1, 0
             continue
-        width = {d: ((r[f"high_{d}"] >> _HASH_BITS + _SLICE_BITS) - (r[f"low_{d}"] >> _HASH_BITS + _SLICE_BITS)) / spans[d] for d in DIMENSIONS}
+        width = {d: ((r[f"high_{d}"] >> shift) - (r[f"low_{d}"] >> shift)) / spans[d] for d in DIMENSIONS}
         node.dimension = max(DIMENSIONS, key=lambda d: width[d])
         node.low, node.high = r[f"low_{node.dimension}"], r[f"high_{node.dimension}"] + 1
         node.wanted, node.below = r["w"] * (node.leaves // 2) / node.leaves, 0
@@ -96,18 +135,21 @@ def _open(units: DataFrame, nodes: list[Node], tree: Node, spans: dict[str, int]
 
 def _narrow(units: DataFrame, nodes: list[Node], tree: Node, fine: float) -> list[Node]:
     """One histogram over the open ranges; the nodes whose cut is not yet found to within ``fine``."""
-    inside = units.withColumn("node", tree.column())
-    key, low, high, step = F.lit(None).cast("long"), F.lit(0), F.lit(0), F.lit(1)
-    for n in nodes:
-        here = F.col("node") == n.first
-        key = F.when(here, F.col(n.dimension)).otherwise(key)
-        low, high = F.when(here, F.lit(n.low)).otherwise(low), F.when(here, F.lit(n.high)).otherwise(high)
-        step = F.when(here, F.lit(-(-(n.high - n.low) // _BINS))).otherwise(step)
-    dealt = inside.select("node", "w", key.alias("key"), low.alias("low"), high.alias("high"), step.alias("step"))
-    dealt = dealt.where("key is not null and key >= low and key < high")
-    bins = dealt.groupBy("node", F.expr("(key - low) div step").alias("bin")).agg(F.sum("w").alias("w")).collect()
+
+    def histogram(keys: dict[str, np.ndarray], w: np.ndarray) -> dict[str, np.ndarray]:
+        leaf, rows = tree.leaf_of(keys), []
+        for n in nodes:
+            key = keys[n.dimension]
+            inside = (leaf == n.first) & (key >= n.low) & (key < n.high)
+            bins, at = np.unique((key[inside] - n.low) // -(-(n.high - n.low) // _BINS), return_inverse=True)
+            weights = np.zeros(len(bins), np.int64)
+            np.add.at(weights, at, w[inside])
+            rows.append((np.full(len(bins), n.first, np.int32), bins.astype(np.int64), weights))
+        return {c: np.concatenate([r[i] for r in rows]) for i, c in enumerate(("node", "bin", "w"))}
+
+    found = _summed(units, histogram, "node int, bin long, w long").groupBy("node", "bin").agg(F.sum("w").alias("w"))
     by_node: dict[int, list] = {}
-    for r in sorted(bins, key=lambda r: r["bin"]):
+    for r in sorted(found.collect(), key=lambda r: r["bin"]):
         by_node.setdefault(r["node"], []).append((r["bin"], r["w"]))
     still = []
     for n in nodes:
@@ -128,10 +170,7 @@ def _narrow(units: DataFrame, nodes: list[Node], tree: Node, fine: float) -> lis
 
 
 def _tree(units: DataFrame, shards: int, fine: float) -> Node:
-    tree = Node(0, shards)
-    top = units.agg(*[f(d).alias(f"{name}_{d}") for d in DIMENSIONS for name, f in (("low", F.min), ("high", F.max))]).first()
-    shift = _HASH_BITS + _SLICE_BITS
-    spans = {d: max(1, ((top[f"high_{d}"] or 0) >> shift) - ((top[f"low_{d}"] or 0) >> shift)) for d in DIMENSIONS}
+    tree, spans = Node(0, shards), {}
     level = [tree] if shards > 1 else []
     while level:
         _open(units, level, tree, spans)
@@ -145,6 +184,15 @@ def _tree(units: DataFrame, shards: int, fine: float) -> Node:
     return tree
 
 
+def _leaves(units: DataFrame, tree: Node) -> DataFrame:
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard = tree.leaf_of({d: batch.column(d).to_numpy() for d in DIMENSIONS})
+            yield pa.record_batch([*(batch.column(c) for c in ("h", "crc", "size", "slice")), pa.array(shard)], names=["h", "crc", "size", "slice", "shard"])
+
+    return units.mapInArrow(leaves, "h long, crc long, size long, slice long, shard int")
+
+
 def _with_slots(placed: DataFrame, rows: int) -> DataFrame:
     """Gapless numbers within each shard: by bucket in parallel, plus the rows of the buckets before."""
     buckets = max(1, math.isqrt(rows // 64))
@@ -196,7 +244,6 @@ def shard(
     marked, units = _units(rows, target, part)
     units = stage(_keyed(units), "units")
     tree = _tree(units, shards, fine=part * target / 4)
-    key = ["h", "crc", "size", "slice"]
-    placed = marked.join(units.select(*key, tree.column().alias("shard")), key)
-    placed = stage(placed.select("doc_id", "size", "crc", "h", F.col("shard").cast("int").alias("shard")), "shards")
+    placed = marked.join(_leaves(units, tree), ["h", "crc", "size", "slice"])
+    placed = stage(placed.select("doc_id", "size", "crc", "h", "shard"), "shards")
     return _with_slots(placed, whole["n"]).select("doc_id", "size", F.col("crc").alias("text_crc32"), "shard", F.col("slot").cast("long").alias("slot"))

@@ -15,7 +15,3 @@ def parse_list(text: Column) -> Column:
         "array<string>",
         {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"},
     )
-
-
-def write_list(items: Column) -> Column:
-    return F.to_json(items)

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values.
+# Unit words, marks that are stripped, and the patterns DOT_SUFFIX, MACRO and TAIL_* below.
 UNIT_WORDS = ["kb", "mb", "gb", "ms"]
 PUNCTUATION = [",", ".", ":", ";", ")", "(", "[", "]", "{", "}", "'", "/", '"', "<", ">"]
+PUNCTUATION_CLASS = "[" + "".join("\\" + c if c in "[]" else c for c in PUNCTUATION) + "]"
 
 # A number as people write it in logs: digit groups may hold single underscores.
 # (A cast to double would take `1d` or `0x1p3` and refuse `1_000`.)
@@ -25,7 +26,6 @@ DOT_SUFFIX = r"^(\(?[A-Za-z]+\)?)(\.{3,})(\d+)$"
 TAIL_IP = r"\b(?:\d{1,3}\.){3}\d{1,3}$"
 TAIL_HEX = r"(?:0x[0-9a-fA-F]+|[0-9a-fA-F]{8,})$"
 TAIL_EQ_DIGITS = r"=(\d+)$"
-PUNCTUATION_CLASS = r"[,.:;)(\[\]{}'/" + '"' + r"<>]"
 
 
 def is_number(value: Column, markers: Sequence[str] = ()) -> Column:

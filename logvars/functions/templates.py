@@ -109,8 +109,24 @@ def replace_nth_hole(template: Column, token: Column, n: Column) -> Column:
     return F.when(fits, F.concat(head, token, tail)).otherwise(template)
 
 
+# The capture group of such templates, and the characters they escape.
+GROUP = "(.*?)"
+ESCAPED = "\\()[]{}.+*?|^$:/-"
+_REGEX_PIECE = r"(?s)\(\.\*\?\)|\\[" + "".join("\\" + c for c in ESCAPED) + "]|."
+
+
 def from_regex_template(text: Column) -> Column:
     """Event template of a regex template: capture groups become holes."""
-    holed = F.regexp_replace(text, r"\(\.\*\?\)", HOLE)
-    plain = F.regexp_replace(holed, r"\\([\\()\[\]{}.+*?|^$:/\-])", "$1")
-    return F.regexp_replace(plain, r"\$$", "")
+    # One pass: a group becomes a hole, an escaped character itself, a closing anchor (escaped or not) nothing.
+    pieces = F.regexp_extract_all(text, F.lit(_REGEX_PIECE), F.lit(0))
+    last = F.size(pieces) - 1
+
+    def plain(piece: Column, i: Column) -> Column:
+        return (
+            F.when(piece == GROUP, F.lit(HOLE))
+            .when((i == last) & piece.isin("$", "\\$"), F.lit(""))
+            .when((F.length(piece) == 2) & piece.startswith("\\"), F.substring(piece, 2, 1))
+            .otherwise(piece)
+        )
+
+    return F.array_join(F.transform(pieces, plain), "")

@@ -36,7 +36,9 @@ def first_values(values: DataFrame) -> DataFrame:
     template finds them; no ordered aggregate over strings is needed.
     """
     starts = stage(values.groupBy("NewTemplate").agg(F.min("first_line").alias("first_line")), "starts")
-    return values.join(starts, ["NewTemplate", "first_line"])
+    found = values.join(starts, ["NewTemplate", "first_line"])
+    # Where lines share the first number, a hole has several values there: the smallest one counts.
+    return found.groupBy(*VARIABLE, "first_line").agg(F.min("value").alias("value"))
 
 
 def punctuation(firsts: DataFrame) -> DataFrame:

@@ -47,7 +47,8 @@ def parser_difference_sheet(base: DataFrame, other: DataFrame) -> DataFrame:
 
     (Template, Content, ParameterIndex, similarity), least similar first.
     """
-    differing = stage(compare_templates(exact_clusters(base, other)).where("Similarity < 1"), "pairs")
+    # Texts are alike in full exactly where they are equal.
+    differing = stage(compare_templates(exact_clusters(base, other).where("BaseTemplate <> EventTemplate")), "pairs")
     chosen = differing.groupBy("EventTemplate").agg(F.min("Similarity").alias("similarity"))
     hits = other.join(chosen, "EventTemplate")
     first = stage(hits.groupBy("EventTemplate").agg(F.min("LineId").alias("LineId")), "firsts")

@@ -26,9 +26,10 @@ def extract_parameters(lines: DataFrame, realign: bool = True) -> DataFrame:
 
     Lines whose token count differs from their template are aligned to it one by one,
     independent of line order.  With ``realign=False`` such lines are left out (see
-    :func:`unaligned_lines`).  A projection only: no join, no shuffle.
+    :func:`unaligned_lines`).  A null text, as an empty line of a CSV file gives, is one
+    empty token.  A projection only: no join, no shuffle.
     """
-    dynamic = lines.drop("ParameterList").where(tpl.is_dynamic(F.col("EventTemplate")) & F.col("Content").isNotNull())
+    dynamic = lines.drop("ParameterList").where(tpl.is_dynamic(F.col("EventTemplate"))).fillna("", ["Content"])
     if not realign:
         dynamic = dynamic.where(n_tokens("Content") == n_tokens("EventTemplate"))
     fitted = dynamic.withColumn("_fit", tpl.fit_line(F.col("Content"), F.col("EventTemplate")))
@@ -39,7 +40,8 @@ def extract_parameters(lines: DataFrame, realign: bool = True) -> DataFrame:
 
 def unaligned_lines(lines: DataFrame) -> DataFrame:
     """Lines whose token count differs from their re-cut template."""
-    return lines.where(tpl.is_dynamic(F.col("EventTemplate")) & (n_tokens("Content") != n_tokens("EventTemplate")))
+    differs = F.coalesce(n_tokens("Content"), F.lit(1)) != n_tokens("EventTemplate")
+    return lines.where(tpl.is_dynamic(F.col("EventTemplate")) & differs)
 
 
 def n_tokens(column: str) -> Column:

@@ -11,19 +11,18 @@ from .staging import stage
 
 # Fixed set of characters that may border a contained value.
 BOUNDARY = "._:-/\\,;|[](){}<>@#=+?"
-_BOUNDARY_CLASS = r"[._:\-/\\,;|\[\](){}<>@#=+?]"
-_NOT_BOUNDARY_CLASS = r"[^._:\-/\\,;|\[\](){}<>@#=+?]"
 
 
 def shared_value_edges(values: DataFrame) -> DataFrame:
     """(src, dst) from the smallest DynamicID of a value to every other one that has it.
 
-    A star per value instead of all pairs.  Rows are distinct per value and variable, so
-    one value gathers at most as many rows as there are variables.
+    A star per value instead of all pairs.
     """
-    linkable = values.where(~F.col("ValueType").isin("Value", "Unit")).select("value", "DynamicID").distinct()
-    smallest = F.min("DynamicID").over(Window.partitionBy("value"))
-    return linkable.select(smallest.alias("src"), F.col("DynamicID").alias("dst")).where("src <> dst").distinct()
+    linkable = values.where(~F.col("ValueType").isin("Value", "Unit")).select("value", "DynamicID")
+    ends = linkable.groupBy("value").agg(F.min("DynamicID").alias("src"), F.max("DynamicID").alias("last"))
+    # Few values are shared: only those are joined back.
+    shared = stage(ends.where("src <> last").select("value", "src"), "shared-values")
+    return linkable.join(shared, "value").select("src", F.col("DynamicID").alias("dst")).where("src <> dst").distinct()
 
 
 def number_groups(components: DataFrame) -> DataFrame:
@@ -42,41 +41,35 @@ def attach_groups(table: DataFrame, groups: DataFrame) -> DataFrame:
     return table.join(groups, "DynamicID", "left").fillna(0, ["GroupID"])
 
 
-def _cuts(text: Column) -> Column:
-    """Start offsets (0-based) of the pieces between boundary characters, plus length + 1."""
-    lengths = F.transform(F.split(text, _BOUNDARY_CLASS, -1), lambda piece: F.length(piece) + 1)
-    return F.aggregate(
-        lengths,
-        F.array(F.lit(0)),
-        lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n),
+def _pieces(text: Column) -> tuple[Column, Column]:
+    """Begins (0-based) and ends of the pieces between boundary characters, in one pass over the text."""
+    at = F.array_compact(
+        F.transform(F.split(text, ""), lambda c, i: F.when((c != "") & (F.instr(F.lit(BOUNDARY), c) > 0), i))
     )
+    return F.concat(F.array(F.lit(0)), F.transform(at, lambda i: i + 1)), F.concat(at, F.array(F.length(text)))
 
 
 def contained_pairs(values: DataFrame) -> DataFrame:
     """Distinct (short, long): ``short`` lies in ``long`` between boundary characters.
 
-    The pair test becomes an equality join: each long value offers its stretches from one
-    boundary to another, but only those with as many pieces as some short value has.  Only
+    The pair test becomes an equality join.  A long value is read once for each of its pieces; there it
+    offers only stretches with as many pieces as some short value that begins with that piece.  Only
     the first occurrence counts, all-digit and empty values are never the short side.
     """
-    texts = stage(values.select(F.col("value").alias("long")).distinct(), "texts")
-    pieces = F.length(F.regexp_replace("long", _NOT_BOUNDARY_CLASS, "")) + 1
-    shorts = texts.where(~F.col("long").rlike(r"^\d*$")).select(F.col("long").alias("short"), pieces.alias("n"))
-    # At most as many rows as the longest value has pieces.
-    widths = stage(shorts.groupBy("n").agg(F.count(F.lit(1)).alias("n_short")), "widths")
-    cuts = texts.select("long", _cuts(F.col("long")).alias("cuts")).withColumn("k", F.size("cuts") - 1)
-    # A proper stretch has fewer pieces than its value; keep the piece counts some short value has.
-    stretch = (
-        cuts.where(F.col("k") > 1)
-        .withColumn("n", F.explode(F.sequence(F.lit(1), F.col("k") - 1)))
-        .join(widths.select("n"), "n")
-        .withColumn("p", F.explode(F.sequence(F.lit(0), F.col("k") - F.col("n"))))
-    )
-    begin = F.get("cuts", F.col("p"))
-    width = F.get("cuts", F.col("p") + F.col("n")) - 1 - begin
-    candidates = stretch.select("long", begin.alias("begin"), F.substring("long", begin + 1, width).alias("short"))
-    first_only = candidates.where(F.expr("instr(long, short) = begin + 1 and short <> '' and not short rlike '^[0-9]*$'"))
-    return first_only.select("short", "long").join(shorts.select("short"), "short")
+    begins, ends = _pieces(F.col("long"))
+    texts = values.select(F.col("value").alias("long")).distinct()
+    cut = stage(texts.select("long", begins.alias("begins"), ends.alias("ends")), "texts").withColumn("k", F.size("ends"))
+    first = F.substring("long", F.lit(1), F.get("ends", F.lit(0)))
+    shorts = cut.where(~F.col("long").rlike(r"^\d*$")).select(F.col("long").alias("short"), first.alias("piece"), F.col("k").alias("n"))
+    widths = stage(shorts.select("piece", "n").distinct(), "widths")
+    starts = cut.where("k > 1").select("long", "ends", "k", F.posexplode("begins").alias("p", "begin"))
+    starts = starts.withColumn("piece", F.substring("long", F.col("begin") + 1, F.get("ends", F.col("p")) - F.col("begin")))
+    # A proper stretch has fewer pieces than its value.
+    met = starts.join(widths, "piece").where("p + n <= k and n < k")
+    width = F.get("ends", F.col("p") + F.col("n") - 1) - F.col("begin")
+    candidates = met.select("long", "begin", F.substring("long", F.col("begin") + 1, width).alias("short"))
+    found = candidates.join(shorts.select("short"), "short")
+    return found.where("instr(long, short) = begin + 1").select("short", "long")
 
 
 def contained_values(values: DataFrame) -> DataFrame:

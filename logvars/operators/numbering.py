@@ -25,14 +25,17 @@ def number_by_order(df: DataFrame, order: Sequence[str], name: str, start: int =
 
 
 def number_by_file_order(df: DataFrame, name: str = "LineId", start: int = 1) -> DataFrame:
-    """Number rows of a file scan in file order, one count per file block, no shuffle of rows."""
+    """Number rows of a file scan in file order, one count per file block, no shuffle of rows.
+
+    The located rows are written once, so that counts and rows come from the same blocks.
+    """
     located = df.select(
         "*",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_mid"),
     )
-    return _add_offsets(located, ["_file", "_block"], name, start)
+    return _add_offsets(stage(located, "located"), ["_file", "_block"], name, start)
 
 
 def _add_offsets(rows: DataFrame, keys: Sequence[str], name: str, start: int) -> DataFrame:

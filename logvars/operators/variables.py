@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import templates as tpl
@@ -50,13 +50,7 @@ def first_lines(extracted: DataFrame) -> DataFrame:
 def representative_lines(extracted: DataFrame, n: int, seed: str) -> DataFrame:
     """At most ``n`` distinct contents of each template in a reproducible random order."""
     rows = distinct_contents(extracted).withColumn("_h", hash_key(seed, "first_line"))
-    # Top-n per map task first, so a hot template sends n rows per task, not all of them.
-    rank = F.row_number().over(Window.partitionBy("NewTemplate").orderBy("_h", "first_line"))
-    if n <= 1000:
-        chosen = rows.withColumn("_r", rank).where(F.col("_r") <= n).drop("_r")
-    else:
-        chosen = prefix_rows(rows, ["NewTemplate"], [F.substring("_h", 1, 3)], ["_h", "first_line"], F.lit(n))
-    return chosen.drop("_h")
+    return prefix_rows(rows, ["NewTemplate"], [F.substring("_h", 1, 3)], ["_h", "first_line"], F.lit(n)).drop("_h")
 
 
 def representative_values(extracted: DataFrame, n: int, seed: str) -> DataFrame:
@@ -65,8 +59,3 @@ def representative_values(extracted: DataFrame, n: int, seed: str) -> DataFrame:
     holes = tpl.tokens_at_holes(tpl.tokens(F.col("Content")), tpl.tokens(F.col("NewTemplate")))
     params = chosen.select("NewTemplate", "first_line", F.posexplode(holes).alias("pos", "value"))
     return params.groupBy(*VARIABLE, "value").agg(F.min("first_line").alias("first_line"))
-
-
-def only_templates(values: DataFrame, templates: DataFrame) -> DataFrame:
-    """Keep the variables of the given (re-cut) templates."""
-    return values.join(templates.select("NewTemplate").distinct(), "NewTemplate", "left_semi")

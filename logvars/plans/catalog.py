@@ -89,12 +89,13 @@ def _keyed_values(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("value").startswith("session_"), "session")
         .when(F.col("value").startswith("broadcast_"), "block")
         .when(F.col("value").contains(".example.org:"), "peer")
+        .otherwise("rest")
     )
-    return _values(spark, sf).select(key.alias("GroupKey"), "value").where("GroupKey is not null").distinct()
+    return _values(spark, sf).select(key.alias("GroupKey"), "value").distinct()
 
 
 _KEYED = """(select distinct case when starts_with(value, 'session_') then 'session' when starts_with(value, 'broadcast_') then 'block'
-  when contains(value, '.example.org:') then 'peer' end as GroupKey, value from vals)"""
+  when contains(value, '.example.org:') then 'peer' else 'rest' end as GroupKey, value from vals)"""
 _FIXED = "(select distinct GroupKey, regexp_replace(Format, '(?:<D>\\s*){2,}', '<D>', 'g') as Format from formats_fixed)"
 
 
@@ -197,7 +198,7 @@ def variable_values(spark, sf):
 select NewTemplate, cast(pos as bigint) as pos, value, min(first_line) as first_line from (
   select NewTemplate, first_line, unnest(generate_series(0, len(ps) - 1)) as pos, unnest(ps) as value from (
     select *, list_filter(string_split(Content, ' '), lambda x, i: string_split(NewTemplate, ' ')[i] = '<*>') as ps from (
-      select *, row_number() over (partition by NewTemplate order by md5('19970411-' || first_line), first_line) as r
+      select *, row_number() over (partition by NewTemplate order by md5('line-sample-' || first_line), first_line) as r
       from (select NewTemplate, Content, min(LineId) as first_line from ext group by NewTemplate, Content)) where r <= 20))
 group by NewTemplate, pos, value"""))
 def representative_values(spark, sf):
@@ -297,31 +298,40 @@ def same_value_groups(spark, sf):
     return _grouped(spark, sf)[0].select("DynamicID", "NewTemplate", F.col("pos").cast("long"), "ValueType", "GroupID")
 
 
-_PAIRS = r"""pairs as (select s.value as short, l.value as long from texts s join texts l on strpos(l.value, s.value) > 0 and s.value <> l.value
-  where s.value <> '' and not regexp_matches(s.value, '^\d+$')
-    and (strpos(l.value, s.value) = 1 or contains('._:-/\,;|[](){}<>@#=+?', substring(l.value, strpos(l.value, s.value) - 1, 1)))
-    and (strpos(l.value, s.value) + length(s.value) - 1 = length(l.value)
-      or contains('._:-/\,;|[](){}<>@#=+?', substring(l.value, strpos(l.value, s.value) + length(s.value), 1))))"""
+# Undecided values of the logs, and made-up ones of which many contain each other, under numbers of their own.
+_OWNERS = """owners as (select distinct DynamicID, value from numbered where ValueType = 'Undecided'
+  union select DynamicID + 1000000, value from contain_values), texts as (select distinct value from owners)"""
+
+_PAIRS = r"""cut as (select value, [0] || [i for i in range(1, length(value) + 1) if contains('._:-/\,;|[](){}<>@#=+?', value[i])] || [length(value) + 1] as b
+    from texts),
+  opened as (select value, b, unnest(b) as lo from cut), closed as (select value, lo, unnest(b) as hi from opened),
+  pairs as (select s.value as short, l.value as long from closed l join texts s on s.value = l.value[l.lo + 1:l.hi - 1]
+    where l.hi > l.lo + 1 and s.value <> l.value and not regexp_matches(s.value, '^\d*$') and strpos(l.value, s.value) = l.lo + 1)"""
+
+
+def _owners(spark, sf):
+    _, rows, _ = _classified(spark, sf)
+    found = rows.where("ValueType = 'Undecided'").select(F.col("DynamicID").cast("long"), "value")
+    made = fx.contain_values(spark, sf).select((F.col("DynamicID") + 1000000).cast("long").alias("DynamicID"), "value")
+    return stage(found.union(made).distinct(), "owners")
 
 
 @query(sql(f"""
 select cast(DynamicID as bigint) as DynamicID, long, short, replace(long, short, '<sub>') as sub from (
-  with texts as (select distinct value from contain_values), {_PAIRS}
-  select v.DynamicID, long, short from contain_values v join pairs on v.value = long)"""))
+  with {_OWNERS}, {_PAIRS} select v.DynamicID, long, short from owners v join pairs on v.value = long)""", "numbered", "contain_values"))
 def contained_values(spark, sf):
-    found = groups.contained_values(fx.contain_values(spark, sf))
-    return found.withColumn("DynamicID", F.col("DynamicID").cast("long"))
+    return groups.contained_values(_owners(spark, sf))
 
 
 @query(sql(f"""
 select DynamicID, dense_rank() over (order by root) as GroupID from (
-  with recursive texts as (select distinct value from contain_values), {_PAIRS},
-  links as (select distinct a.DynamicID as s, b.DynamicID as d from pairs join contain_values a on a.value = short join contain_values b on b.value = long),
+  with recursive {_OWNERS}, {_PAIRS},
+  links as (select distinct a.DynamicID as s, b.DynamicID as d from pairs join owners a on a.value = short join owners b on b.value = long),
   both_ways as (select s, d from links union select d, s from links),
-  reached as (select distinct DynamicID as id, DynamicID as r from contain_values union select id, d from reached join both_ways on r = s)
-  select cast(id as bigint) as DynamicID, min(r) as root from reached group by id)"""))
+  reached as (select distinct DynamicID as id, DynamicID as r from owners union select id, d from reached join both_ways on r = s)
+  select cast(id as bigint) as DynamicID, min(r) as root from reached group by id)""", "numbered", "contain_values"))
 def containment_groups(spark, sf):
-    values = fx.contain_values(spark, sf).withColumn("DynamicID", F.col("DynamicID").cast("long"))
+    values = _owners(spark, sf)
     return groups.containment_groups(values.select("DynamicID").distinct(), values)
 
 
@@ -347,7 +357,7 @@ def token_budget(spark, sf):
 
 @query(sql("""
 select NewTemplate, cast(pos as bigint) as pos, value from (
-  select *, row_number() over (partition by NewTemplate, pos order by md5('19970411-' || value), value) as r,
+  select *, row_number() over (partition by NewTemplate, pos order by md5('line-sample-' || value), value) as r,
     count(*) over (partition by NewTemplate, pos) as n from vals)
 where r <= greatest(5, floor(n * 0.25::double))"""))
 def uniform_values(spark, sf):
@@ -377,9 +387,9 @@ _MATCHED = f"""{_ORDERED}, matched as (
 def _parts(value: str, fmt: str) -> str:
     rx = _rx(fmt)
     return (
-        f"case len(string_split({fmt}, '<D>')) - 1 when 0 then '' when 1 then regexp_extract({value}, {rx}, 1) "
+        f"case when {fmt} is null then null else case len(string_split({fmt}, '<D>')) - 1 when 0 then '' when 1 then regexp_extract({value}, {rx}, 1) "
         f"when 2 then concat_ws('|', regexp_extract({value}, {rx}, 1), regexp_extract({value}, {rx}, 2)) "
-        f"else concat_ws('|', regexp_extract({value}, {rx}, 1), regexp_extract({value}, {rx}, 2), regexp_extract({value}, {rx}, 3)) end"
+        f"else concat_ws('|', regexp_extract({value}, {rx}, 1), regexp_extract({value}, {rx}, 2), regexp_extract({value}, {rx}, 3)) end end"
     )
 
 
@@ -562,13 +572,15 @@ def _applied(spark, sf):
 
 
 def _items(records):
-    return records.select("LineId", "NewTemplate", F.explode_outer("params").alias("p")).where("p is not null").select(
+    return records.select("LineId", "NewTemplate", F.explode_outer("params").alias("p")).select(
         "LineId", "NewTemplate", F.col("p.pos").cast("long").alias("pos"), "p.value", _text("p.parts").alias("parts"),
         "p.format", "p.type", "p.num",
     )
 
 
-_ITEMS = sql(f"select LineId, NewTemplate, cast(pos as bigint) as pos, value, parts, format, type, {_NUM} as num from {_RECORDS}", extra=GROUP_PROPOSAL)
+_ITEMS = sql(f"""
+select LineId, NewTemplate, cast(pos as bigint) as pos, value, parts, format, type, {_NUM} as num from {_RECORDS}
+union all select LineId, NewTemplate, null, null, null, null, null, null from ext where coalesce(len(params), 0) = 0""", extra=GROUP_PROPOSAL)
 
 
 @query(_ITEMS)
@@ -604,8 +616,8 @@ def free_memory_by_host(spark, sf):
 
 
 @query(sql("""
-select LineId, Content, regexp_replace(regexp_replace(regexp_replace(RegexTemplate, '\\(\\.\\*\\?\\)', '<*>', 'g'),
-  '\\\\([\\\\()\\[\\]{}.+*?|^$:/\\-])', '\\1', 'g'), '\\$$', '') as EventTemplate from regex_logs"""))
+select LineId, Content, replace(replace(replace(replace(left(RegexTemplate, -1), '(.*?)', '<*>'), chr(92) || '(', '('), chr(92) || ')', ')'),
+  chr(92) || ':', ':') as EventTemplate from regex_logs"""))
 def regex_template_adapter(spark, sf):
     return compare.adapt_regex_templates(fx.regex_logs(spark, sf))
 
@@ -646,14 +658,14 @@ def parser_difference_sheet(spark, sf):
 
 @query(sql("""
 select EventTemplate as Template, LineId, Content as Log, cast(unnest(generate_series(0, len(params) - 1)) as bigint) as Index, unnest(params) as Value
-from (select *, row_number() over (partition by EventTemplate order by md5('19970411-' || LineId), LineId) as r from ext) where r <= 10"""))
+from (select *, row_number() over (partition by EventTemplate order by md5('line-sample-' || LineId), LineId) as r from ext) where r <= 10"""))
 def parameter_label_sheet(spark, sf):
     sheet = labels.parameter_label_sheet(_extracted(spark, sf), _templates(spark, sf), 10)
     return sheet.withColumn("Index", F.col("Index").cast("long"))
 
 
 @query(sql("""
-select LineId, EventTemplate, row_number() over (order by md5('19970411-' || LineId), LineId) <= floor(count(*) over () * 0.2::double) as selected
+select LineId, EventTemplate, row_number() over (order by md5('line-sample-' || LineId), LineId) <= floor(count(*) over () * 0.2::double) as selected
 from parsed_logs"""))
 def marked_share(spark, sf):
     return labels.mark_share(fx.parsed_logs(spark, sf).select("LineId", "EventTemplate"), "LineId", 0.2)
@@ -673,8 +685,7 @@ def format_label_sheet(spark, sf):
 
 
 def _annotators(spark, sf):
-    both = fx.annotations(spark, sf)
-    return both.select("row_id", F.col("type_a").alias("Type")), both.select("row_id", F.col("type_b").alias("Type"))
+    return fx.annotations(spark, sf, "a"), fx.annotations(spark, sf, "b")
 
 
 @query(sql("""

@@ -78,20 +78,18 @@ select doc_id as row_id,
 from {labels}
 """
 
+# The two sheets do not hold the same rows.
+_IN_SHEET = {"a": "row_id % 13 <> 1", "b": "row_id % 7 <> 2"}
+
 FORMATS = """
 select * from (values ('session', '<D>'), ('session', 'session_<D>'), ('block', 'broadcast_<D>_piece<D>'), ('block', 'broadcast_<D>'),
-  ('block', 'rdd_<D>'), ('peer', '<D>:<D>'), ('peer', '<D>.example.org:<D>'), ('peer', '<D> <D>')) as t(GroupKey, Format)
+  ('block', 'rdd_<D>'), ('peer', '<D>:<D>'), ('peer', '<D>.example.org:<D>'), ('peer', '<D> <D>'),
+  ('rest', 'file:/var/log/app_<D>/part-<D>.log'), ('rest', '<D>.0'), ('rest', 'core<D>')) as t(GroupKey, Format)
 """
 
-_SMALL_SCAN_PER_CORE = 16 << 20
-
 
 def scan(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A given table; a file too small to occupy all cores is spread over them."""
-    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if size < cores * _SMALL_SCAN_PER_CORE else df
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def parsed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,8 +110,10 @@ def contain_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_CONTAIN, events=scan(spark, sf_dir, "events"))
 
 
-def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_ANNOTATIONS, labels=scan(spark, sf_dir, "labels"))
+def annotations(spark: SparkSession, sf_dir: str, sheet: str) -> DataFrame:
+    """(row_id, Type) of annotator a or b."""
+    rows = spark.sql(_ANNOTATIONS, labels=scan(spark, sf_dir, "labels")).where(_IN_SHEET[sheet])
+    return rows.selectExpr("row_id", f"type_{sheet} as Type")
 
 
 def formats_fixed(spark: SparkSession) -> DataFrame:
@@ -125,6 +125,10 @@ CHECK_TABLES = {
     "parsed_logs_b": _LOGS_B.format(parsed_logs="parsed_logs"),
     "regex_logs": _REGEX_LOGS.format(parsed_logs="parsed_logs"),
     "contain_values": _CONTAIN.format(events="events"),
-    "annotations": _ANNOTATIONS.format(labels="labels"),
+    "annotations": f"""
+select coalesce(a.row_id, b.row_id) as row_id, a.type_a, b.type_b
+from (select * from ({_ANNOTATIONS.format(labels="labels")}) where {_IN_SHEET["a"]}) a
+full join (select * from ({_ANNOTATIONS.format(labels="labels")}) where {_IN_SHEET["b"]}) b on a.row_id is not distinct from b.row_id
+""",
     "formats_fixed": FORMATS,
 }

@@ -38,43 +38,45 @@ def run(
     until: str = "formats",
     prefixes: Sequence[str] | None = None,
     markers: Sequence[str] | None = None,
-    sample_ratio: float = 0.05,
     drift: bool = False,
     proposer=None,
+    keep_equals: bool = False,
 ) -> dict[str, DataFrame]:
-    """All stages as DataFrames; with ``out`` each is also written there.
+    """All stages as DataFrames; with ``out`` each is written there once and read on from there.
 
     ``until``: "grouped" stops before formats, "formats" (default), "analysis" adds the
-    records per line.  ``sample_ratio`` is checked, but formats are found from all values.
+    records per line.  ``keep_equals`` keeps the ``=`` of values cut as ``=digits``.
     """
-    if not 0 < sample_ratio <= 1:
-        raise ValueError("sample_ratio must be within (0, 1]")
     if until not in ("grouped", "formats", "analysis"):
         raise ValueError(f"unknown stage: {until}")
     prefixes = SPLIT_PREFIXES.get(dataset, []) if prefixes is None else prefixes
     markers = SPECIAL_MARKERS.get(dataset, []) if markers is None else markers
 
+    def keep(table: DataFrame, name: str) -> DataFrame:
+        if not out:
+            return stage(table, name)
+        write_table(table, f"{out}/{name}")
+        return table.sparkSession.read.schema(table.schema).parquet(f"{out}/{name}")
+
     extracted = extract_with_drift(lines) if drift else extract_parameters(lines)
     if drift or out or until == "analysis":
-        extracted = stage(extracted, "structured")
-    values = stage(variable_values(extracted), "values")
-    variables, rows, facts = classify(values, markers)
-    rows = stage(rows, "rows")
-    grouped = stage(attach_groups(variables, same_value_groups(variables, rows)), "grouped")
+        extracted = keep(extracted, "structured")
+    values = stage(variable_values(extracted), "distinct-values")
+    variables, rows, facts = classify(values, markers, keep_equals)
+    rows = keep(rows, "values")
+    grouped = keep(attach_groups(variables, same_value_groups(variables, rows)), "variables")
     result = {"structured": extracted, "variables": grouped, "values": rows}
     if until != "grouped":
         members = rows.join(grouped.select("DynamicID", "GroupID"), "DynamicID")
         formats = group_formats(members, prefixes, proposer)
-        result["formats"] = stage(format_rows(grouped, rows, formats), "formats")
+        result["formats"] = keep(format_rows(grouped, rows, formats), "formats")
     if until == "analysis":
         if proposer is None:
             templates = template_rules(facts, grouped, group_rules(members, prefixes))
-            result["analysis"] = apply_formats(extracted, templates, prefixes)
+            records = apply_formats(extracted, templates, prefixes, keep_equals)
         else:
-            result["analysis"] = analysis_ready(extracted, result["formats"])
-    if out:
-        for name, table in result.items():
-            write_table(table, f"{out}/{name}")
+            records = analysis_ready(extracted, result["formats"])
+        result["analysis"] = keep(records, "analysis") if out else records
     return result
 
 

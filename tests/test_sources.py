@@ -59,7 +59,7 @@ def test_run_writes_every_stage(spark, tmp_path):
 
 def test_run_options(spark):
     with pytest.raises(ValueError):
-        run(lines(spark, "x"), sample_ratio=0)
+        run(lines(spark, "x"), until="never")
     assert "formats" not in run(lines(spark, "x").drop("dataset"), until="grouped")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.functions import arrow_udf
 
 from logvars.operators.staging import shared_dir, stage
 
-__all__ = ["filesystem", "fold", "id_ranges", "range_count", "range_of", "shared_dir", "stage", "training_rows"]
+__all__ = ["filesystem", "fold", "id_ranges", "lowest_hashes", "range_count", "range_of", "shared_dir", "stage"]
 
 
 def fold(doc_id: Column, folds: int = 5) -> Column:
@@ -20,14 +20,17 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def training_rows(docs: DataFrame, rows: int, *columns: str, seed: int = 11) -> list:
-    """At most ``rows`` rows of ``columns``, the ones whose id and text hash lowest.
+def lowest_hashes(rows: DataFrame, total: int, limit: int, *columns: str) -> DataFrame:
+    """The ``limit`` rows whose hash of ``columns`` is lowest, whatever the partitions.
 
-    The choice depends on the rows alone, not on their order or partitions.  Spark keeps the
-    best ``rows`` of every task, so a task hands on no more than that.
+    ``total`` is the number of rows.  Rows far above the cut are dropped first, so that all tasks
+    together hand on about twice ``limit`` rows, and not ``limit`` each.
     """
-    rank = F.xxhash64(F.lit(seed), *[F.col(c) for c in columns])
-    return docs.select(*columns).orderBy(rank, *columns).limit(rows).collect()
+    here = F.xxhash64(*columns)
+    share = 2 * limit / max(1, total)
+    if share < 0.5:
+        rows = rows.where(here < F.lit(int(-(1 << 63) + share * (1 << 64))))
+    return rows.orderBy(here, *columns).limit(limit)
 
 
 def filesystem(path: str):

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import lowest_hashes, stage
 
 TAILS = 1024
 #: Symbols in a stretch of a training text; stretches of all texts cover every symbol.
@@ -83,13 +83,23 @@ class Lexicon:
 
 
 def lexicon(counts: DataFrame, texts: int, head: int, least: int = 4) -> Lexicon:
-    """Frequent words by count, then by word; the driver gets ``head`` words and ``TAILS`` sums.
+    """At most ``head`` words, the most frequent; the driver gets these, ``TAILS`` sums and a histogram of bounded size.
 
-    Words seen less than ``least`` times stay in the tail, whose symbols so learn what new words are like.
+    Words with nearly equal counts go to the head or the tail together.  Words seen less than ``least``
+    times stay in the tail, whose symbols so learn what new words are like.
     """
     if head + 1 + TAILS > 1 << 16:
         raise ValueError("symbols must fit in 16 bits")
-    top = [(r["word"], r["n"]) for r in counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(head).collect()]
+    level = F.floor(F.log2("n") * 256).cast("int")
+    frequent = counts.where(F.col("n") >= least).withColumn("level", level)
+    room, lowest = head, None
+    for r in sorted(frequent.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        room -= r["count"]
+        if room < 0:
+            break
+        lowest = r["level"]
+    chosen = frequent.where(F.col("level") >= lowest).select("word", "n").collect() if lowest is not None else []
+    top = sorted(((r["word"], r["n"]) for r in chosen), key=lambda x: (-x[1], x[0]))
     sums = {r["tail"]: (r["n"], r["v"]) for r in counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     tokens = texts + sum(n for n, _ in sums.values())
     distinct = sum(v for _, v in sums.values()) + (texts > 0)
@@ -268,8 +278,8 @@ def train(coded: DataFrame, lex: Lexicon, states: int, rounds: int, sample: int
     tails = np.maximum(lex.tail_total, 0.5)
     common = np.concatenate([lex.counts + 0.5, tails])
     common = common / common.sum()
-    few = trained.where("n_tokens > 20").orderBy(F.xxhash64("row"), "row").limit(sample).select(F.substring("symbols", 1, 2 * STRETCH).alias("s"))
-    model = _first_model([bytes(r["s"]) for r in few.collect()], common, states)
+    few = trained.where("n_tokens > 20").select("row", F.substring("symbols", 1, 2 * STRETCH).alias("s"))
+    model = _first_model([bytes(r["s"]) for r in lowest_hashes(few, few.count(), sample, "row").collect()], common, states)
     for _ in range(rounds):
         model = _one_round(trained, model, common)
     return model

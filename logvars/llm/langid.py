@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .common import lowest_hashes
+
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
@@ -41,20 +43,24 @@ def letters_only(text: str) -> str:
     return _OTHER.sub(" ", text.lower()).strip()
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = 300, size: int = 200_000) -> Languages:
+def learn(
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = 300, size: int = 200_000
+) -> Languages:
     """Dictionaries from at most ``sample`` texts of each language, ``size`` bytes each.
 
-    The texts are those whose hash is lowest, whatever the partitions; Spark keeps ``sample`` rows of
-    a task.  Rows without a language or a letter teach nothing; no rows give no languages.
+    The texts are those whose id and text hash lowest, whatever the partitions.  Rows without a
+    language or a letter teach nothing; no rows give no languages.
     """
-    known = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    names = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    known = known.where("lang is not null and text is not null")
+    totals = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    names = sorted(totals)
     dictionaries = []
     for name in names:
-        chosen = known.where(F.col("lang") == name).orderBy(F.xxhash64("text"), "text").limit(sample)
         # Every chosen text gives an equal part, so that no long or odd text fills the dictionary.
         part = -(-size // sample) * 2
-        texts = [letters_only(r["text"])[:part] for r in chosen.select(F.substring("text", 1, 4 * part).alias("text")).collect()]
+        cut = known.where(F.col("lang") == name).select("id", F.substring("text", 1, 4 * part).alias("text"))
+        texts = [letters_only(r["text"])[:part] for r in lowest_hashes(cut, totals[name], sample, "id", "text").collect()]
         dictionaries.append("\n".join(dict.fromkeys(t for t in texts if t)).encode()[-size:])
     kept = [(n, d) for n, d in zip(names, dictionaries, strict=True) if len(d) >= 8]
     return Languages([n for n, _ in kept], [d for _, d in kept])

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .common import lowest_hashes
+
 _CLASSES = 16
 _SHAPES = _CLASSES**3
 _WORDS = 512
@@ -170,7 +172,8 @@ def learn(
     the executors; the driver gets a bounded number of sparse vectors of bounded length.
     """
     named = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("label"))
-    chosen = named.where("id is not null and label is not null").orderBy(F.xxhash64("id"), "id", "label").limit(sample)
+    named = named.where("id is not null and label is not null")
+    chosen = lowest_hashes(named, named.count(), sample, "id", "label")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = texts.join(F.broadcast(chosen), "id").select("id", "label", arrow_udf(_term_column, "binary")("text").alias("terms"))
     rows = found.orderBy(F.xxhash64("id"), "id", "label", "terms").limit(sample).collect()

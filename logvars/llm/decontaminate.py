@@ -203,7 +203,8 @@ def _matcher(automaton: Automaton | None):
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.StructArray.from_arrays(arrays, names=["n_words", "starts", "ends", "items"])
 
-    return match
+    # A filter on the hits would otherwise be pushed below them and match once more.
+    return match.asNondeterministic()
 
 
 def _united(starts: pa.Array, ends: pa.Array) -> pa.Array:
@@ -232,28 +233,33 @@ def find_contamination(
     Null and empty texts have no words; repeated rows each get their result; no items or no rows give
     no hits.  Every other column stays.
     """
-    # Names that no column of the table can have taken.
-    raw = [f"_{out}_{i}" for i in range(1)]
-    while set(raw) & set(docs.columns):
-        raw = [f"_{c}" for c in raw]
+    raw = f"_{out}"
+    while any(c.startswith(raw) for c in docs.columns):
+        raw = f"_{raw}"
     found, columns = docs, []
     for i, automaton in enumerate(automata(items, window, item_id_col, item_text_col, block_words)):
-        columns.append(f"{raw[0]}_{i}")
+        columns.append(f"{raw}_{i}")
         found = found.withColumn(columns[-1], _matcher(automaton)(F.col(text_col)))
     if not columns:
-        columns = [f"{raw[0]}_0"]
+        columns = [f"{raw}_0"]
         found = found.withColumn(columns[0], _matcher(None)(F.col(text_col)))
-    joined = {k: F.concat(*[F.col(f"{c}.{k}") for c in columns]) for k in ("starts", "ends", "items")}
-    united = arrow_udf(_united, "starts array<int>, ends array<int>, n_hit long")(joined["starts"], joined["ends"])
-    found = found.withColumn(raw[0], united)
+    if len(columns) == 1:  # one automaton: its stretches are united already
+        found = found.withColumn(raw, F.col(columns[0]))
+        lengths = F.zip_with(F.col(f"{raw}.ends"), F.col(f"{raw}.starts"), lambda b, a: (b - a).cast("long"))
+        n_hit = F.aggregate(lengths, F.lit(0).cast("long"), lambda n, x: n + x)
+    else:
+        joined = {k: F.concat(*[F.col(f"{c}.{k}") for c in columns]) for k in ("starts", "ends")}
+        united = arrow_udf(_united, "starts array<int>, ends array<int>, n_hit long")(joined["starts"], joined["ends"])
+        found = found.withColumn(raw, united)
+        n_hit = F.col(f"{raw}.n_hit")
     result = F.struct(
         F.col(f"{columns[0]}.n_words").alias("n_words"),
-        F.col(f"{raw[0]}.n_hit").alias("n_hit"),
-        F.array_sort(F.array_distinct(joined["items"])).alias("items"),
-        F.col(f"{raw[0]}.starts").alias("starts"),
-        F.col(f"{raw[0]}.ends").alias("ends"),
+        n_hit.alias("n_hit"),
+        F.array_sort(F.array_distinct(F.concat(*[F.col(f"{c}.items") for c in columns]))).alias("items"),
+        F.col(f"{raw}.starts").alias("starts"),
+        F.col(f"{raw}.ends").alias("ends"),
     )
-    return found.withColumn(out, result).drop(*columns, raw[0])
+    return found.withColumn(out, result).drop(*columns, raw)
 
 
 def _without(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:

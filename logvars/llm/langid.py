@@ -111,7 +111,8 @@ def predictor(languages: Languages):
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.StructArray.from_arrays(columns, names=["lang", "score", "accepted"])
 
-    return predict
+    # A filter on the result would otherwise be pushed below it and predict once more.
+    return predict.asNondeterministic()
 
 
 def identify(docs: DataFrame, languages: Languages, text_col: str = "text", out: str = "language") -> DataFrame:

@@ -36,7 +36,7 @@ class _WordHashes(dict):
     """64-bit hashes of words; emptied when it is full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 150_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h

@@ -46,7 +46,7 @@ _TABLE = bytes(_class_of(b) for b in range(256))
 
 class _Buckets(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 150_000:
             self.clear()
         n = self[word] = zlib.crc32(word) % _WORDS
         return n
@@ -194,7 +194,8 @@ def scorer(model: Neighbours, block: int = 256):
                 out.append(model.scores(np.array([term_weights(t, buckets) for t in texts])))
             yield pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
 
-    return score
+    # A filter on the score would otherwise be pushed below it and score once more.
+    return score.asNondeterministic()
 
 
 def rate(docs: DataFrame, model: Neighbours, text_col: str = "text", out: str = "quality_score") -> DataFrame:

@@ -24,7 +24,7 @@ _CUTS = {
     "words": (re.compile(rf"[{_LATIN}]+|[0-9]|[{_MARKS}]+"), re.compile(r"[^ \t-\r]+")),
 }
 #: Chunks in each of the two generations of a worker's cache, and the longest that is kept.
-CACHED_CHUNKS, CACHED_LENGTH = 500_000, 48
+CACHED_CHUNKS, CACHED_LENGTH = 100_000, 48
 
 
 def _byte_letters() -> dict[int, str]:

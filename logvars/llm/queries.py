@@ -168,4 +168,22 @@ select page_id, cast(payload_bytes as bigint) as payload_bytes,
        case when f = page_id then null else f end as refers_to
 from v
 """
-ORACLE_SQL: dict[str, str] = {"op6_warc": WARC_SQL, "op4_decontamination": DECONTAMINATION_SQL}
+# All pairs that share a shingle, then everything that can be reached.
+NEAR_DUPLICATE_SQL = r"""
+with recursive
+doc_words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') as w
+  from documents),
+shingles as (
+  select distinct doc_id, s
+  from (select doc_id, unnest([array_to_string(w[i:i + 4], ' ') for i in range(1, greatest(len(w) - 3, 2))]) as s from doc_words where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as c from shingles a join shingles b using (s) where a.doc_id < b.doc_id group by all),
+links as (select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+both_ways as (select a as s, b as d from links union all select b, a from links),
+reached as (select doc_id as id, doc_id as r from documents union select id, d from reached join both_ways on r = s)
+select id as doc_id, coalesce(any_value(n), 0) as n_shingles, min(r) as component_id, id = min(r) as kept
+from reached left join sizes on doc_id = id group by id
+"""
+ORACLE_SQL: dict[str, str] = {"op9_minhash": NEAR_DUPLICATE_SQL, "op6_warc": WARC_SQL, "op4_decontamination": DECONTAMINATION_SQL}

@@ -42,18 +42,24 @@ def match_formats(values: DataFrame, formats: DataFrame, group: str = "GroupKey"
     """Add Format, Parts and matched to each value: the first format of its group that fits.
 
     The ordered list of a group travels as one array, so a value stays one row; there is
-    no product of values and formats and no shuffle back.
+    no product of values and formats and no shuffle back.  A pattern is tried only where the
+    value begins and ends with the format's own text and no format before it fits.
     """
-    ordered = order_formats(formats, group)
-    lists = stage(_lists(ordered, group, "format_rank", "Format", "regex", "slots"), "formats")
-    item = F.struct("Format", "regex", "slots")
+    ends = order_formats(formats, group).withColumns(
+        {"head": F.substring_index("Format", fm.SLOT, 1), "tail": F.substring_index("Format", fm.SLOT, -1)}
+    )
+    lists = stage(_lists(ends, group, "format_rank", "Format", "regex", "slots", "head", "tail"), "formats")
     kind = "struct<Format:string,regex:string,slots:int>"
+    value = F.col("value")
 
     def first_fit(found: Column, f: Column) -> Column:
-        fits = F.when(F.regexp_like(F.col("value"), f["regex"]), F.struct(f["Format"], f["regex"], f["slots"]).cast(kind))
-        return F.coalesce(found, fits)
+        # An anchored pattern also fits in front of a closing line feed.
+        ends_so = value.endswith(f["tail"]) | value.endswith(F.concat(f["tail"], F.lit("\n")))
+        fits = value.startswith(f["head"]) & ends_so & F.regexp_like(value, f["regex"])
+        return F.coalesce(found, F.when(fits, F.struct(f["Format"], f["regex"], f["slots"]).cast(kind)))
 
-    hit = F.aggregate(F.coalesce("_formats", F.array().cast(f"array<struct<format_rank:int,Format:string,regex:string,slots:int>>")), F.lit(None).cast(kind), first_fit)
+    none = F.array().cast("array<struct<format_rank:int,Format:string,regex:string,slots:int,head:string,tail:string>>")
+    hit = F.aggregate(F.coalesce("_formats", none), F.lit(None).cast(kind), first_fit)
     joined = values.join(lists, group, "left").withColumn("_hit", hit).drop("_formats")
     return joined.select(
         *values.columns,

@@ -20,7 +20,6 @@ from pyspark.sql.functions import arrow_udf
 from .common import lowest_hashes
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -84,7 +83,7 @@ class _Model:
         return np.array([sum([len(c(b)) for b in blocks]) for c in self.compress], dtype=float)
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        if not text or not self.names or not _LETTER.search(text):
+        if not text or not self.names or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, False
         raw = letters_only(text).encode()
         sizes = self.sizes(raw)

@@ -14,6 +14,7 @@ from ..functions import templates as tpl
 from ..operators import analysis, classify, compare, drift, extract, groups, induce, labels, match, numbering, sampling, variables
 from ..operators.staging import stage
 from . import fixtures as fx
+from . import check_sql as tests
 from .check_sql import GROUP_PROPOSAL, VARIABLE_PROPOSAL, format_regex, number, sql
 from .workflow import SPECIAL_MARKERS, SPLIT_PREFIXES, run
 
@@ -234,8 +235,8 @@ def _words(spark, sf):
 
 @query(sql(f"""
 select value, {number('value')} as is_number, lower(value) in ('kb', 'mb', 'gb', 'ms') as is_unit,
-  regexp_matches(value, '{p.HOST_PORT}') as is_host, regexp_matches(value, '{p.PATH}') as is_path,
-  regexp_matches(value, '{p.MACRO}') as is_macro, regexp_matches(value, '{p.DOT_SUFFIX}') as is_dot
+  {tests.host_port('value')} as is_host, {tests.path('value')} as is_path,
+  {tests.macro('value')} as is_macro, {tests.dot_suffix('value')} as is_dot
 from {_WORDS}"""))
 def value_tests(spark, sf):
     v = F.col("value")

@@ -2,25 +2,118 @@
 
 from __future__ import annotations
 
-from ..functions import predicates as p
 from .fixtures import CHECK_TABLES
 
+# The tests below say by splitting, trimming and counting what the library says by patterns.
+_MARKERS = "('X-', 'X+', 'Y-', 'Y+', 'Z-', 'Z+', 'x+', 'x-', 'y+', 'y-', 'z+', 'z-')"
+_DIGIT, _HEX, _UPPER = "0123456789", "0123456789abcdefABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_WORD = _UPPER + _UPPER.lower() + _DIGIT + "_"
+# Fixed set of marks that are stripped, as a character class.
+MARKS = r"[,.:;)(\[\]{}'/" + '"' + r"<>]"
+
 
 def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-_NUM = f"(regexp_matches(%s, {_q(p.NUMBER)}) or regexp_matches(%s, {_q(p.HEX_NUMBER)}))"
-_MARKERS = "('X-', 'X+', 'Y-', 'Y+', 'Z-', 'Z+', 'x+', 'x-', 'y+', 'y-', 'z+', 'z-')"
-MARKS = f"{p.PUNCTUATION_CLASS}"
+def _only(v: str, letters: str) -> str:
+    """Not empty, and of these characters only."""
+    return f"({v} <> '' and translate({v}, {_q(letters)}, '') = '')"
 
 
-def number(v: str) -> str:
-    return "coalesce(" + _NUM.replace("%s", v) + f" or {v} in {_MARKERS}, false)"
+def _every(pieces: str, test: str) -> str:
+    return f"list_bool_and([{test} for piece in {pieces}])"
+
+
+def _grouped_digits(v: str) -> str:
+    return _every(f"string_split({v}, '_')", _only("piece", _DIGIT))
+
+
+def _unsigned(v: str) -> str:
+    return f"(case when left({v}, 1) in ('+', '-') then substring({v}, 2) else {v} end)"
 
 
 def plain_number(v: str) -> str:
-    return _NUM.replace("%s", v)
+    """A decimal number with an exponent, nan, inf, infinity, or a hexadecimal number."""
+    bare = f"lower(trim({v}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))"
+    body = _unsigned("n")
+    parts = f"string_split({body}, 'e')"
+    mantissa = f"string_split({parts}[1], '.')"
+    whole, fraction = f"{mantissa}[1]", f"coalesce({mantissa}[2], '')"
+    digits = (
+        f"(len({mantissa}) <= 2 and ({whole} <> '' or {fraction} <> '')"
+        f" and ({whole} = '' or {_grouped_digits(whole)}) and ({fraction} = '' or {_grouped_digits(fraction)}))"
+    )
+    exponent = f"(len({parts}) = 1 or len({parts}) = 2 and {_grouped_digits(_unsigned(f'{parts}[2]'))})"
+    decimal = f"({body} in ('nan', 'inf', 'infinity') or {digits} and {exponent})"
+    hexadecimal = f"(lower(left({_unsigned(v)}, 2)) = '0x' and {_only(f'substring({_unsigned(v)}, 3)', _HEX)})"
+    return f"([{decimal} for n in [{bare}]][1] or {hexadecimal})"
+
+
+def number(v: str) -> str:
+    return f"coalesce({plain_number(v)} or {v} in {_MARKERS}, false)"
+
+
+def host_port(v: str) -> str:
+    """Two or more labels of letters, digits and hyphens, a colon, digits."""
+    labels = f"string_split(string_split({v}, ':')[1], '.')"
+    label = _only("piece", _UPPER + _UPPER.lower() + _DIGIT + "-")
+    return f"(len(string_split({v}, ':')) = 2 and {_only(f'string_split({v}, chr(58))[2]', _DIGIT)} and len({labels}) >= 2 and {_every(labels, label)})"
+
+
+def path(v: str) -> str:
+    """A drive, or two slashes, or two pairs of backslashes."""
+    pair = "chr(92) || chr(92)"
+    drive = f"({_only(f'left({v}, 1)', _UPPER + _UPPER.lower())} and substring({v}, 2, 1) = ':' and substring({v}, 3, 1) in ('/', chr(92)))"
+    pairs = f"(contains({v}, {pair}) and contains(substring({v}, strpos({v}, {pair}) + 2), {pair}))"
+    return f"({drive} or length({v}) - length(replace({v}, '/', '')) >= 2 or {pairs})"
+
+
+def macro(v: str) -> str:
+    return _every(f"string_split({v}, '_')", _only("piece", _UPPER))
+
+
+def dot_suffix(v: str) -> str:
+    """A word, perhaps in brackets, three or more dots, digits."""
+    pieces = f"string_split({v}, '.')"
+    word = f"(case when left({pieces}[1], 1) = '(' then substring({pieces}[1], 2) else {pieces}[1] end)"
+    bare = f"(case when right({word}, 1) = ')' then left({word}, -1) else {word} end)"
+    return (
+        f"(len({pieces}) >= 4 and {_only(bare, _UPPER + _UPPER.lower())} and {_only(f'{pieces}[-1]', _DIGIT)}"
+        f" and array_to_string({pieces}[2:-2], '') = '')"
+    )
+
+
+def dot_head(v: str) -> str:
+    return f"left({v}, length(rtrim({v}, {_q(_DIGIT)})))"
+
+
+def dot_tail(v: str) -> str:
+    return f"substring({v}, length(rtrim({v}, {_q(_DIGIT)})) + 1)"
+
+
+def _run(v: str, letters: str) -> str:
+    """The characters of ``letters`` that end a text."""
+    return f"substring({v}, length(rtrim({v}, {_q(letters)})) + 1)"
+
+
+def tail_ip(v: str) -> str:
+    pieces = f"string_split({v}, '.')"
+    first = _run(f"{pieces}[-4]", _DIGIT)
+    before = f"right(rtrim({pieces}[-4], {_q(_DIGIT)}), 1)"
+    short = " and ".join(f"{_only(x, _DIGIT)} and length({x}) <= 3" for x in (first, f"{pieces}[-3]", f"{pieces}[-2]", f"{pieces}[-1]"))
+    edge = f"({before} = '' or translate({before}, {_q(_WORD)}, '') <> '')"
+    return f"(case when len({pieces}) >= 4 and {short} and {edge} then {first} || '.' || array_to_string({pieces}[-3:], '.') else '' end)"
+
+
+def tail_hex(v: str) -> str:
+    run = _run(v, _HEX)
+    before = f"rtrim({v}, {_q(_HEX)})"
+    return f"(case when {run} <> '' and right({before}, 2) = '0x' then '0x' || {run} when length({run}) >= 8 then {run} else '' end)"
+
+
+def tail_eq(v: str) -> str:
+    return f"(case when {_run(v, _DIGIT)} <> '' and right(rtrim({v}, {_q(_DIGIT)}), 1) = '=' then {_run(v, _DIGIT)} else '' end)"
 
 
 # Named tables in the order in which they may refer to each other.
@@ -55,8 +148,8 @@ select vals.*, template_line, b, e, substring(v, 1, b) || '<C>' || substring(v,
   substring(value, b + 1, greatest(length(value) - b - e, 0)) as s
 from vals join marks using (NewTemplate, pos)""",
     "tails": f"""
-select *, regexp_extract(s, {_q(p.TAIL_IP)}) as ip, regexp_extract(s, {_q(p.TAIL_HEX)}) as hx,
-  regexp_extract(s, {_q(p.TAIL_EQ_DIGITS)}, 1) as eq from stripped""",
+select *, {tail_ip('s')} as ip, {tail_hex('s')} as hx,
+  {tail_eq('s')} as eq from stripped""",
     "affix": f"""
 select NewTemplate, pos, template_line, min(marks) as marks,
   case when bool_and({number('value')}) then 'raw'
@@ -77,19 +170,19 @@ select t.NewTemplate, t.pos, t.template_line, f.affix, f.TokenFormat, t.value as
 from tails t join formatted f using (NewTemplate, pos)""",
     "typed": f"""
 select NewTemplate, pos, template_line, affix, TokenFormat,
-  affix <> 'raw' and bool_and(regexp_matches(v, {_q(p.DOT_SUFFIX)})) as is_dot,
-  case when affix = 'raw' or bool_and(regexp_matches(v, {_q(p.DOT_SUFFIX)})) or bool_and({number('v')}) then 'Value'
+  affix <> 'raw' and bool_and({dot_suffix('v')}) as is_dot,
+  case when affix = 'raw' or bool_and({dot_suffix('v')}) or bool_and({number('v')}) then 'Value'
     when bool_and(lower(v) in ('kb', 'mb', 'gb', 'ms')) then 'Unit'
-    when bool_and(regexp_matches(v, {_q(p.HOST_PORT)})) then 'Identifier'
-    when bool_and(regexp_matches(v, {_q(p.PATH)})) then 'Path'
-    when bool_and(regexp_matches(v, {_q(p.MACRO)})) then 'Macro'
+    when bool_and({host_port('v')}) then 'Identifier'
+    when bool_and({path('v')}) then 'Path'
+    when bool_and({macro('v')}) then 'Macro'
     when contains(TokenFormat, 'url=') then 'Path' else 'Undecided' end as ValueType
 from normal group by NewTemplate, pos, template_line, affix, TokenFormat""",
     "named": f"""
 select n.NewTemplate, n.pos, n.template_line, n.TokenFormat, y.ValueType, n.token, n.first_line,
-  case when is_dot then regexp_extract(v, {_q(p.DOT_SUFFIX)}, 1) || regexp_extract(v, {_q(p.DOT_SUFFIX)}, 2) || '<D>'
+  case when is_dot then {dot_head('v')} || '<D>'
     when ValueType = 'Identifier' then '<D>:<D>' else '<D>' end as ComponentFormat,
-  case when is_dot then regexp_extract(v, {_q(p.DOT_SUFFIX)}, 3) else v end as value
+  case when is_dot then {dot_tail('v')} else v end as value
 from normal n join typed y using (NewTemplate, pos)""",
     "variables": """
 select row_number() over (order by template_line, pos, min(first_line), ComponentFormat) - 1 as DynamicID,
@@ -130,11 +223,11 @@ def _proposal(source: str, keys: str) -> dict[str, str]:
     whole = " or ".join(
         f"regexp_matches(value, {_q(rx)})"
         for rx in [r"<D|D>", r"^[A-Za-z][A-Za-z0-9+.-]*://", r"^[A-Za-z0-9_$-]+(?:\.[A-Za-z0-9_$-]+)+$",
-                   r"^[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5,}$", p.PATH]
-    )
+                   r"^[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5,}$"]
+    ) + " or " + path("value")
     return {
         "shaped": f"""
-select *, case when regexp_matches(value, {_q(p.HOST_PORT)}) then 'joined' when {whole} or value = '' then 'whole'
+select *, case when {host_port('value')} then 'joined' when {whole} or value = '' then 'whole'
   when regexp_matches(value, '[@:=$#]') then 'joined' else 'parts' end as kind,
   regexp_replace(value, '[^_-]+', '', 'g') as shape from {source}""",
         "segments": f"""

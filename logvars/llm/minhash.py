@@ -332,7 +332,7 @@ def near_duplicates(
     classes = stage(prints.where("n_shingles > 0").groupBy(*same_set).agg(F.min("doc_id").alias("cid")), "set-classes")
     # Rows of a class other than its first document's: copies, mostly few beside the table.
     whole = prints.where("n_shingles > 0").select("doc_id", *same_set).join(classes, same_set)
-    copies = stage(whole.where("not doc_id <=> cid").select("doc_id", *same_set).distinct(), "copies")
+    copies = stage(whole.where("not doc_id <=> cid").select("doc_id", *same_set), "copies")
     firsts = prints.where("n_shingles > 0 and doc_id is not null").join(copies, ["doc_id", *same_set], "left_anti")
     reps = stage(firsts.select(F.col("doc_id").alias("cid"), "bands", "signature"), "class-prints")
     keyed = reps.select("cid", F.explode("bands").alias("key"))

@@ -1,14 +1,16 @@
 """A hidden Markov language model, trained by Baum-Welch over all partitions.
 
-Latent states emit symbols: each of the most frequent words is one, every other word belongs to a
-symbol by its last bytes and takes its share of that symbol from its corpus count.  So what the
-workers hold is bounded (``head`` words and ``TAILS`` symbols) while every word keeps its exact count,
-which reaches the documents by a join.  Expected counts are summed by the executors in each round;
-a text's probability is the exact forward recursion over all of its symbols.
+Latent states emit words.  Workers hold the emissions of the ``head`` most frequent ones; those of all
+other words seen often enough (the middle) are a distributed table of expected counts, summed by the
+executors in each round, whose rows reach the documents by a join.  Only rare and unknown words share
+symbols by their last bytes, each with the part that its corpus count has in its symbol.  A text's
+probability is the exact forward recursion over all of its words.
 """
 
 from __future__ import annotations
 
+import contextlib
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -17,14 +19,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lowest_hashes, stage
+from .common import lowest_hashes, shared_dir, stage
 
 TAILS = 1024
 #: Symbols in a stretch of a training text; stretches of all texts cover every symbol.
 STRETCH = 512
+#: Expected counts of the middle's words are rounded to parts of so many, which compress well in shuffles.
+UNITS = 1 << 20
 SEQUENCES = "row long, doc_id long, held_out boolean, n_tokens long, symbols binary, tail string"
 
 
@@ -63,13 +67,20 @@ def word_counts(docs: DataFrame, text_col: str = "text", waiting: int = 400_000)
 
 @dataclass
 class Lexicon:
-    """The frequent words (symbol 0 is the end of a text) and what the others weigh."""
+    """The frequent words (symbol 0 is the end of a text) and what the others weigh.
+
+    Weights are counts + 0.5; the middle are the words that are seen ``least`` times but are not in the head.
+    """
 
     words: list[str]
     counts: np.ndarray  # of the end and the frequent words
     tokens: int  # N
     distinct: int  # V
-    tail_total: np.ndarray  # by tail symbol: tokens + (words + 1) / 2
+    tail_total: np.ndarray  # by tail symbol, of words seen less than ``least`` times: tokens + (words + 1) / 2
+    least: int
+    lowest: int | None  # level of the last of the head
+    middle: int  # words
+    middle_total: float
 
     @property
     def symbols(self) -> int:
@@ -81,17 +92,31 @@ class Lexicon:
     def base_total(self) -> float:
         return self.tokens + 0.5 * (self.distinct + 1)
 
+    def weight(self) -> float:
+        return float((self.counts + 0.5).sum() + self.tail_total.sum() + self.middle_total)
+
+    def common(self) -> np.ndarray:
+        """Share of each symbol; what is missing to 1 is the share of the middle."""
+        return np.concatenate([self.counts + 0.5, self.tail_total]) / self.weight()
+
+    def in_middle(self) -> Column:
+        seen = F.col("n") >= self.least
+        return seen if self.lowest is None else seen & (_level() < self.lowest)
+
+
+def _level() -> Column:
+    return F.floor(F.log2("n") * 256).cast("int")
+
 
 def lexicon(counts: DataFrame, texts: int, head: int, least: int = 4) -> Lexicon:
     """At most ``head`` words, the most frequent; the driver gets these, ``TAILS`` sums and a histogram of bounded size.
 
-    Words with nearly equal counts go to the head or the tail together.  Words seen less than ``least``
-    times stay in the tail, whose symbols so learn what new words are like.
+    Words with nearly equal counts go to the head or the middle together.  Words seen less than ``least``
+    times are the tail, whose symbols so learn what new words are like.
     """
     if head + 1 + TAILS > 1 << 16:
         raise ValueError("symbols must fit in 16 bits")
-    level = F.floor(F.log2("n") * 256).cast("int")
-    frequent = counts.where(F.col("n") >= least).withColumn("level", level)
+    frequent = counts.where(F.col("n") >= least).withColumn("level", _level())
     room, lowest = head, None
     for r in sorted(frequent.groupBy("level").count().collect(), key=lambda r: -r["level"]):
         room -= r["count"]
@@ -100,17 +125,26 @@ def lexicon(counts: DataFrame, texts: int, head: int, least: int = 4) -> Lexicon
         lowest = r["level"]
     chosen = frequent.where(F.col("level") >= lowest).select("word", "n").collect() if lowest is not None else []
     top = sorted(((r["word"], r["n"]) for r in chosen), key=lambda x: (-x[1], x[0]))
-    sums = {r["tail"]: (r["n"], r["v"]) for r in counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    tokens = texts + sum(n for n, _ in sums.values())
-    distinct = sum(v for _, v in sums.values()) + (texts > 0)
-    total = np.array([n + 0.5 * (v + 1) for n, v in (sums.get(t, (0, 0)) for t in range(TAILS))])
-    for word, n in top:
-        total[tail_symbol(word.encode())] -= n + 0.5
-    return Lexicon([w for w, _ in top], np.array([texts, *(n for _, n in top)], dtype=np.int64), tokens, distinct, total)
+    rare = F.col("n") < least
+    sums = counts.groupBy("tail").agg(
+        F.sum("n").alias("n"),
+        F.count(F.lit(1)).alias("v"),
+        F.coalesce(F.sum(F.when(rare, F.col("n"))), F.lit(0)).alias("rare_n"),
+        F.count(F.when(rare, 1)).alias("rare_v"),
+    )
+    sums = {r["tail"]: r for r in sums.collect()}
+    tokens = texts + sum(r["n"] for r in sums.values())
+    distinct = sum(r["v"] for r in sums.values()) + (texts > 0)
+    total = np.array([sums[t]["rare_n"] + 0.5 * (sums[t]["rare_v"] + 1) if t in sums else 0.5 for t in range(TAILS)])
+    middle = sum(r["v"] - r["rare_v"] for r in sums.values()) - len(top)
+    middle_total = sum(r["n"] - r["rare_n"] for r in sums.values()) - sum(n for _, n in top) + 0.5 * middle
+    return Lexicon(
+        [w for w, _ in top], np.array([texts, *(n for _, n in top)], dtype=np.int64), tokens, distinct, total, least, lowest, middle, middle_total
+    )
 
 
 def sequences(docs: DataFrame, held_out: Column, lex: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Symbols of every text (16 bits each, the end last) and its infrequent words, one row per row."""
+    """Symbols of every text (16 bits each, the end last) and its words outside the head, one row per row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,11 +173,90 @@ def sequences(docs: DataFrame, held_out: Column, lex: Lexicon, id_col: str = "do
     return rows.mapInArrow(encode, SEQUENCES)
 
 
+def in_buckets(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Written once, in buckets by ``key``, so that a join by it moves only its other side."""
+    spark = rows.sparkSession
+    name = f"{name}_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = rows.repartition(parts, key).write.format("parquet").bucketBy(parts, key)
+    with shuffles_end(spark):
+        writer.option("path", f"{shared_dir(spark).rstrip('/')}/logvars-{name}").saveAsTable(name)
+    written = spark.table(name)
+    spark.sql(f"drop table {name}")  # from the catalog; the files stay like those of other stages
+    return written
+
+
+@contextlib.contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written in here go when it is written, not when the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def tail_words(coded: DataFrame) -> DataFrame:
+    """(row, word): the distinct words of each text outside the head."""
+    return coded.select("row", F.explode(F.array_distinct(F.split("tail", " "))).alias("word")).where("word <> ''")
+
+
+def with_own(coded: DataFrame, pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """``coded`` and, as ``own``, the rows of ``table`` (word, n, counts by state or null) for the words of each text.
+
+    No word outside the head is more frequent than the last of the head, so no key of the join is hot.
+    """
+    found = pairs.join(table, "word").groupBy("row").agg(F.collect_list(F.struct("word", "n", "by_state")).alias("own"))
+    return coded.join(found, "row", "left")
+
+
+@dataclass
+class Own:
+    """Words of some texts that are not in the head, numbered from ``symbols`` on if they have emissions of their own."""
+
+    texts: list[np.ndarray]
+    words: list[str]  # with emissions
+    n: np.ndarray  # of these
+    by_state: np.ndarray  # of these
+    counts: dict[str, int]  # of all that are known
+
+
+def numbered(batch: pa.RecordBatch, symbols: int, states: int) -> Own:
+    texts = [np.frombuffer(s, dtype="<u2").astype(np.int32) for s in batch.column("symbols").to_pylist()]
+    rows = batch.column("own").flatten()
+    found, n = rows.field("word").to_pylist(), rows.field("n").to_numpy(zero_copy_only=False)
+    counts = dict(zip(found, n.tolist(), strict=True))
+    valid = np.flatnonzero(rows.field("by_state").is_valid().to_numpy(zero_copy_only=False))
+    by_state = rows.field("by_state").flatten().to_numpy(zero_copy_only=False).reshape(-1, states)
+    first = {found[j]: i for i, j in enumerate(valid.tolist())}
+    chosen = np.array(list(first.values()), dtype=np.int64)
+    numbers = {w: symbols + i for i, w in enumerate(first)}
+    if numbers:
+        first_tail = symbols - TAILS
+        for text, tail in zip(texts, batch.column("tail").to_pylist(), strict=True):
+            if tail:
+                at = np.flatnonzero(text >= first_tail)
+                own = np.array([numbers.get(w, 0) for w in tail.split(" ")], dtype=np.int32)
+                text[at] = np.where(own > 0, own, text[at])
+    return Own(texts, list(first), n[valid][chosen], by_state[chosen].astype(float), counts)
+
+
 @dataclass
 class Model:
     start: np.ndarray  # states
     move: np.ndarray  # states x states
     emit: np.ndarray  # symbols x states
+    #: For words of the middle: what their shares of the corpus count for, and the total of counts, by state.
+    mix: np.ndarray | None = None
+    total: np.ndarray | None = None
+
+    def own(self, counts: np.ndarray, share: np.ndarray) -> np.ndarray:
+        return (counts + self.mix * share[:, None]) / self.total
+
+    def extended(self, rows: np.ndarray) -> Model:
+        return Model(self.start, self.move, np.concatenate([self.emit, rows])) if len(rows) else self
 
     def log10_probability(self, texts: list[np.ndarray], width: int = 512) -> np.ndarray:
         """Exact scaled forward recursion, texts of like length at once."""
@@ -174,18 +287,23 @@ class Expected:
         self.model = model
         self.start, self.move, self.emit = np.zeros_like(model.start), np.zeros_like(model.move), np.zeros_like(model.emit)
 
-    def add(self, texts: list[np.ndarray]) -> None:
-        """``texts`` of at most STRETCH symbols each; forward and backward over all of them at once."""
+    def add(self, texts: list[np.ndarray], own: np.ndarray | None = None) -> np.ndarray:
+        """``texts`` of at most STRETCH symbols each; forward and backward over all of them at once.
+
+        Gives the emission counts of the further symbols, whose emissions are ``own``.
+        """
+        emit = self.model.emit if own is None else np.concatenate([self.model.emit, own])
+        counts = np.zeros_like(emit)
         texts = sorted(texts, key=len, reverse=True)
         n = np.array([len(t) for t in texts])
         if not len(n):
-            return
+            return counts[len(self.emit) :]
         length, states = n[0], len(self.model.start)
         steps = np.zeros((length, len(texts)), dtype=np.int64)
         for j, t in enumerate(texts):
             steps[: n[j], j] = t
         alive = len(texts) - np.searchsorted(n[::-1], np.arange(length), side="right")
-        seen = self.model.emit[steps]
+        seen = emit[steps]
         alpha, scales = np.zeros((length, len(texts), states)), np.ones((length, len(texts)))
         for t in range(length):
             k = alive[t]
@@ -203,28 +321,39 @@ class Expected:
         self.start += gamma[0].sum(axis=0)
         inside = np.arange(length)[:, None] < n[None, :]
         for s in range(states):
-            self.emit[:, s] += np.bincount(steps[inside], weights=gamma[:, :, s][inside], minlength=len(self.emit))
+            counts[:, s] = np.bincount(steps[inside], weights=gamma[:, :, s][inside], minlength=len(emit))
+        self.emit += counts[: len(self.emit)]
+        return counts[len(self.emit) :]
 
 
-def _stretches(raw: bytes) -> list[np.ndarray]:
-    codes = np.frombuffer(raw, dtype="<u2")
+def _stretches(codes: np.ndarray) -> list[np.ndarray]:
     return [codes[i : i + STRETCH] for i in range(0, len(codes), STRETCH)]
 
 
-def _maximised(start: np.ndarray, move: np.ndarray, emit: np.ndarray, common: np.ndarray) -> Model:
-    """Shares of the counts, mixed with the corpus's symbol shares: the more, the more symbols of a state are new ones."""
-    emit = emit + (1 + (emit > 0.5).sum(axis=0)) * common[:, None]
+def _maximised(start: np.ndarray, move: np.ndarray, emit: np.ndarray, common: np.ndarray, own_seen: np.ndarray, own_total: np.ndarray) -> Model:
+    """Shares of the counts, mixed with the corpus's symbol shares: the more, the more symbols of a state are new ones.
+
+    ``own_seen`` and ``own_total`` are the numbers and the counts of the middle's words by state.
+    """
+    mix = 1 + (emit > 0.5).sum(axis=0) + own_seen
+    total = emit.sum(axis=0) + own_total + mix
     move = move + 1e-2
-    return Model((start + 1e-2) / (start + 1e-2).sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+    start = (start + 1e-2) / (start + 1e-2).sum()
+    return Model(start, move / move.sum(axis=1, keepdims=True), (emit + mix * common[:, None]) / total, mix, total)
 
 
-def _first_model(sample: list[bytes], common: np.ndarray, states: int) -> Model:
-    """States from groups of sampled texts with like frequent symbols (k-means with fixed seeds)."""
-    texts = [np.frombuffer(s, dtype="<u2") for s in sample]
+def _first_model(sample: list[tuple[bytes, list[str]]], common: np.ndarray, states: int, middle: set[str]) -> tuple[Model, dict[str, np.ndarray]]:
+    """States from groups of sampled texts with like frequent symbols (k-means with fixed seeds), and the middle's counts."""
+    texts = [np.frombuffer(s, dtype="<u2") for s, _ in sample]
     shown = np.argsort(-common, kind="stable")[:256]
-    x = np.array([np.sqrt(np.bincount(t, minlength=len(common))[shown] / len(t)) for t in texts]).reshape(len(texts), len(shown))
-    emit = np.zeros((len(common), states))
+    first_tail = len(common) - TAILS
+    emit, own = np.zeros((len(common), states)), {}
     if len(texts):
+        held = []  # symbols without the middle's words
+        for t, (_, tail) in zip(texts, sample, strict=True):
+            at = np.flatnonzero(t >= first_tail)
+            held.append(np.delete(t, [i for i, w in zip(at, tail, strict=False) if w in middle]))
+        x = np.array([np.sqrt(np.bincount(h, minlength=len(common))[shown] / len(t)) for h, t in zip(held, texts, strict=True)])
         centres = [x[0]]
         for _ in range(states - 1):  # the text farthest from all centres so far
             centres.append(x[int(np.argmax(np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0)))])
@@ -232,36 +361,52 @@ def _first_model(sample: list[bytes], common: np.ndarray, states: int) -> Model:
         for _ in range(20):
             group = ((x[:, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
             c = np.array([x[group == g].mean(axis=0) if (group == g).any() else c[g] for g in range(states)])
-        for t, g in zip(texts, group, strict=True):
-            emit[:, g] += np.bincount(t, minlength=len(common))
-    return _maximised(np.ones(states), np.full((states, states), 0.1) + 9 * np.eye(states), emit, common)
+        for h, t, (_, tail), g in zip(held, texts, sample, group, strict=True):
+            emit[:, g] += np.bincount(h, minlength=len(common))
+            for w in tail[: int((t >= first_tail).sum())]:
+                if w in middle:
+                    own.setdefault(w, np.zeros(states))[g] += 1
+    rows = np.array(list(own.values())).reshape(-1, states)
+    move = np.full((states, states), 0.1) + 9 * np.eye(states)
+    return _maximised(np.ones(states), move, emit, common, (rows > 0.5).sum(axis=0), rows.sum(axis=0)), own
 
 
-def _one_round(trained: DataFrame, model: Model, common: np.ndarray) -> Model:
-    """Expected counts of all training texts, summed by symbol on the executors; the driver gets one row per symbol."""
-    states = len(model.start)
+def _one_round(texts: DataFrame, model: Model, lex: Lexicon) -> tuple[Model, DataFrame]:
+    """Expected counts of all training texts, summed by symbol or word on the executors.
+
+    The driver gets one row per symbol; those of the middle stay a table.
+    """
+    states, common, weight = len(model.start), lex.common(), lex.weight()
     names = [f"s{i}" for i in range(states)]
-    # Rows below zero hold the start counts (-1) and the moves from state i (-2 - i).
-    schema = "symbol int, " + ", ".join(f"{c} double" for c in names)
+    # Rows below zero hold the start counts (-1) and the moves from state i (-2 - i); words have no symbol.
+    schema = "symbol int, word string, n long, " + ", ".join(f"{c} double" for c in names)
+
+    def rows(symbols: pa.Array, found: pa.Array, n: pa.Array, table: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([symbols, found, n, *(pa.array(np.ascontiguousarray(table[:, i])) for i in range(states))], names=["symbol", "word", "n", *names])
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Expected(model)
-        waiting: list[np.ndarray] = []
         for whole in batches:
-            for raw in whole.column("symbols"):
-                waiting += _stretches(raw.as_py())
-                if len(waiting) >= 512:
-                    found.add(waiting)
-                    waiting = []
-        found.add(waiting)
+            for at in range(0, whole.num_rows, 512):
+                own = numbered(whole.slice(at, 512), len(model.emit), states)
+                emit = model.own(own.by_state, (own.n + 0.5) / weight)
+                parts = sorted((p for t in own.texts for p in _stretches(t)), key=len)
+                counts = np.zeros_like(emit)
+                for i in range(0, len(parts), 512):
+                    counts += found.add(parts[i : i + 512], emit)
+                if own.words:
+                    counts = np.round(counts * UNITS) / UNITS
+                    yield rows(pa.nulls(len(own.words), pa.int32()), pa.array(own.words), pa.array(own.n, pa.int64()), counts)
         used = np.flatnonzero(found.emit.any(axis=1))
         keys = np.concatenate([[-1], -2 - np.arange(states), used]).astype(np.int32)
         table = np.concatenate([found.start[None], found.move, found.emit[used]])
-        yield pa.record_batch([pa.array(keys), *(pa.array(np.ascontiguousarray(table[:, i])) for i in range(states))], names=["symbol", *names])
+        yield rows(pa.array(keys), pa.nulls(len(keys), pa.string()), pa.nulls(len(keys), pa.int64()), table)
 
-    counts = trained.select("symbols").mapInArrow(expect, schema).groupBy("symbol").agg(*[F.sum(c).alias(c) for c in names])
+    summed = texts.select("symbols", "tail", "own").mapInArrow(expect, schema).groupBy("symbol", "word", "n").agg(*[F.sum(c).alias(c) for c in names])
+    with shuffles_end(texts.sparkSession):
+        counts = stage(summed, "expected") if lex.middle else summed
     start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit)
-    for r in counts.collect():
+    for r in counts.where("symbol is not null").select("symbol", *names).collect():
         values = np.array(r[1:], dtype=float)
         if r["symbol"] >= 0:
             emit[r["symbol"]] = values
@@ -269,46 +414,69 @@ def _one_round(trained: DataFrame, model: Model, common: np.ndarray) -> Model:
             start = values
         else:
             move[-2 - r["symbol"]] = values
-    return _maximised(start, move, emit, common)
+    own = counts.where("symbol is null")
+    seen, total = np.zeros(states), np.zeros(states)
+    if lex.middle:
+        r = own.agg(*[F.count(F.when(F.col(c) > 0.5, 1)) for c in names], *[F.coalesce(F.sum(c), F.lit(0.0)) for c in names]).first()
+        seen, total = np.array(r[:states]), np.array(r[states:])
+    return _maximised(start, move, emit, common, seen, total), own.select("word", "n", _by_state(names))
+
 
+def _by_state(names: list[str]) -> Column:
+    return F.array(*[F.coalesce(F.col(c), F.lit(0.0)).cast("float") for c in names]).alias("by_state")
 
-def train(coded: DataFrame, lex: Lexicon, states: int, rounds: int, sample: int = 1000) -> Model:
-    """``rounds`` of Baum-Welch over all training sequences, from groups of a bounded sample."""
+
+def train(coded: DataFrame, lex: Lexicon, counts: DataFrame, states: int, rounds: int, sample: int = 1000) -> tuple[Model, DataFrame]:
+    """``rounds`` of Baum-Welch over all training sequences, from groups of a bounded sample.
+
+    Gives the model and the middle's table (word, n, by_state).
+    """
+    spark = coded.sparkSession
+    names = [f"s{i}" for i in range(states)]
     trained = coded.where("not held_out")
-    tails = np.maximum(lex.tail_total, 0.5)
-    common = np.concatenate([lex.counts + 0.5, tails])
-    common = common / common.sum()
-    few = trained.where("n_tokens > 20").select("row", F.substring("symbols", 1, 2 * STRETCH).alias("s"))
-    model = _first_model([bytes(r["s"]) for r in lowest_hashes(few, few.count(), sample, "row").collect()], common, states)
+    middle = counts.where(lex.in_middle()).select("word", "n")
+    few = trained.where("n_tokens > 20").select("row", F.substring("symbols", 1, 2 * STRETCH).alias("s"), F.slice(F.split("tail", " "), 1, STRETCH).alias("tail"))
+    texts = [(r["row"], bytes(r["s"]), r["tail"]) for r in lowest_hashes(few, few.count(), sample, "row").collect()]
+    pairs, known = None, set()
+    if lex.middle:
+        pairs = in_buckets(tail_words(trained).join(middle.select("word"), "word", "left_semi"), "word", "middle_words")
+        drawn = spark.createDataFrame([(row,) for row, _, _ in texts], "row long")
+        known = {r["word"] for r in pairs.join(F.broadcast(drawn), "row", "left_semi").select("word").distinct().collect()}
+    model, first = _first_model([(s, tail) for _, s, tail in texts], lex.common(), states, known)
+    table = spark.createDataFrame([(w, *map(float, v)) for w, v in first.items()], "word string, " + ", ".join(f"{c} double" for c in names))
+    table = middle.join(table, "word", "left").select("word", "n", _by_state(names))
     for _ in range(rounds):
-        model = _one_round(trained, model, common)
-    return model
+        own = F.lit(None).cast("array<struct<word: string, n: bigint, by_state: array<float>>>")
+        model, table = _one_round(with_own(trained, pairs, table) if lex.middle else trained.withColumn("own", own), model, lex)
+    return model, table
 
 
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, sequence double, tails double"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
 
-def _score_sequences(coded: DataFrame, model: Model, lex: Lexicon) -> DataFrame:
-    base = np.log10(lex.counts + 0.5)
-    tails = np.log10(np.maximum(lex.tail_total, 0.5))
-    first_tail = len(lex.counts)
+def _score_sequences(texts: DataFrame, model: Model, lex: Lexicon) -> DataFrame:
+    base, tails, weight = np.log10(lex.counts + 0.5), np.log10(lex.tail_total), lex.weight()
+    first_tail, states = len(lex.counts), len(model.start)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                texts = [np.frombuffer(s, dtype="<u2") for s in batch.column("symbols").to_pylist()]
-                head = [t[t < first_tail] for t in texts]
-                columns = [
-                    pa.array([int((lex.counts[h] > 0).sum()) for h in head], pa.int64()),
-                    pa.array([float(base[h].sum()) for h in head], pa.float64()),
-                    pa.array(model.log10_probability(texts), pa.float64()),
-                    pa.array([float(tails[t[t >= first_tail] - first_tail].sum()) for t in texts], pa.float64()),
-                ]
-                kept = [batch.column(c) for c in ("row", "doc_id", "held_out", "n_tokens")]
+                own = numbered(batch, len(model.emit), states)
+                known, bases, shares = [], [], []
+                for t, tail in zip(own.texts, batch.column("tail").to_pylist(), strict=True):
+                    head, others = t[t < first_tail], t[t >= first_tail]
+                    n = np.array([own.counts.get(w, 0) for w in tail.split(" ")] if tail else [])
+                    weights, rare = np.log10(n + 0.5), others < len(model.emit)
+                    known.append(int((lex.counts[head] > 0).sum() + (n > 0).sum()))
+                    bases.append(float(base[head].sum() + weights.sum()))
+                    shares.append(float((weights[rare] - tails[others[rare] - first_tail]).sum()))
+                sequence = model.extended(model.own(own.by_state, (own.n + 0.5) / weight)).log10_probability(own.texts)
+                columns = [pa.array(known, pa.int64()), pa.array(bases, pa.float64()), pa.array(sequence + np.array(shares), pa.float64())]
+                kept = [batch.column(c) for c in ("doc_id", "held_out", "n_tokens")]
                 yield pa.record_batch([*kept, *columns], names=[c.split()[0] for c in SCORED.split(", ")])
 
-    return coded.select("row", "doc_id", "held_out", "n_tokens", "symbols").mapInArrow(score, SCORED)
+    return texts.select("doc_id", "held_out", "n_tokens", "symbols", "tail", "own").mapInArrow(score, SCORED)
 
 
 def language_model_scores(
@@ -323,23 +491,19 @@ def language_model_scores(
     """
     held_out = F.coalesce(held_out, F.lit(False))
     train_docs = docs.where(~held_out)
-    counts = stage(word_counts(train_docs, text_col), "word-counts")
+    with shuffles_end(docs.sparkSession):
+        counts = stage(word_counts(train_docs, text_col), "word-counts")
     lex = lexicon(counts, train_docs.count(), head)
-    coded = stage(sequences(docs, held_out, lex, id_col, text_col), "sequences")
-    model = train(coded, lex, states, rounds)
-    # No infrequent word is more frequent than the last of the head, so no key of this join is hot.
-    rare = coded.select("row", F.explode(F.split("tail", " ")).alias("word")).where("word <> ''")
-    known = rare.join(counts.select("word", "n"), "word", "left")
-    sums = known.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("tail_base"), F.count("n").alias("tail_known"))
-    scored = _score_sequences(coded, model, lex).join(sums, "row", "left")
-    tail_base = F.coalesce("tail_base", F.lit(0.0))
-    total = float(np.log10(lex.base_total()))
+    coded = in_buckets(sequences(docs, held_out, lex, id_col, text_col), "row", "sequences")
+    model, table = train(coded, lex, counts, states, rounds)
+    others = counts.where(~lex.in_middle()).select("word", "n", F.lit(None).cast("array<float>").alias("by_state"))
+    scored = _score_sequences(with_own(coded, tail_words(coded), table.unionByName(others)), model, lex)
     return scored.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
+        "n_known",
         F.lit(lex.tokens).cast("long").alias("train_tokens"),
-        (F.col("head_base") + tail_base - F.col("n_tokens") * total).alias("base_score"),
-        (F.col("sequence") + tail_base - F.col("tails")).alias("score"),
+        (F.col("base") - F.col("n_tokens") * float(np.log10(lex.base_total()))).alias("base_score"),
+        "score",
     )

@@ -346,6 +346,13 @@ def test_language_model(spark, sf, head):
     assert sum(r.score for r in held_out) > sum(r.base_score for r in held_out)
 
 
+def test_words_outside_the_head_keep_their_emissions(spark, sf):
+    """Wherever the head ends, the model and its scores are the same."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    whole, cut = ({r.doc_id: r.score for r in hmm.language_model_scores(docs, fold(F.col("doc_id")) == 1, head=h).collect()} for h in (49_152, 600))
+    assert whole.keys() == cut.keys() and all(abs(cut[i] - s) < 1e-3 for i, s in whole.items())
+
+
 def test_language_model_is_a_distribution(spark):
     """Over all words and lengths the probabilities of short texts add up to the model's share of them."""
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", "a", "b b a", "c"] * 5)], "doc_id long, text string")

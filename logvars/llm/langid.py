@@ -7,13 +7,14 @@ so that a long text cannot serve as its own dictionary; all blocks count.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -42,25 +43,46 @@ def letters_only(text: str) -> str:
     return _OTHER.sub(" ", text.lower()).strip()
 
 
+def lesson(text: str, part: int) -> bytes:
+    """At most ``part`` bytes of letters from a place that the text's checksum chooses among all."""
+    raw = letters_only(text).encode()
+    if len(raw) <= part:
+        return raw
+    at = zlib.crc32(raw) % (len(raw) - part + 1)
+    return raw[at : at + part].decode("utf-8", "ignore").encode()
+
+
+def _lessons():
+    """A column function: text and number of bytes to lesson."""
+
+    @arrow_udf("binary")
+    def lessons(texts: pa.Array, parts: pa.Array) -> pa.Array:
+        return pa.array([lesson(t, p) for t, p in zip(texts.to_pylist(), parts.to_pylist(), strict=True)], pa.binary())
+
+    return lessons
+
+
 def learn(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = 300, size: int = 200_000
 ) -> Languages:
-    """Dictionaries from at most ``sample`` texts of each language, ``size`` bytes each.
+    """Dictionaries from at most ``sample`` different texts of each language, at most ``size`` bytes each.
 
-    The texts are those whose id and text hash lowest, whatever the partitions.  Rows without a
-    language or a letter teach nothing; no rows give no languages.
+    The texts are those whose hash is lowest, whatever the partitions and ids.  Each gives an equal part at
+    most, from a place of the whole text that its content chooses.  Rows without a language or a letter
+    teach nothing; no rows give no languages.
     """
-    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    known = known.where("lang is not null and text is not null")
-    totals = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    known = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    known = known.where("lang is not null").where(F.col("text").rlike(r"\p{L}"))
+    totals = known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n"))
+    totals = {r["lang"]: r["n"] for r in totals.collect()}
     names = sorted(totals)
     dictionaries = []
     for name in names:
-        # Every chosen text gives an equal part, so that no long or odd text fills the dictionary.
-        part = -(-size // sample) * 2
-        cut = known.where(F.col("lang") == name).select("id", F.substring("text", 1, 4 * part).alias("text"))
-        texts = [letters_only(r["text"])[:part] for r in lowest_hashes(cut, totals[name], sample, "id", "text").collect()]
-        dictionaries.append("\n".join(dict.fromkeys(t for t in texts if t)).encode()[-size:])
+        chosen = lowest_hashes(known.where(F.col("lang") == name).select("text").distinct(), totals[name], sample, "text")
+        # One byte less, as parts are joined by one.
+        part = F.floor(F.lit(size) / F.count(F.lit(1)).over(Window.partitionBy())).cast("int") - 1
+        parts = chosen.select("text", part.alias("part")).select(_lessons()("text", "part").alias("lesson"))
+        dictionaries.append(b"\n".join(dict.fromkeys(bytes(r["lesson"]) for r in parts.collect() if r["lesson"])))
     kept = [(n, d) for n, d in zip(names, dictionaries, strict=True) if len(d) >= 8]
     return Languages([n for n, _ in kept], [d for _, d in kept])
 

@@ -86,6 +86,19 @@ def test_languages_with_odd_rows(spark, odd_docs, no_docs):
     assert {r.language.lang for r in langid.identify(odd_docs, empty).collect()} == {langid.UNKNOWN}
 
 
+def test_every_chosen_text_teaches_from_any_of_its_places(spark):
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    rows = [(i, f"{name(i)}é" * 900, "aa") for i in range(300)] + [(i, "1 " * 4000 + "late letters", "bb") for i in range(300, 303)]
+    rows += [(1000 + i, rows[0][1], "aa") for i in range(2000)]
+    languages = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert languages.names == ["aa", "bb"] and languages.dictionaries[1] == b"late letters"
+    parts = languages.dictionaries[0].split(b"\n")
+    assert len(parts) == 300 and len(languages.dictionaries[0]) <= 200_000 and min(map(len, parts)) > 600
+    text = "".join(f"{name(i)} " for i in range(4000))
+    part = langid.lesson(text, 500)
+    assert len(part) <= 500 and text.encode().index(part) > 0
+
+
 def test_narrow_margins_are_rejected():
     french, german = "le chat et la souris dans une maison " * 9, "der Hund und die Katze in einem Haus " * 9
     model = langid._Model(langid.Languages(["de", "fr"], [german.encode(), french.encode()], judged=20))

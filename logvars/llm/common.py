@@ -12,7 +12,7 @@ from pyspark.sql.functions import arrow_udf
 
 from logvars.operators.staging import shared_dir, stage
 
-__all__ = ["filesystem", "fold", "id_ranges", "lowest_hashes", "range_count", "range_of", "shared_dir", "stage"]
+__all__ = ["filesystem", "fold", "id_ranges", "lowest_hashes", "new_column", "range_count", "range_of", "shared_dir", "stage"]
 
 
 def fold(doc_id: Column, folds: int = 5) -> Column:
@@ -67,3 +67,10 @@ def range_of(column: Column, bounds: Sequence[int]) -> Column:
 def range_count(spark: SparkSession) -> int:
     """Ranges to cut a table into: a few for each shuffle partition, so that their sizes even out."""
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def new_column(rows: DataFrame, name: str) -> str:
+    """``name``, if no column of ``rows`` has it; names differ in more than case."""
+    if name.lower() in {c.lower() for c in rows.columns}:
+        raise ValueError(f"the table has a column {name} already; choose another name for the result")
+    return name

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality
+from . import byte_bpe, langid, quality
 from .common import fold
 from .decontaminate import find_contamination
 from .hmm import language_model_scores
@@ -115,6 +115,21 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model_scores(docs, fold(F.col("doc_id")) == 1)
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as ids of a byte-level BPE, and the ids as bytes again."""
+    import public_tokenizers
+
+    how = {"path": tokenizer_path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = byte_bpe.decode(byte_bpe.encode(docs, **how).drop("text"), **how)
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
@@ -126,6 +141,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_minhash": op9_minhash,
     "op10_language_model": op10_language_model,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 
 # Windows of ten words (or whole shorter items) by position, joined on their words.

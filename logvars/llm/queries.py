@@ -9,11 +9,13 @@ from . import byte_bpe, langid, quality
 from .common import fold
 from .decontaminate import find_contamination
 from .hmm import language_model_scores
+from .lexical import search
 from .minhash import near_duplicates
 from .packing import pack
 from .sharding import shard
 from .token_files import read_token_files, write_token_files
 from .warc import number_column, read_archives, write_archives
+from .whitening import whiten
 from .winnow import edited_likeness
 
 
@@ -130,6 +132,16 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all documents for each benchmark item."""
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of all embeddings."""
+    return whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
@@ -142,6 +154,8 @@ QUERIES = {
     "op9_minhash": op9_minhash,
     "op10_language_model": op10_language_model,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_whitening": op13_whitening,
 }
 
 # Windows of ten words (or whole shorter items) by position, joined on their words.
@@ -202,4 +216,34 @@ reached as (select doc_id as id, doc_id as r from documents union select id, d f
 select id as doc_id, coalesce(any_value(n), 0) as n_shingles, min(r) as component_id, id = min(r) as kept
 from reached left join sizes on doc_id = id group by id
 """
-ORACLE_SQL: dict[str, str] = {"op9_minhash": NEAR_DUPLICATE_SQL, "op6_warc": WARC_SQL, "op4_decontamination": DECONTAMINATION_SQL}
+# All postings of the items' terms, summed by item and document.
+LEXICAL_SEARCH_SQL = r"""
+with
+doc_terms as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from documents),
+item_terms as (
+  select item_id, term, count(*) as times
+  from (select item_id,
+               unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+        from benchmark)
+  group by item_id, term),
+lengths as (select doc_id, count(*) as n from doc_terms group by doc_id),
+totals as (select count(*) as docs, cast(sum(n) as bigint) as terms from lengths),
+measures as (select doc_id, 100 - 25 + ((25 * n * docs) // terms) as m from lengths, totals),
+tf as (select doc_id, term, count(*) as tf from doc_terms where term in (select term from item_terms) group by doc_id, term),
+weights as (select term, cast(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) as bigint) as w from tf, totals group by term),
+scores as (
+  select item_id, doc_id, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) as bigint) as score
+  from item_terms join tf using (term) join weights using (term) join measures using (doc_id) group by item_id, doc_id),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) as r from scores where score > 0)
+select item_id, cast(r as integer) as rank, doc_id, score from ranked where r <= 20
+"""
+ORACLE_SQL: dict[str, str] = {
+    "op9_minhash": NEAR_DUPLICATE_SQL,
+    "op6_warc": WARC_SQL,
+    "op4_decontamination": DECONTAMINATION_SQL,
+    "op12_lexical_search": LEXICAL_SEARCH_SQL,
+}

@@ -302,3 +302,51 @@ def test_result_does_not_depend_on_partitions(spark):
         joined = table.join(grouped, "DynamicID").select("DynamicID", "NewTemplate", "pos", "ValueType", "GroupID")
         results.append(sorted(map(tuple, joined.collect())))
     assert results[0] == results[1] == results[2]
+
+
+def replayed(rows):
+    state, out = {}, {}
+    for line, content, template in rows:
+        state[template] = align_by_hand(state.get(template, recut_by_hand(template)), content)
+        out[line] = state[template]
+    return out
+
+
+def test_a_change_in_the_first_of_many_chunks_reaches_the_last_in_few_rounds(spark, monkeypatch):
+    rows = [(1, "a b x c", "a b <*>")] + [(i, f"a b {i}" if i % 50 else f"a  {i} q", "a b <*>") for i in range(2, 641)]
+    rounds = []
+    monkeypatch.setattr(drift, "stage", lambda df, name: rounds.append(name) or stage(df, name))
+    got = drift.extract_with_drift(spark.createDataFrame(rows, LINES), chunk_rows=10)
+    assert {r.LineId: r.NewTemplate for r in got.collect()} == replayed(rows)
+    # One round for each depth of templates, and one for each power of the block among 64 chunks.
+    assert rounds.count("drift-moves") + rounds.count("drift-entering") <= 8
+
+
+def test_drift_over_outlying_repeated_and_missing_line_numbers(spark):
+    rows = random_lines(300, 5)
+    rows = [(i * (1 if i < 250 else 10**12), c, t) for i, c, t in rows] + [(1 << 62, "a b c", "a <*> b")]
+    got = drift.extract_with_drift(spark.createDataFrame(rows, LINES), chunk_rows=10).collect()
+    assert {r.LineId: r.NewTemplate for r in got} == replayed(rows)
+    # Lines that share a number, or have none, follow each other in one fixed order.
+    odd = [(None if i % 3 else 7, c, t) for i, c, t in random_lines(200, 6)]
+    table = spark.createDataFrame(odd, LINES)
+    by_hash = [tuple(r)[:3] for r in table.orderBy(F.asc_nulls_first("LineId"), F.xxhash64("Content")).collect()]
+    state, want = {}, []
+    for line, content, template in by_hash:
+        state[template] = align_by_hand(state.get(template, recut_by_hand(template)), content)
+        want.append((line or -1, content, template, state[template]))
+    for chunk_rows in (9, 1000):
+        found = drift.extract_with_drift(table, chunk_rows).collect()
+        assert sorted((r.LineId or -1, r.Content, r.EventTemplate, r.NewTemplate) for r in found) == sorted(want)
+
+
+def test_prefix_states_against_a_walk(spark):
+    rnd = random.Random(9)
+    maps = [(t, c, [rnd.randrange(4) for _ in range(4)]) for t in (1, 2) for c in sorted(rnd.sample(range(700), 90))]
+    table = stage(spark.createDataFrame(maps, "tid int, chunk long, map array<int>"), "maps")
+    want, state = {}, {}
+    for t, c, step in maps:
+        want[t, c] = state.get(t, 0)
+        state[t] = step[want[t, c]]
+    for block in (3, 64, 1000):
+        assert {(r.tid, r.chunk): r.state for r in drift.prefix_states(table, block).collect()} == want

@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import stage
+from .common import stage as write_stage
+from .hmm import shuffles_end
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: Minima kept for the signature, 16 bits each.
@@ -32,6 +33,12 @@ BLOCK, BLOCK_SHINGLES = 256, 1_000_000
 FILTER_BITS = 1 << 25
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """A written table, whose shuffle files go as soon as it is written."""
+    with shuffles_end(df.sparkSession):
+        return write_stage(df, name)
+
+
 class _WordHashes(dict):
     """64-bit hashes of words; emptied when it is full."""
 

@@ -2,85 +2,155 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formats as fm
+from ..functions.formats import SLOT
 from .staging import stage
 
 
-def _lists(formats: DataFrame, group: str, *fields: str) -> DataFrame:
-    """The format list of each group as one array; lists of formats are short by design."""
-    return formats.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_formats"))
+#: Characters of a format's literal text by which it is looked up.
+STRETCH = 12
+_PROBE = "struct<kind:string,text:string>"
 
 
-def order_formats(formats: DataFrame, group: str = "GroupKey") -> DataFrame:
-    """(group, Format, regex, slots, n_more_general, format_rank), specific formats first.
+def _keys(group: str | Sequence[str]) -> list[str]:
+    return [group] if isinstance(group, str) else list(group)
 
-    A format is more general than another if its pattern matches the other's text but
-    not the other way round; both ends are anchored.
+
+def _probe(kind: str, text: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), text.alias("text")).cast(_PROBE)
+
+
+def format_index(formats: DataFrame, group: str | Sequence[str]) -> DataFrame:
+    """``formats`` (group, Format, …) with ``kind`` and ``text``: one literal stretch that every fitting value has.
+
+    ``whole``: a format without slots; ``head``, ``tail``: how values begin or end; ``middle``: what they
+    contain; ``any``: a format without text of its own.  Of several stretches that with the fewest
+    formats of the group is taken, then the longest.
     """
-    clean = (
-        formats.select(group, fm.merge_slots(F.col("Format")).alias("Format"))
-        .distinct()
-        .withColumn("regex", fm.to_regex(F.col("Format")))
-        .withColumn("slots", fm.count_slots(F.col("Format")))
-    )
-    lists = _lists(clean, group, "Format", "regex")
-    general = F.size(
-        F.filter(
-            "_formats",
-            lambda g: F.regexp_like(F.col("Format"), g["regex"]) & ~F.regexp_like(g["Format"], F.col("regex")),
+    keys = _keys(group)
+    pieces = F.split("Format", SLOT, -1)
+    last = F.size(pieces) - 1
+
+    def stretch(piece: Column, i: Column) -> Column:
+        return (
+            F.when((last == 0), _probe("whole", piece))
+            .when(piece == "", F.lit(None).cast(_PROBE))
+            .when(i == 0, _probe("head", F.left(piece, F.lit(STRETCH))))
+            .when(i == last, _probe("tail", F.right(piece, F.lit(STRETCH))))
+            .otherwise(_probe("middle", F.left(piece, F.lit(STRETCH))))
+        )
+
+    found = F.filter(F.transform(pieces, stretch), lambda x: x.isNotNull())
+    listed = F.when(F.size(found) > 0, F.array_distinct(found)).otherwise(F.array(_probe("any", F.lit(""))))
+    stretches = formats.select(*keys, "Format", F.explode(listed).alias("_at")).distinct()
+    shared = stretches.groupBy(*keys, "_at").agg(F.count(F.lit(1)).alias("_n"))
+    rated = _join(stretches, shared, [*keys, "_at"])
+    chosen = rated.groupBy(*keys, "Format").agg(F.min(F.struct("_n", (-F.length("_at.text")).alias("l"), "_at")).alias("_c"))
+    return _join(formats, chosen.select(*keys, "Format", "_c._at.kind", "_c._at.text"), [*keys, "Format"])
+
+
+def _join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be null."""
+    renamed = right.select(*[F.col(k).alias(f"_k{i}") if k in keys else k for i, k in enumerate(right.columns)])
+    names = {k: f"_k{i}" for i, k in enumerate(right.columns) if k in keys}
+    return left.join(renamed, [F.col(k).eqNullSafe(F.col(names[k])) for k in keys], how).drop(*names.values())
+
+
+def _probes(value: Column, wanted: Column) -> Column:
+    """The stretches of a value that formats of its group are looked up by; ``wanted``: their kinds and sizes."""
+    # An anchored pattern also fits in front of a closing line feed.
+    ends = F.when(value.endswith("\n"), F.array(value, F.left(value, F.length(value) - 1))).otherwise(F.array(value))
+
+    def texts(want: Column) -> Column:
+        kind, size = want["kind"], want["size"]
+        last = F.length(value) - size + 1
+        grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(value, i, size))
+        return (
+            F.when(kind == "any", F.array(F.lit("")))
+            .when(kind == "whole", ends)
+            .when(kind == "head", F.array(F.left(value, size)))
+            .when(kind == "tail", F.transform(ends, lambda x: F.right(x, size)))
+            .otherwise(F.when(last > 0, grams).otherwise(F.array().cast("array<string>")))
         )
-    )
-    counted = clean.join(lists, group).withColumn("n_more_general", general).drop("_formats")
-    order = Window.partitionBy(group).orderBy(F.desc("n_more_general"), F.desc(F.length("Format")), "Format")
-    return counted.withColumn("format_rank", F.row_number().over(order))
 
+    def listed(want: Column) -> Column:
+        return F.transform(texts(want), lambda text: F.struct(want["kind"].alias("kind"), text.alias("text")).cast(_PROBE))
 
-def match_formats(values: DataFrame, formats: DataFrame, group: str = "GroupKey") -> DataFrame:
+    return F.array_distinct(F.flatten(F.transform(wanted, listed)))
+
+
+def fitting_formats(values: DataFrame, formats: DataFrame, group: str | Sequence[str]) -> DataFrame:
+    """Rows of ``values`` (group, value, …) with ``_fit``, a struct of the columns of each format that fits, or null.
+
+    ``formats`` has Format, regex and more.  Candidates come from an equality join on literal stretches
+    (see :func:`format_index`); patterns only confirm them.  Every row stays at least once.
+    """
+    keys = _keys(group)
+    index = stage(format_index(formats, group), "format-index")
+    size = F.when(F.col("kind").isin("any", "whole"), F.lit(0)).otherwise(F.length("text"))
+    # At most one entry for each kind and size up to STRETCH.
+    wanted = index.groupBy(*keys).agg(F.collect_set(F.struct("kind", size.alias("size"))).alias("_wanted"))
+    probed = _join(values, wanted, keys, "left")
+    probed = probed.select(*values.columns, F.explode_outer(_probes(F.col("value"), F.col("_wanted"))).alias("_at"))
+    fields = [c for c in formats.columns if c not in keys]
+    entries = index.select(*keys, F.struct("kind", "text").cast(_PROBE).alias("_at"), F.struct(*fields).alias("_fit"))
+    met = _join(probed, entries, [*keys, "_at"], "left")
+    return met.withColumn("_fit", F.when(F.regexp_like("value", F.col("_fit.regex")), F.col("_fit"))).drop("_at")
+
+
+def order_formats(formats: DataFrame, group: str | Sequence[str] = "GroupKey") -> DataFrame:
+    """(group, Format, regex, slots, n_more_general, format_rank), specific formats first.
+
+    A format is more general than another if its pattern matches the other's text but
+    not the other way round; both ends are anchored.
+    """
+    keys = _keys(group)
+    clean = formats.select(*keys, fm.merge_slots(F.col("Format")).alias("Format")).distinct()
+    clean = clean.withColumn("regex", fm.to_regex(F.col("Format"))).withColumn("slots", fm.count_slots(F.col("Format")))
+    clean = stage(clean, "clean-formats")
+    texts = clean.select(*keys, F.col("Format").alias("value"), F.col("regex").alias("_own"))
+    pairs = fitting_formats(texts, clean, group).where(F.col("_fit").isNotNull())
+    wider = pairs.where(~F.regexp_like(F.col("_fit.Format"), F.col("_own")))
+    counted = wider.groupBy(*keys, F.col("value").alias("Format")).agg(F.count_distinct("_fit.Format").cast("int").alias("n_more_general"))
+    rated = _join(clean, counted, [*keys, "Format"], "left").withColumn("n_more_general", F.coalesce("n_more_general", F.lit(0)))
+    order = Window.partitionBy(*keys).orderBy(F.desc("n_more_general"), F.desc(F.length("Format")), "Format")
+    return rated.withColumn("format_rank", F.row_number().over(order))
+
+
+def match_formats(values: DataFrame, formats: DataFrame, group: str | Sequence[str] = "GroupKey") -> DataFrame:
     """Add Format, Parts and matched to each value: the first format of its group that fits.
 
-    The ordered list of a group travels as one array, so a value stays one row; there is
-    no product of values and formats and no shuffle back.  A pattern is tried only where the
-    value begins and ends with the format's own text and no format before it fits.
+    Equal rows are matched once.  No list of formats travels with a value: see :func:`fitting_formats`.
     """
-    ends = order_formats(formats, group).withColumns(
-        {"head": F.substring_index("Format", fm.SLOT, 1), "tail": F.substring_index("Format", fm.SLOT, -1)}
-    )
-    lists = stage(_lists(ends, group, "format_rank", "Format", "regex", "slots", "head", "tail"), "formats")
-    kind = "struct<Format:string,regex:string,slots:int>"
-    value = F.col("value")
-
-    def first_fit(found: Column, f: Column) -> Column:
-        # An anchored pattern also fits in front of a closing line feed.
-        ends_so = value.endswith(f["tail"]) | value.endswith(F.concat(f["tail"], F.lit("\n")))
-        fits = value.startswith(f["head"]) & ends_so & F.regexp_like(value, f["regex"])
-        return F.coalesce(found, F.when(fits, F.struct(f["Format"], f["regex"], f["slots"]).cast(kind)))
-
-    none = F.array().cast("array<struct<format_rank:int,Format:string,regex:string,slots:int,head:string,tail:string>>")
-    hit = F.aggregate(F.coalesce("_formats", none), F.lit(None).cast(kind), first_fit)
-    joined = values.join(lists, group, "left").withColumn("_hit", hit).drop("_formats")
-    return joined.select(
-        *values.columns,
-        F.col("_hit.Format").alias("Format"),
-        F.when(F.col("_hit").isNotNull(), fm.captures(F.col("value"), F.col("_hit.regex"), F.col("_hit.slots"))).alias("Parts"),
-        F.col("_hit").isNotNull().alias("matched"),
-    )
+    keys = _keys(group)
+    ordered = stage(order_formats(formats, group).select(*keys, "format_rank", "Format", "regex", "slots"), "formats")
+    columns = [F.col(f"`{c}`") for c in values.columns]
+    once = values.groupBy(*columns).agg(F.count(F.lit(1)).alias("_times"))
+    fits = fitting_formats(once, ordered, group).groupBy(*columns, "_times").agg(F.min("_fit").alias("_hit"))
+    parts = F.when(F.col("_hit").isNotNull(), fm.captures(F.col("value"), F.col("_hit.regex"), F.col("_hit.slots")))
+    found = fits.select(*columns, "_times", F.col("_hit.Format").alias("Format"), parts.alias("Parts"), F.col("_hit").isNotNull().alias("matched"))
+    again = found.withColumn("_times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    return again.drop("_times")
 
 
 def unmatched_values(matched: DataFrame) -> DataFrame:
     return matched.where(~F.col("matched")).drop("Format", "Parts", "matched")
 
 
-def used_formats(matched: DataFrame, group: str = "GroupKey") -> DataFrame:
-    return matched.where("matched").groupBy(group, "Format").agg(F.count(F.lit(1)).alias("n_values"))
+def used_formats(matched: DataFrame, group: str | Sequence[str] = "GroupKey") -> DataFrame:
+    return matched.where("matched").groupBy(*_keys(group), "Format").agg(F.count(F.lit(1)).alias("n_values"))
 
 
-def rejected_formats(matched: DataFrame, formats: DataFrame, group: str = "GroupKey") -> DataFrame:
+def rejected_formats(matched: DataFrame, formats: DataFrame, group: str | Sequence[str] = "GroupKey") -> DataFrame:
     """Formats of a group that no value needs."""
-    candidates = formats.select(group, fm.merge_slots(F.col("Format")).alias("Format")).distinct()
-    return candidates.join(used_formats(matched, group), [group, "Format"], "left_anti")
+    keys = _keys(group)
+    candidates = formats.select(*keys, fm.merge_slots(F.col("Format")).alias("Format")).distinct()
+    return candidates.join(used_formats(matched, group), [*keys, "Format"], "left_anti")
 
 
 def collapse_entities(matched: DataFrame) -> DataFrame:

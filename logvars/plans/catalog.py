@@ -97,7 +97,21 @@ def _keyed_values(spark: SparkSession, sf: str) -> DataFrame:
 
 _KEYED = """(select distinct case when starts_with(value, 'session_') then 'session' when starts_with(value, 'broadcast_') then 'block'
   when contains(value, '.example.org:') then 'peer' else 'rest' end as GroupKey, value from vals)"""
-_FIXED = "(select distinct GroupKey, regexp_replace(Format, '(?:<D>\\s*){2,}', '<D>', 'g') as Format from formats_fixed)"
+# Formats to try: given ones, and those that values have when words with digits (or digits alone) become slots.
+_WORDS_WITH_DIGITS, _DIGITS = "[A-Za-z0-9]*[0-9][A-Za-z0-9]*", "[0-9]+"
+
+
+def _candidate_sql(*generalised: str) -> str:
+    made = " ".join(f"union select GroupKey, regexp_replace(value, '{g}', '<D>', 'g') from {_KEYED}" for g in generalised)
+    return f"""(select distinct GroupKey, regexp_replace(Format, '(?:<D>\\s*){{2,}}', '<D>', 'g') as Format from (
+      select GroupKey, Format from formats_fixed where GroupKey in (select GroupKey from {_KEYED}) {made}))"""
+
+
+def _candidates(spark: SparkSession, sf: str, values: DataFrame, *generalised: str) -> DataFrame:
+    made = fx.formats_fixed(spark).join(values.select("GroupKey").distinct(), "GroupKey", "left_semi").select("GroupKey", "Format")
+    for g in generalised:
+        made = made.union(values.select("GroupKey", F.regexp_replace("value", g, fm.SLOT)))
+    return stage(made.distinct(), "candidates")
 
 
 def _text(parts) -> "F.Column":
@@ -372,55 +386,63 @@ def _rx(fmt: str) -> str:
     return "(" + format_regex(fmt) + ")"
 
 
-_ORDERED = f"""ordered as (
+def _ordered(formats: str) -> str:
+    """Pairs are tested where the one begins and ends like the other's text; other pairs cannot match."""
+    return f"""tried as (select *, split_part(Format, '<D>', 1) as head, string_split(Format, '<D>')[-1] as tail from {formats}),
+ordered as (
   select f.GroupKey, f.Format, cast(count(g.Format) as bigint) as n_more_general, len(string_split(f.Format, '<D>')) - 1 as slots,
     row_number() over (partition by f.GroupKey order by count(g.Format) desc, length(f.Format) desc, f.Format) as format_rank
-  from {_FIXED} f left join {_FIXED} g on f.GroupKey = g.GroupKey and f.Format <> g.Format
+  from tried f left join tried g on f.GroupKey = g.GroupKey and f.Format <> g.Format
+    and starts_with(f.Format, g.head) and ends_with(f.Format, g.tail)
     and regexp_matches(f.Format, {_rx('g.Format')}) and not regexp_matches(g.Format, {_rx('f.Format')})
   group by f.GroupKey, f.Format)"""
 
-_MATCHED = f"""{_ORDERED}, matched as (
+
+_COARSE = _candidate_sql(_WORDS_WITH_DIGITS)
+_MATCHED = f"""{_ordered(_COARSE)}, matched as (
   select k.GroupKey, k.value, arg_min(o.Format, format_rank) as Format, arg_min(slots, format_rank) as slots
   from {_KEYED} k left join ordered o on k.GroupKey = o.GroupKey and regexp_matches(k.value, {_rx('o.Format')})
   where k.GroupKey is not null group by k.GroupKey, k.value)"""
 
 
-def _parts(value: str, fmt: str) -> str:
-    rx = _rx(fmt)
-    return (
-        f"case when {fmt} is null then null else case len(string_split({fmt}, '<D>')) - 1 when 0 then '' when 1 then regexp_extract({value}, {rx}, 1) "
-        f"when 2 then concat_ws('|', regexp_extract({value}, {rx}, 1), regexp_extract({value}, {rx}, 2)) "
-        f"else concat_ws('|', regexp_extract({value}, {rx}, 1), regexp_extract({value}, {rx}, 2), regexp_extract({value}, {rx}, 3)) end end"
-    )
+def _parts(value: str, fmt: str, most: int = 6) -> str:
+    groups = [f"regexp_extract({value}, {_rx(fmt)}, {i})" for i in range(1, most + 1)]
+    cases = " ".join(f"when {n} then concat_ws('|', {', '.join(groups[:n])})" for n in range(1, most + 1))
+    return f"case when {fmt} is null then null else case len(string_split({fmt}, '<D>')) - 1 when 0 then '' {cases} end end"
 
 
-@query(sql(f"select * from (with {_ORDERED} select GroupKey, Format, n_more_general, format_rank from ordered) where GroupKey in (select GroupKey from formats_fixed)"))
+@query(sql(f"select * from (with {_ordered(_candidate_sql(_WORDS_WITH_DIGITS, _DIGITS))} select GroupKey, Format, n_more_general, format_rank from ordered)", "vals", "formats_fixed"))
 def format_order(spark, sf):
-    used = _keyed_values(spark, sf).select("GroupKey").distinct()
-    candidates = fx.formats_fixed(spark).join(used, "GroupKey", "left_semi")
-    found = match.order_formats(candidates)
+    values = stage(_keyed_values(spark, sf), "keyed")
+    found = match.order_formats(_candidates(spark, sf, values, _WORDS_WITH_DIGITS, _DIGITS))
     return found.select("GroupKey", "Format", F.col("n_more_general").cast("long"), F.col("format_rank").cast("long"))
 
 
+def _matched(spark, sf) -> tuple[DataFrame, DataFrame]:
+    values = stage(_keyed_values(spark, sf), "keyed")
+    candidates = _candidates(spark, sf, values, _WORDS_WITH_DIGITS)
+    return match.match_formats(values, candidates), candidates
+
+
 @query(sql(f"select * from (with {_MATCHED} select GroupKey, value, Format, {_parts('value', 'Format')} as parts from matched)", "vals", "formats_fixed"))
 def format_match(spark, sf):
-    found = match.match_formats(_keyed_values(spark, sf), fx.formats_fixed(spark))
+    found, _ = _matched(spark, sf)
     return found.select("GroupKey", "value", "Format", _text("Parts").alias("parts"))
 
 
 @query(sql(f"select * from (with {_MATCHED} select GroupKey, Format, count(*) as n_values from matched group by GroupKey, Format)", "vals", "formats_fixed"))
 def format_cover(spark, sf):
-    found = match.match_formats(_keyed_values(spark, sf), fx.formats_fixed(spark))
+    found = stage(_matched(spark, sf)[0], "matched")
     left = match.unmatched_values(found).groupBy("GroupKey").agg(F.count(F.lit(1)).alias("n_values"))
     none = left.select("GroupKey", F.lit(None).cast("string").alias("Format"), "n_values")
     return match.used_formats(found).unionByName(none)
 
 
-@query(sql(f"""select * from (with {_MATCHED} select GroupKey, Format from {_FIXED} f
+@query(sql(f"""select * from (with {_MATCHED} select GroupKey, Format from {_COARSE} f
   where not exists (select 1 from matched m where m.GroupKey = f.GroupKey and m.Format = f.Format))""", "vals", "formats_fixed"))
 def rejected_formats(spark, sf):
-    found = match.match_formats(_keyed_values(spark, sf), fx.formats_fixed(spark))
-    return match.rejected_formats(found, fx.formats_fixed(spark))
+    found, candidates = _matched(spark, sf)
+    return match.rejected_formats(found, candidates)
 
 
 _BROKEN = "(select distinct regexp_replace(value, '[0-9]+', case when length(value) % 3 = 0 then '<D' when length(value) % 3 = 1 then 'D>' else '<D> <D>' end, 'g') as broken from vals)"
@@ -564,12 +586,16 @@ def _records(spark, sf):
     return analysis.analysis_ready(extracted, stage(_format_rows(spark, sf, extracted), "formats"))
 
 
-def _applied(spark, sf):
-    """The same records without looking up tokens: lines meet only per-template rules."""
+def _applied(spark, sf, template: str | None = None):
+    """The same records without looking up tokens: lines meet per-template rules, and combinations of shapes.
+
+    With ``template`` only its lines become records; the rules still follow from all lines.
+    """
     extracted = _structured(spark, sf)
     table, rows, facts = _grouped(spark, sf, extracted)
     rules = induce.group_rules(_with_groups(table, rows), PREFIXES)
-    return analysis.apply_formats(extracted, analysis.template_rules(facts, table, rules), PREFIXES)
+    wanted = extracted if template is None else extracted.where(F.col("NewTemplate") == template)
+    return analysis.apply_formats(wanted, analysis.template_rules(facts, table, rules), rules.shapes, PREFIXES)
 
 
 def _items(records):
@@ -610,7 +636,7 @@ select split_part(h.value, ':', 1) as host, count(*) as n_lines,
 from (select * from {_RECORDS} where pos = 2 and NewTemplate = '{MEMORY_TEMPLATE}') h
 join (select LineId, {_NUM} as num from {_RECORDS} where pos = 5) m on h.LineId = m.LineId group by 1""", extra=GROUP_PROPOSAL))
 def free_memory_by_host(spark, sf):
-    return analysis.free_memory_by_host(_applied(spark, sf), MEMORY_TEMPLATE, 2, 5)
+    return analysis.free_memory_by_host(_applied(spark, sf, MEMORY_TEMPLATE), MEMORY_TEMPLATE, 2, 5)
 
 
 # ---- other parsers ------------------------------------------------------------------

@@ -72,8 +72,9 @@ def run(
         result["formats"] = keep(format_rows(grouped, rows, formats), "formats")
     if until == "analysis":
         if proposer is None:
-            templates = template_rules(facts, grouped, group_rules(members, prefixes))
-            records = apply_formats(extracted, templates, prefixes, keep_equals)
+            rules = group_rules(members, prefixes)
+            result["rules"] = template_rules(facts, grouped, rules)
+            records = apply_formats(extracted, result["rules"], rules.shapes, prefixes, keep_equals)
         else:
             records = analysis_ready(extracted, result["formats"])
         result["analysis"] = keep(records, "analysis") if out else records

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 SLOT = "<D>"
 COMPONENT = "<C>"
 
+# Formats of one undivided thing, and the run of slots that counts as one.
 IP_FORMAT = r"^(?:<D>\.){3}<D>$"
 PATH_FORMAT = r"(?s)^[A-Za-z]:[\\/]|/.*/|\\\\.*\\\\"
+RUN_OF_SLOTS = r"(?:<D>\s*){2,}"
 
 
 def to_regex(fmt: Column) -> Column:
@@ -29,14 +31,19 @@ def captures(value: Column, regex: Column, slots: Column) -> Column:
     return F.when(slots > 0, found).otherwise(F.array().cast("array<string>"))
 
 
+# A slot that is whole, or has lost its closing or its opening bracket; or any other character.
+_SLOT_PIECES = r"(?s)<D>?|D>|."
+
+
 def repair(fmt: Column) -> Column:
-    """Complete slots that lost a bracket."""
-    opened = F.regexp_replace(fmt, r"<D(?!>)", SLOT)
-    return F.regexp_replace(opened, r"(?<!<)D>", SLOT)
+    """Complete slots that lost a bracket: one pass over the pieces of a format."""
+    pieces = F.regexp_extract_all(fmt, F.lit(_SLOT_PIECES), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.isin("<D", "D>"), SLOT).otherwise(p)), "")
 
 
 def merge_slots(fmt: Column) -> Column:
-    return F.regexp_replace(fmt, r"(?:<D>\s*){2,}", SLOT)
+    """Slots with nothing but white space between them are one."""
+    return F.regexp_replace(fmt, RUN_OF_SLOTS, SLOT)
 
 
 def is_single_entity(fmt: Column) -> Column:

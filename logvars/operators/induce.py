@@ -8,6 +8,7 @@ its format by one equality join on a small table instead of trying patterns.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions import formats as fm
 from ..functions import predicates as p
-from .match import collapse_entities, cover_all, match_formats
+from .match import collapse_entities, cover_all, match_formats, unmatched_values, used_formats
+from .match import rejected_formats as match_rejected
+from .sampling import MAX_TOKENS, MIN_VALUES, token_budget_sample
 from .staging import stage
 
 # Fixed patterns of values that stand for one undivided thing.
@@ -196,8 +199,8 @@ def group_formats(
 ) -> DataFrame:
     """(GroupID, value, Format, Parts) for every value of every open group.
 
-    ``proposer`` may replace the rules: it gets (GroupID, value) and returns
-    (GroupID, Format); its formats are then tried in order, specific ones first.
+    ``proposer`` may replace the rules: it gets all (GroupID, value) and returns (GroupID, Format), which are
+    tried in order, specific ones first.  See :func:`proposed_formats` for one that sees samples and answers in text.
     """
     merged = merged_values(values.join(stage(open_groups(values), "open"), "GroupID")).drop("first_line")
     if proposer is not None:
@@ -209,6 +212,65 @@ def group_formats(
     return collapse_entities(found).drop("bucket", "used")
 
 
+class Proposed(NamedTuple):
+    """``formats``: (GroupID, value, Format, Parts); ``rejected``: (GroupID, bucket, attempt, text, reason)."""
+
+    formats: DataFrame
+    rejected: DataFrame
+
+
+NOT_A_LIST, UNUSED = "not a list", "fits no value"
+
+
+def proposed_formats(
+    values: DataFrame,
+    proposer: Callable[[DataFrame, int], DataFrame],
+    prefixes: Sequence[str] = (),
+    rounds: int = 5,
+    max_tokens: int = MAX_TOKENS,
+    at_least: int = MIN_VALUES,
+) -> Proposed:
+    """Formats that a proposer suggests, checked against all values of the open groups.
+
+    In each round every bucket that still has values without a format is sampled to its budget;
+    ``proposer`` gets (GroupID, bucket, samples), the shortest values first, with the number of the round, and
+    answers with (GroupID, bucket, answer), each answer a JSON list of formats.  Answers that are no such list
+    are rejected, broken slots are mended, and values that a format fits leave the rest.  A bucket may get
+    several answers, or none.  At most ``rounds`` rounds; values left over keep their whole text as one slot.
+
+    In the end each value takes the first format of its group that fits, over all buckets and rounds.  Formats that
+    fit no value of their bucket when they are proposed are rejected, like answers that are no list.
+    """
+    merged = merged_values(values.join(stage(open_groups(values), "open"), "GroupID"))
+    merged = stage(merged, "merged")
+    placed = prefix_buckets(merged, prefixes).where("used").select("GroupID", "bucket", "value", "first_line")
+    left, keys = stage(placed, "left"), ["GroupID", "bucket"]
+    verified, rejected = [], []
+    for attempt in range(1, rounds + 1):
+        if left.isEmpty():
+            break
+        sample = token_budget_sample(left, keys, max_tokens, at_least)
+        in_order = F.array_sort(F.collect_list(F.struct(F.length("value").alias("n"), "first_line", "value")))
+        samples = sample.groupBy(*keys).agg(in_order["value"].alias("samples"))  # no longer than the budget
+        answers = proposer(stage(samples, "samples"), attempt).select(*keys, "answer", fm.json_list(F.col("answer")).alias("_list"))
+        answers = stage(answers, "answers")
+        fmt = F.explode(F.filter("_list", lambda f: f.isNotNull()))
+        formats = answers.select(*keys, fmt.alias("Format")).select(*keys, fm.merge_slots(fm.repair(F.col("Format"))).alias("Format"))
+        formats = stage(formats.distinct(), "proposed")
+        matched = stage(match_formats(left, formats, keys), "matched")
+        verified.append(used_formats(matched, keys).select("GroupID", "Format"))
+        broken = answers.where("_list is null").select(*keys, F.col("answer").alias("text"), F.lit(NOT_A_LIST).alias("reason"))
+        unused = match_rejected(matched, formats, keys).select(*keys, F.col("Format").alias("text"), F.lit(UNUSED).alias("reason"))
+        rejected.append(broken.unionByName(unused).withColumn("attempt", F.lit(attempt)))
+        left = stage(unmatched_values(matched), "left")
+    none = merged.where("false")
+    formats = reduce(DataFrame.union, verified, none.select("GroupID", F.col("value").alias("Format"))).distinct()
+    texts = none.select("GroupID", F.lit("").alias("bucket"), F.lit(0).alias("attempt"), F.col("value").alias("text"), F.lit("").alias("reason"))
+    found = match_formats(merged.drop("first_line"), stage(formats, "verified"), "GroupID")
+    found = collapse_entities(cover_all(found)).drop("matched")
+    return Proposed(found, reduce(DataFrame.unionByName, rejected, texts))
+
+
 def format_rows(variables: DataFrame, values: DataFrame, formats: DataFrame) -> DataFrame:
     """The format table in long form (schema FORMAT_ROWS): decided and filled rows.
 

@@ -14,6 +14,7 @@ from .staging import stage
 
 #: Characters of a format's literal text by which it is looked up.
 STRETCH = 12
+RUN, MARK = "[A-Za-z0-9]+", "[^A-Za-z0-9]"
 _PROBE = "struct<kind:string,text:string>"
 
 
@@ -28,9 +29,10 @@ def _probe(kind: str, text: Column) -> Column:
 def format_index(formats: DataFrame, group: str | Sequence[str]) -> DataFrame:
     """``formats`` (group, Format, …) with ``kind`` and ``text``: one literal stretch that every fitting value has.
 
-    ``whole``: a format without slots; ``head``, ``tail``: how values begin or end; ``middle``: what they
-    contain; ``any``: a format without text of its own.  Of several stretches that with the fewest
-    formats of the group is taken, then the longest.
+    ``whole``: a format without slots; ``head``, ``tail``: how values begin or end; ``word``: a run of letters
+    and digits that they contain between other characters; ``mark``: one such other character; ``middle``:
+    letters and digits that they contain anywhere; ``any``: a format without text of its own.  Of several
+    stretches that with the fewest formats of the group is taken, then the longest, but ``middle`` last.
     """
     keys = _keys(group)
     pieces = F.split("Format", SLOT, -1)
@@ -42,15 +44,24 @@ def format_index(formats: DataFrame, group: str | Sequence[str]) -> DataFrame:
             .when(piece == "", F.lit(None).cast(_PROBE))
             .when(i == 0, _probe("head", F.left(piece, F.lit(STRETCH))))
             .when(i == last, _probe("tail", F.right(piece, F.lit(STRETCH))))
+            .when(word(piece) != "", _probe("word", word(piece)))
+            .when(mark(piece) != "", _probe("mark", mark(piece)))
             .otherwise(_probe("middle", F.left(piece, F.lit(STRETCH))))
         )
 
+    def word(piece: Column) -> Column:
+        return F.regexp_extract(piece, f"{MARK}({RUN}){MARK}", 1)
+
+    def mark(piece: Column) -> Column:
+        return F.regexp_extract(piece, MARK, 0)
+
     found = F.filter(F.transform(pieces, stretch), lambda x: x.isNotNull())
     listed = F.when(F.size(found) > 0, F.array_distinct(found)).otherwise(F.array(_probe("any", F.lit(""))))
     stretches = formats.select(*keys, "Format", F.explode(listed).alias("_at")).distinct()
     shared = stretches.groupBy(*keys, "_at").agg(F.count(F.lit(1)).alias("_n"))
     rated = _join(stretches, shared, [*keys, "_at"])
-    chosen = rated.groupBy(*keys, "Format").agg(F.min(F.struct("_n", (-F.length("_at.text")).alias("l"), "_at")).alias("_c"))
+    rating = F.struct((F.col("_at.kind") == "middle").alias("late"), "_n", (-F.length("_at.text")).alias("l"), "_at")
+    chosen = rated.groupBy(*keys, "Format").agg(F.min(rating).alias("_c"))
     return _join(formats, chosen.select(*keys, "Format", "_c._at.kind", "_c._at.text"), [*keys, "Format"])
 
 
@@ -75,6 +86,8 @@ def _probes(value: Column, wanted: Column) -> Column:
             .when(kind == "whole", ends)
             .when(kind == "head", F.array(F.left(value, size)))
             .when(kind == "tail", F.transform(ends, lambda x: F.right(x, size)))
+            .when(kind == "word", F.array_distinct(F.regexp_extract_all(value, F.lit(RUN), F.lit(0))))
+            .when(kind == "mark", F.array_distinct(F.regexp_extract_all(value, F.lit(MARK), F.lit(0))))
             .otherwise(F.when(last > 0, grams).otherwise(F.array().cast("array<string>")))
         )
 
@@ -92,7 +105,7 @@ def fitting_formats(values: DataFrame, formats: DataFrame, group: str | Sequence
     """
     keys = _keys(group)
     index = stage(format_index(formats, group), "format-index")
-    size = F.when(F.col("kind").isin("any", "whole"), F.lit(0)).otherwise(F.length("text"))
+    size = F.when(F.col("kind").isin("head", "tail", "middle"), F.length("text")).otherwise(F.lit(0))
     # At most one entry for each kind and size up to STRETCH.
     wanted = index.groupBy(*keys).agg(F.collect_set(F.struct("kind", size.alias("size"))).alias("_wanted"))
     probed = _join(values, wanted, keys, "left")
@@ -131,9 +144,12 @@ def match_formats(values: DataFrame, formats: DataFrame, group: str | Sequence[s
     ordered = stage(order_formats(formats, group).select(*keys, "format_rank", "Format", "regex", "slots"), "formats")
     columns = [F.col(f"`{c}`") for c in values.columns]
     once = values.groupBy(*columns).agg(F.count(F.lit(1)).alias("_times"))
-    fits = fitting_formats(once, ordered, group).groupBy(*columns, "_times").agg(F.min("_fit").alias("_hit"))
-    parts = F.when(F.col("_hit").isNotNull(), fm.captures(F.col("value"), F.col("_hit.regex"), F.col("_hit.slots")))
-    found = fits.select(*columns, "_times", F.col("_hit.Format").alias("Format"), parts.alias("Parts"), F.col("_hit").isNotNull().alias("matched"))
+    # The least rank fits a buffer of fixed width; its format follows by number.
+    fits = fitting_formats(once, ordered, group).groupBy(*columns, "_times").agg(F.min("_fit.format_rank").alias("_rank"))
+    named = ordered.select(*keys, F.col("format_rank").alias("_rank"), F.col("Format").alias("_format"), "regex", "slots")
+    fits = _join(fits, named, [*keys, "_rank"], "left")
+    parts = F.when(F.col("_rank").isNotNull(), fm.captures(F.col("value"), F.col("regex"), F.col("slots")))
+    found = fits.select(*columns, "_times", F.col("_format").alias("Format"), parts.alias("Parts"), F.col("_rank").isNotNull().alias("matched"))
     again = found.withColumn("_times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
     return again.drop("_times")
 

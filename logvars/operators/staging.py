@@ -22,13 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+#: Bytes of a row group of staged tables.  One file can be read by as many tasks as it has row groups.
+ROW_GROUP = 8 << 20
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and go on from the written table.
 
     Cuts lineage, survives lost executors, is read column by column, and gives the
-    optimizer true sizes, so that it broadcasts only tables known to be small.
+    optimizer the sizes of its files, so that it broadcasts only tables known to be small.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/logvars-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

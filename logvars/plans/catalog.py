@@ -386,13 +386,13 @@ def _rx(fmt: str) -> str:
     return "(" + format_regex(fmt) + ")"
 
 
-def _ordered(formats: str) -> str:
+def _ordered(formats: str, name: str = "") -> str:
     """Pairs are tested where the one begins and ends like the other's text; other pairs cannot match."""
-    return f"""tried as (select *, split_part(Format, '<D>', 1) as head, string_split(Format, '<D>')[-1] as tail from {formats}),
-ordered as (
+    return f"""tried{name} as (select *, split_part(Format, '<D>', 1) as head, string_split(Format, '<D>')[-1] as tail from {formats}),
+ordered{name} as (
   select f.GroupKey, f.Format, cast(count(g.Format) as bigint) as n_more_general, len(string_split(f.Format, '<D>')) - 1 as slots,
     row_number() over (partition by f.GroupKey order by count(g.Format) desc, length(f.Format) desc, f.Format) as format_rank
-  from tried f left join tried g on f.GroupKey = g.GroupKey and f.Format <> g.Format
+  from tried{name} f left join tried{name} g on f.GroupKey = g.GroupKey and f.Format <> g.Format
     and starts_with(f.Format, g.head) and ends_with(f.Format, g.tail)
     and regexp_matches(f.Format, {_rx('g.Format')}) and not regexp_matches(g.Format, {_rx('f.Format')})
   group by f.GroupKey, f.Format)"""
@@ -520,6 +520,60 @@ def induced_formats(spark, sf):
     return found.select("GroupID", "value", "Format", _text("Parts").alias("parts"))
 
 
+# A proposer that answers by samples: their digits as slots that lost a bracket, one format that fits nothing, and a refusal.
+PROPOSAL = {"rounds": 2, "max_tokens": 200}
+_NO_LIST, _NO_FIT = "no formats found", "no_such_<D>"
+
+
+def _propose(samples: DataFrame, attempt: int) -> DataFrame:
+    made = F.array_distinct(F.transform("samples", lambda v: F.regexp_replace(v, _DIGITS, "<D")))
+    keys = ["GroupID", "bucket"]
+    lists = samples.select(*keys, F.to_json(F.array_append(made, F.lit(_NO_FIT))).alias("answer"))
+    return lists.union(samples.select(*keys, F.lit(_NO_LIST)))
+
+
+def _round(n: int, source: str) -> str:
+    """Sample, formats, order and first fits of one round over ``source`` (GroupKey, GroupID, bucket, value, first_line)."""
+    general = f"regexp_replace(regexp_replace(value, '{_DIGITS}', '<D>', 'g'), '(?:<D>\\s*){{2,}}', '<D>', 'g')"
+    return f"""sample{n} as (select * from (
+  select *, sum(greatest(1, length(value) // 4)) over w as cum, row_number() over w as r from {source}
+  window w as (partition by GroupKey order by length(value), first_line, value rows unbounded preceding)) where cum <= 200 or r <= 5),
+formats{n} as (select GroupKey, {general} as Format from sample{n} union select GroupKey, '{_NO_FIT}' from sample{n}),
+{_ordered(f"formats{n}", str(n))},
+fits{n} as (select s.GroupKey, GroupID, bucket, s.value, first_line, arg_min(o.Format, format_rank) as Format
+  from {source} s left join ordered{n} o on s.GroupKey = o.GroupKey and starts_with(s.value, split_part(o.Format, '<D>', 1))
+    and regexp_matches(s.value, {_rx('o.Format')}) group by all),
+rest{n} as (select GroupKey, GroupID, bucket, value, first_line from fits{n} where Format is null)"""
+
+
+_ROUNDS = f"""begun as (select GroupID || '/' || bucket as GroupKey, GroupID, bucket, value, first_line from buckets where used),
+{_round(1, "begun")}, {_round(2, "rest1")}"""
+_IS_ENTITY = f"({tests.path('Format')} or Format = '<D>.<D>.<D>.<D>')"
+_PROPOSED = f"""select * from (with {_ROUNDS},
+verified as (select distinct cast(GroupID as varchar) as GroupKey, Format from (select * from fits1 union all select * from fits2) where Format is not null),
+{_ordered("verified", "_all")},
+chosen as (select m.GroupID, m.value, coalesce(arg_min(o.Format, format_rank), '<D>') as Format from merged m
+  left join ordered_all o on o.GroupKey = cast(m.GroupID as varchar) and starts_with(m.value, split_part(o.Format, '<D>', 1))
+    and regexp_matches(m.value, {_rx('o.Format')}) group by m.GroupID, m.value)
+select GroupID, value, case when {_IS_ENTITY} then '<D>' else Format end as Format,
+  case when {_IS_ENTITY} then value else {_parts('value', 'Format', 9)} end as parts from chosen)"""
+_REFUSED = "select GroupID, bucket, {n} as attempt, '" + _NO_LIST + "' as text, 'not a list' as reason from sample{n}"
+_UNUSED = """select distinct s.GroupID, s.bucket, {n}, f.Format, 'fits no value' from formats{n} f join sample{n} s on s.GroupKey = f.GroupKey
+  where not exists (select 1 from fits{n} x where x.GroupKey = f.GroupKey and x.Format = f.Format)"""
+
+
+@query(sql(_PROPOSED, "merged", "buckets"))
+def proposed_formats(spark, sf):
+    found, _ = induce.proposed_formats(_members(spark, sf), _propose, PREFIXES, **PROPOSAL)
+    return found.select("GroupID", "value", "Format", _text("Parts").alias("parts"))
+
+
+@query(sql(f"select * from (with {_ROUNDS} " + " union ".join(t.format(n=n) for n in (1, 2) for t in (_REFUSED, _UNUSED)) + ")", "buckets"))
+def rejected_proposals(spark, sf):
+    result = run(fx.parsed_logs(spark, sf), "Spark", markers=MARKERS, proposer=_propose, proposal=PROPOSAL)
+    return result["rejected"].select("GroupID", "bucket", F.col("attempt").cast("long"), "text", "reason")
+
+
 _FORMAT_TABLE = f"""(select v.DynamicID, v.NewTemplate as Template, v.pos as ParameterIndex, v.TokenFormat, n.token as Token,
     case when v.ValueType = 'Undecided' then g.Format else v.ComponentFormat end as ComponentFormat, n.value as Value,
     v.ValueType, v.GroupID, n.first_line as FirstLine
@@ -586,16 +640,16 @@ def _records(spark, sf):
     return analysis.analysis_ready(extracted, stage(_format_rows(spark, sf, extracted), "formats"))
 
 
-def _applied(spark, sf, template: str | None = None):
+def _applied(spark, sf, template: str | None = None, only: tuple[int, ...] | None = None):
     """The same records without looking up tokens: lines meet per-template rules, and combinations of shapes.
 
-    With ``template`` only its lines become records; the rules still follow from all lines.
+    With ``template`` and ``only``, its lines alone become records of these parameters; the rules still follow from all lines.
     """
     extracted = _structured(spark, sf)
     table, rows, facts = _grouped(spark, sf, extracted)
     rules = induce.group_rules(_with_groups(table, rows), PREFIXES)
     wanted = extracted if template is None else extracted.where(F.col("NewTemplate") == template)
-    return analysis.apply_formats(wanted, analysis.template_rules(facts, table, rules), rules.shapes, PREFIXES)
+    return analysis.apply_formats(wanted, analysis.template_rules(facts, table, rules), rules.shapes, PREFIXES, only=only)
 
 
 def _items(records):
@@ -636,7 +690,8 @@ select split_part(h.value, ':', 1) as host, count(*) as n_lines,
 from (select * from {_RECORDS} where pos = 2 and NewTemplate = '{MEMORY_TEMPLATE}') h
 join (select LineId, {_NUM} as num from {_RECORDS} where pos = 5) m on h.LineId = m.LineId group by 1""", extra=GROUP_PROPOSAL))
 def free_memory_by_host(spark, sf):
-    return analysis.free_memory_by_host(_applied(spark, sf, MEMORY_TEMPLATE), MEMORY_TEMPLATE, 2, 5)
+    # The amount's unit is the parameter after it.
+    return analysis.free_memory_by_host(_applied(spark, sf, MEMORY_TEMPLATE, (2, 5, 6)), MEMORY_TEMPLATE, 2, 5)
 
 
 # ---- other parsers ------------------------------------------------------------------

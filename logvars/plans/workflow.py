@@ -11,7 +11,7 @@ from ..operators.classify import classify
 from ..operators.drift import extract_with_drift
 from ..operators.extract import extract_parameters
 from ..operators.groups import attach_groups, same_value_groups
-from ..operators.induce import format_rows, group_formats, group_rules
+from ..operators.induce import format_rows, group_formats, group_rules, proposed_formats
 from ..operators.staging import stage
 from ..operators.variables import variable_values
 from ..sources.logs import write_table
@@ -41,11 +41,14 @@ def run(
     drift: bool = False,
     proposer=None,
     keep_equals: bool = False,
+    proposal: dict | None = None,
 ) -> dict[str, DataFrame]:
     """All stages as DataFrames; with ``out`` each is written there once and read on from there.
 
     ``until``: "grouped" stops before formats, "formats" (default), "analysis" adds the
-    records per line.  ``keep_equals`` keeps the ``=`` of values cut as ``=digits``.
+    records per line.  ``keep_equals`` keeps the ``=`` of values cut as ``=digits``.  With a ``proposer``
+    (see ``proposed_formats``, which gets the options ``proposal``) there is also "rejected": its answers and
+    formats that were not used.
     """
     if until not in ("grouped", "formats", "analysis"):
         raise ValueError(f"unknown stage: {until}")
@@ -68,7 +71,11 @@ def run(
     result = {"structured": extracted, "variables": grouped, "values": rows}
     if until != "grouped":
         members = rows.join(grouped.select("DynamicID", "GroupID"), "DynamicID")
-        formats = group_formats(members, prefixes, proposer)
+        if proposer is None:
+            formats = group_formats(members, prefixes)
+        else:
+            formats, rejected = proposed_formats(members, proposer, prefixes, **(proposal or {}))
+            result["rejected"] = keep(rejected, "rejected")
         result["formats"] = keep(format_rows(grouped, rows, formats), "formats")
     if until == "analysis":
         if proposer is None:

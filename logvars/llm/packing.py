@@ -130,62 +130,89 @@ def encode_pieces(
     docs: DataFrame, tokenizer: str, chunks: str | None, end_id: int, capacity: int, quantum: int, id_col: str, text_col: str
 ) -> DataFrame:
     """Full stretches (size 0) and one item per document, numbered within task and size."""
-    wide = "<u4"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task = encoder(tokenizer, chunks).encode, TaskContext.get().partitionId()
-        end, seen = np.array([end_id], dtype=wide), {}
+        end, seen = np.array([end_id], dtype="<u4").tobytes(), np.zeros(capacity // quantum + 1, dtype=np.int64)
         narrow = encoder(tokenizer, chunks).tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
-                batch, out = whole.slice(at, 1024), []
-                for doc, found in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
-                    ids = np.concatenate([np.frombuffer(found, dtype=wide), end])
-                    ids = ids.astype("<u2") if narrow else ids
-                    for first in range(0, len(ids), capacity):
-                        part = ids[first : first + capacity]
-                        size = 0 if len(part) == capacity else -(-len(part) // quantum)
-                        seen[size] = seen.get(size, -1) + 1
-                        out.append((doc, first, len(part), len(ids), part.tobytes(), task, size, seen[size]))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64())
-                names = [c.split()[0] for c in PIECES.split(", ")]
-                yield pa.record_batch([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+                batch = whole.slice(at, 1024)
+                found = list(encode(batch.column("text").to_pylist()))
+                total = np.array([len(f) // 4 + 1 for f in found], dtype=np.int64)
+                ids = np.frombuffer(b"".join([x for f in found for x in (f, end)]), dtype="<u4")
+                parts = -(-total // capacity)
+                doc = np.repeat(np.arange(len(total)), parts)
+                first = within(parts) * capacity
+                length = np.minimum(capacity, total[doc] - first)
+                size = np.where(length == capacity, 0, -(-length // quantum))
+                # Numbers within each size go on from batch to batch.
+                order = np.argsort(size, kind="stable")
+                counts = np.bincount(size, minlength=len(seen))
+                nth = np.empty(len(size), dtype=np.int64)
+                nth[order] = within(counts) + np.repeat(seen, counts)
+                seen += counts
+                columns = [
+                    batch.column("doc_id").take(pa.array(doc)), pa.array(first), pa.array(length), pa.array(total[doc]),
+                    binaries(ids.astype("<u2") if narrow else ids, length), pa.array(np.full(len(doc), task, dtype=np.int32)),
+                    pa.array(size.astype(np.int32)), pa.array(nth),
+                ]
+                yield pa.record_batch(columns, names=[c.split()[0] for c in PIECES.split(", ")])
 
     return rows.mapInArrow(cut, PIECES)
 
 
+def within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, … inside each run of the given sizes."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
+def binaries(ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Successive runs of ``ids`` as binary values, without a copy of each."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)]) * ids.itemsize
+    buffers = [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids)]
+    return pa.Array.from_buffers(pa.binary(), len(lengths), buffers)
+
+
 def place(pieces: DataFrame, made: Plan) -> DataFrame:
     """Sequence and slot of every piece; items that cross the end of a left-over sequence are cut there."""
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
-                columns = whole.slice(at, 1024).to_pydict()
-                out = []
-                for doc, start, length, total, ids, size, rank in zip(
-                    *(columns[c] for c in ("doc_id", "start", "length", "doc_tokens", "ids", "size", "rank")), strict=True
-                ):
-                    ids = np.frombuffer(ids, dtype=f"<u{len(ids) // length}").astype("<u4")
-                    if size == 0:
-                        sequence = made.pattern_sequences + made.left_sequences + rank
-                        out.append((doc, start, length, total, ids.tobytes(), sequence, 0))
-                    elif rank < made.in_patterns[size]:
-                        first, before, per, slot = made.by_size[size]
-                        k = int(np.searchsorted(first, rank, side="right")) - 1
-                        nth = rank - int(first[k])
-                        sequence, within = int(before[k]) + nth // int(per[k]), int(slot[k]) + nth % int(per[k])
-                        out.append((doc, start, length, total, ids.tobytes(), sequence, within))
-                    else:
-                        begin = made.left_at[size] + (rank - made.in_patterns[size]) * size * made.quantum
-                        room = min(length, made.capacity - begin % made.capacity)
-                        for a, b, pos in ((0, room, begin), (room, length, begin + room)):
-                            if b > a:
-                                sequence = made.pattern_sequences + pos // made.capacity
-                                out.append((doc, start + a, b - a, total, ids[a:b].tobytes(), sequence, pos % made.capacity))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32())
-                names = [c.split()[0] for c in PLACED.split(", ")]
-                yield pa.record_batch([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+                batch = whole.slice(at, 1024)
+                start, length, total, size, rank = (
+                    batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "length", "doc_tokens", "size", "rank")
+                )
+                sequence = made.pattern_sequences + made.left_sequences + rank
+                slot, room = np.zeros(len(size), dtype=np.int64), length.copy()
+                for s in np.unique(size[size > 0]).tolist():
+                    fits = (size == s) & (rank < made.in_patterns[s])
+                    if fits.any():
+                        first, before, per, slots = made.by_size[s]
+                        k = np.searchsorted(first, rank[fits], side="right") - 1
+                        nth = rank[fits] - first[k]
+                        sequence[fits], slot[fits] = before[k] + nth // per[k], slots[k] + nth % per[k]
+                    left = (size == s) & ~fits
+                    begin = made.left_at.get(s, 0) + (rank[left] - made.in_patterns[s]) * s * made.quantum
+                    sequence[left], slot[left] = made.pattern_sequences + begin // made.capacity, begin % made.capacity
+                    room[left] = np.minimum(length[left], made.capacity - begin % made.capacity)
+                # Two parts of each piece, the second mostly empty; then the empty ones go.
+                parts = np.stack([room, length - room], axis=1).ravel()
+                kept = parts > 0
+                row = np.repeat(np.arange(len(size)), 2)[kept]
+                second = np.tile([0, 1], len(size))[kept]
+                ids = batch.column("ids")
+                data = b"".join(ids.to_pylist())
+                flat = np.frombuffer(data, dtype=f"<u{len(data) // max(int(length.sum()), 1)}").astype("<u4")
+                columns = [
+                    batch.column("doc_id").take(pa.array(row)), pa.array(start[row] + second * room[row]), pa.array(parts[kept]),
+                    pa.array(total[row]), binaries(flat, parts[kept]), pa.array(sequence[row] + second),
+                    pa.array(np.where(second, 0, slot[row]).astype(np.int32)),
+                ]
+                yield pa.record_batch(columns, names=[c.split()[0] for c in PLACED.split(", ")])
 
     return pieces.mapInArrow(put, PLACED)
 

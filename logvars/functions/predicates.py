@@ -28,8 +28,11 @@ TAIL_HEX = r"(?:0x[0-9a-fA-F]+|[0-9a-fA-F]{8,})$"
 TAIL_EQ_DIGITS = r"=(\d+)$"
 
 
-def is_number(value: Column, markers: Sequence[str] = ()) -> Column:
+def is_number(value: Column, markers: Sequence[str] | Column = ()) -> Column:
+    """A number, or one of ``markers``: words, or an array column of words where they differ by row."""
     found = value.rlike(NUMBER) | value.rlike(HEX_NUMBER)
+    if isinstance(markers, Column):
+        return found | F.array_contains(markers, value)
     return found | value.isin(*markers) if markers else found
 
 

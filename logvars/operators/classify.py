@@ -29,23 +29,24 @@ class Classified(NamedTuple):
 TESTS = ["dot", "number", "unit", "host", "path", "macro"]
 
 
-def first_values(values: DataFrame) -> DataFrame:
+def first_values(values: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """First value of each variable.
 
     All holes of a template start at the template's first line, so a minimum per
     template finds them; no ordered aggregate over strings is needed.
     """
-    starts = stage(values.groupBy("NewTemplate").agg(F.min("first_line").alias("first_line")), "starts")
-    found = values.join(starts, ["NewTemplate", "first_line"])
+    starts = stage(values.groupBy(*by, "NewTemplate").agg(F.min("first_line").alias("first_line")), "starts")
+    found = values.join(starts, [*by, "NewTemplate", "first_line"])
     # Where lines share the first number, a hole has several values there: the smallest one counts.
-    return found.groupBy(*VARIABLE, "first_line").agg(F.min("value").alias("value"))
+    return found.groupBy(*by, *VARIABLE, "first_line").agg(F.min("value").alias("value"))
 
 
-def punctuation(firsts: DataFrame) -> DataFrame:
-    """(NewTemplate, pos, template_line, begin, end, marks, first_bare) from each first value."""
+def punctuation(firsts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by…, NewTemplate, pos, template_line, begin, end, marks, first_bare) from each first value."""
     value = F.col("value")
     begin, end = p.leading_marks(value), p.trailing_marks(value)
     return firsts.select(
+        *by,
         *VARIABLE,
         F.col("first_line").alias("template_line"),
         begin.alias("begin"),
@@ -58,7 +59,7 @@ def punctuation(firsts: DataFrame) -> DataFrame:
     )
 
 
-def first_outcomes(marks: DataFrame, markers: Sequence[str], keep_equals: bool) -> DataFrame:
+def first_outcomes(marks: DataFrame, markers: Sequence[str] | Column, keep_equals: bool) -> DataFrame:
     """Add what holds for each first value.
 
     All values of a variable can only pass a test that the first one passes, so the other
@@ -73,13 +74,13 @@ def first_outcomes(marks: DataFrame, markers: Sequence[str], keep_equals: bool)
     return marks.select("*", *outcomes)
 
 
-def strip_marks(values: DataFrame, marks: DataFrame) -> DataFrame:
+def strip_marks(values: DataFrame, marks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Add the stripped value ``bare`` (and what strip would cut by mistake: ``lossy``)."""
     value, begin, end = F.col("value"), F.col("begin"), F.col("end")
     head = F.substring_index("marks", COMPONENT, 1)
     tail = F.substring_index("marks", COMPONENT, -1)
     lossy = ~(value.startswith(head) & value.endswith(tail)) | (F.length(value) < begin + end)
-    return values.join(marks, VARIABLE).withColumn("bare", p.cut(value, begin, end)).withColumn("lossy", lossy)
+    return values.join(marks, [*by, *VARIABLE]).withColumn("bare", p.cut(value, begin, end)).withColumn("lossy", lossy)
 
 
 def _tails(bare: Column) -> dict[str, Column]:
@@ -111,7 +112,7 @@ def affix_prefix(bare: Column, kind: str) -> Column:
     return F.when(tail != "", p.without_tail(bare, tail))
 
 
-def _tests(value: Column, markers: Sequence[str]) -> dict[str, Column]:
+def _tests(value: Column, markers: Sequence[str] | Column) -> dict[str, Column]:
     return {
         "dot": p.is_dot_suffix(value),
         "number": p.is_number(value, markers),
@@ -122,7 +123,13 @@ def _tests(value: Column, markers: Sequence[str]) -> dict[str, Column]:
     }
 
 
-def variable_facts(values: DataFrame, marks: DataFrame, markers: Sequence[str] = (), keep_equals: bool = False) -> DataFrame:
+def variable_facts(
+    values: DataFrame,
+    marks: DataFrame,
+    markers: Sequence[str] | Column = (),
+    keep_equals: bool = False,
+    by: Sequence[str] = (),
+) -> DataFrame:
     """One row per variable: chosen affix, token format and value type (dot suffixes still whole)."""
     bare = F.col("bare")
     cuts = affixes(bare, keep_equals)
@@ -132,7 +139,7 @@ def variable_facts(values: DataFrame, marks: DataFrame, markers: Sequence[str] =
         (cut if kind == "none" else F.when(F.col(f"prefix_{kind}").isNotNull(), cut)).alias(f"_{kind}")
         for kind, cut in cuts.items()
     ]
-    stripped = strip_marks(values, known).select("*", *columns)
+    stripped = strip_marks(values, known, by).select("*", *columns)
 
     def every(test: Column, allowed: str) -> Column:
         return F.every(F.when(F.col(allowed), test).otherwise(F.lit(False)))
@@ -146,7 +153,7 @@ def variable_facts(values: DataFrame, marks: DataFrame, markers: Sequence[str] =
             aggs.append(F.every(F.coalesce(prefix == F.col(f"prefix_{kind}"), F.lit(False))).alias(f"all_{kind}"))
         # Nulls are left out of the conjunction; it is read only where the affix fits all values.
         aggs += [every(test, f"ok_{kind}_{name}").alias(f"{kind}_{name}") for name, test in _tests(cut, markers).items()]
-    keys = [*VARIABLE, "template_line", "begin", "end", "marks", *[f"prefix_{kind}" for kind in cuts if kind != "none"]]
+    keys = [*by, *VARIABLE, "template_line", "begin", "end", "marks", *[f"prefix_{kind}" for kind in cuts if kind != "none"]]
     aggs += [F.count(F.lit(1)).alias("n_values"), F.min("first_line").alias("format_line")]
     flags = stripped.groupBy(*keys).agg(*aggs)
     affix = F.lit("none")
@@ -177,7 +184,7 @@ def variable_facts(values: DataFrame, marks: DataFrame, markers: Sequence[str] =
         .otherwise(F.lit("Undecided")),
     )
     return typed.select(
-        *VARIABLE, "template_line", "begin", "end", "affix", "TokenFormat", "ValueType",
+        *by, *VARIABLE, "template_line", "begin", "end", "affix", "TokenFormat", "ValueType",
         (holds("dot") & (F.col("affix") != "raw")).alias("is_dot"),
         (F.col("strip_lossy") & (F.col("affix") != "raw")).alias("strip_lossy"),
         F.when(F.col("ValueType") == "Identifier", F.lit("<D>:<D>")).otherwise(F.lit(SLOT)).alias("component"),
@@ -200,36 +207,40 @@ def component_and_value(cut: Column, is_dot: Column, component: Column) -> tuple
     )
 
 
-def normalised_values(values: DataFrame, facts: DataFrame, keep_equals: bool = False) -> DataFrame:
+def normalised_values(values: DataFrame, facts: DataFrame, keep_equals: bool = False, by: Sequence[str] = ()) -> DataFrame:
     """Long rows (…facts, token, value, ComponentFormat, first_line) with affixes and marks cut off."""
-    joined = values.withColumnRenamed("value", "token").join(facts, VARIABLE)
+    joined = values.withColumnRenamed("value", "token").join(facts, [*by, *VARIABLE])
     cut = cut_token(F.col("token"), F.col("begin"), F.col("end"), F.col("affix"), keep_equals)
     component, value = component_and_value(F.col("_v"), F.col("is_dot"), F.col("component"))
     return joined.withColumn("_v", cut).select(
-        *VARIABLE, "template_line", "TokenFormat", "ValueType", "strip_lossy", "token", "first_line",
+        *by, *VARIABLE, "template_line", "TokenFormat", "ValueType", "strip_lossy", "token", "first_line",
         component.alias("ComponentFormat"), value.alias("value"),
     )
 
 
-def classify(values: DataFrame, markers: Sequence[str] = (), keep_equals: bool = False) -> Classified:
+def classify(
+    values: DataFrame, markers: Sequence[str] | Column = (), keep_equals: bool = False, by: Sequence[str] = ()
+) -> Classified:
     """Variables with their types and DynamicIDs, and their normalised values.
 
     ``values`` should be a written table (see ``stage``): it is read three times.
-    A variable of dotted suffixes gives one DynamicID per format.
+    A variable of dotted suffixes gives one DynamicID per format.  With ``by`` the values of many
+    log sets are typed in one job; ``markers`` may then be an array column that depends on the set.
+    DynamicIDs are numbered through all sets, in their order.
     """
-    marks = stage(punctuation(first_values(values)), "marks")
-    facts = stage(variable_facts(values, marks, markers, keep_equals), "facts")
-    keys = [*VARIABLE, "template_line", "TokenFormat", "ComponentFormat", "ValueType", "strip_lossy"]
+    marks = stage(punctuation(first_values(values, by), by), "marks")
+    facts = stage(variable_facts(values, marks, markers, keep_equals, by), "facts")
+    keys = [*by, *VARIABLE, "template_line", "TokenFormat", "ComponentFormat", "ValueType", "strip_lossy"]
     plain = facts.where("not is_dot").select(
         *[F.col("component").alias(k) if k == "ComponentFormat" else k for k in keys], "format_line", "n_values"
     )
-    dotted = normalised_values(values, facts.where("is_dot"), keep_equals).groupBy(*keys)
+    dotted = normalised_values(values, facts.where("is_dot"), keep_equals, by).groupBy(*keys)
     dotted = dotted.agg(F.min("first_line").alias("format_line"), F.count(F.lit(1)).alias("n_values"))
     formats = plain.unionByName(dotted)
     variables = stage(
-        number_by_order(formats, ["template_line", "pos", "format_line", "ComponentFormat"], "DynamicID"), "variables"
+        number_by_order(formats, [*by, "template_line", "pos", "format_line", "ComponentFormat"], "DynamicID"), "variables"
     )
-    rows = normalised_values(values, facts, keep_equals)
-    ids = variables.select("DynamicID", *VARIABLE, "ComponentFormat")
-    numbered = rows.join(ids, [*VARIABLE, "ComponentFormat"]).select("DynamicID", "ValueType", "token", "value", "first_line")
+    rows = normalised_values(values, facts, keep_equals, by)
+    ids = variables.select("DynamicID", *by, *VARIABLE, "ComponentFormat")
+    numbered = rows.join(ids, [*by, *VARIABLE, "ComponentFormat"]).select(*by, "DynamicID", "ValueType", "token", "value", "first_line")
     return Classified(variables, numbered, facts)

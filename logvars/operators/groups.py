@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,16 +15,16 @@ from .staging import stage
 BOUNDARY = "._:-/\\,;|[](){}<>@#=+?"
 
 
-def shared_value_edges(values: DataFrame) -> DataFrame:
+def shared_value_edges(values: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(src, dst) from the smallest DynamicID of a value to every other one that has it.
 
-    A star per value instead of all pairs.
+    A star per value (of one log set, with ``by``) instead of all pairs.
     """
-    linkable = values.where(~F.col("ValueType").isin("Value", "Unit")).select("value", "DynamicID")
-    ends = linkable.groupBy("value").agg(F.min("DynamicID").alias("src"), F.max("DynamicID").alias("last"))
+    linkable = values.where(~F.col("ValueType").isin("Value", "Unit")).select(*by, "value", "DynamicID")
+    ends = linkable.groupBy(*by, "value").agg(F.min("DynamicID").alias("src"), F.max("DynamicID").alias("last"))
     # Few values are shared: only those are joined back.
-    shared = stage(ends.where("src <> last").select("value", "src"), "shared-values")
-    return linkable.join(shared, "value").select("src", F.col("DynamicID").alias("dst")).where("src <> dst").distinct()
+    shared = stage(ends.where("src <> last").select(*by, "value", "src"), "shared-values")
+    return linkable.join(shared, [*by, "value"]).select("src", F.col("DynamicID").alias("dst")).where("src <> dst").distinct()
 
 
 def number_groups(components: DataFrame) -> DataFrame:
@@ -31,9 +33,9 @@ def number_groups(components: DataFrame) -> DataFrame:
     return components.join(roots, "component").select(F.col("id").alias("DynamicID"), "GroupID")
 
 
-def same_value_groups(variables: DataFrame, values: DataFrame) -> DataFrame:
+def same_value_groups(variables: DataFrame, values: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     nodes = variables.select(F.col("DynamicID").alias("id"))
-    return number_groups(stage(connected_components(nodes, shared_value_edges(values)), "components"))
+    return number_groups(stage(connected_components(nodes, shared_value_edges(values, by)), "components"))
 
 
 def attach_groups(table: DataFrame, groups: DataFrame) -> DataFrame:

@@ -42,19 +42,30 @@ def open_groups(values: DataFrame) -> DataFrame:
     )
 
 
-def merged_values(values: DataFrame) -> DataFrame:
-    """Distinct values over all members of each group."""
-    return values.groupBy("GroupID", "value").agg(F.min("first_line").alias("first_line"))
+def merged_values(values: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct values over all members of each group; a group belongs to one log set."""
+    return values.groupBy(*by, "GroupID", "value").agg(F.min("first_line").alias("first_line"))
 
 
-def bucket_of(value: Column, prefixes: Sequence[str]) -> Column:
+Prefixes = Sequence[str] | Column
+
+
+def is_given(prefixes: Prefixes) -> bool:
+    return isinstance(prefixes, Column) or bool(prefixes)
+
+
+def bucket_of(value: Column, prefixes: Prefixes) -> Column:
+    """The first prefix that the value starts with; ``prefixes`` may be an array column where they differ by row."""
+    if isinstance(prefixes, Column):
+        found = F.get(F.filter(prefixes, lambda p: value.startswith(p)), F.lit(0))
+        return F.when(F.size(prefixes) == 0, F.lit(WHOLE_GROUP)).otherwise(F.coalesce(found, F.lit(OTHER_BUCKET)))
     bucket = F.lit(OTHER_BUCKET)
     for prefix in reversed(list(prefixes)):
         bucket = F.when(value.startswith(prefix), F.lit(prefix)).otherwise(bucket)
     return bucket
 
 
-def bucket_sizes(merged: DataFrame, prefixes: Sequence[str]) -> DataFrame:
+def bucket_sizes(merged: DataFrame, prefixes: Prefixes) -> DataFrame:
     """(GroupID, bucket, used, split): buckets of a single value are not used, and a group
     without any usable bucket is not split."""
     placed = merged.select("GroupID", bucket_of(F.col("value"), prefixes).alias("bucket"))
@@ -63,9 +74,9 @@ def bucket_sizes(merged: DataFrame, prefixes: Sequence[str]) -> DataFrame:
     return stage(sizes.join(split, "GroupID"), "buckets")
 
 
-def prefix_buckets(merged: DataFrame, prefixes: Sequence[str], sizes: DataFrame | None = None) -> DataFrame:
+def prefix_buckets(merged: DataFrame, prefixes: Prefixes, sizes: DataFrame | None = None) -> DataFrame:
     """Add bucket and used: the first prefix a value starts with."""
-    if not prefixes:
+    if not is_given(prefixes):
         return merged.withColumn("bucket", F.lit(WHOLE_GROUP)).withColumn("used", F.lit(True))
     sizes = bucket_sizes(merged, prefixes) if sizes is None else sizes
     placed = merged.withColumn("bucket", bucket_of(F.col("value"), prefixes))
@@ -178,38 +189,39 @@ def propose_formats(shaped: DataFrame, keys: Sequence[str]) -> DataFrame:
 class GroupRules(NamedTuple):
     """What must be known of each group to format its values; small tables only."""
 
-    prefixes: Sequence[str]
+    prefixes: Prefixes
     sizes: DataFrame | None
     shapes: DataFrame
 
 
-def group_rules(values: DataFrame, prefixes: Sequence[str] = ()) -> GroupRules:
+def group_rules(values: DataFrame, prefixes: Prefixes = (), by: Sequence[str] = ()) -> GroupRules:
     """Rules of the open groups of (GroupID, ValueType, value, first_line)."""
-    merged = merged_values(values.join(stage(open_groups(values), "open"), "GroupID")).drop("first_line")
+    merged = merged_values(values.join(stage(open_groups(values), "open"), "GroupID"), by).drop("first_line")
     shaped = stage(with_shape(merged), "shaped")
-    sizes = bucket_sizes(shaped, prefixes) if prefixes else None
+    sizes = bucket_sizes(shaped, prefixes) if is_given(prefixes) else None
     placed = prefix_buckets(shaped, prefixes, sizes).where("used")
     return GroupRules(prefixes, sizes, shape_formats(placed, ["GroupID", "bucket"]))
 
 
 def group_formats(
     values: DataFrame,
-    prefixes: Sequence[str] = (),
+    prefixes: Prefixes = (),
     proposer: Callable[[DataFrame], DataFrame] | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """(GroupID, value, Format, Parts) for every value of every open group.
 
     ``proposer`` may replace the rules: it gets all (GroupID, value) and returns (GroupID, Format), which are
     tried in order, specific ones first.  See :func:`proposed_formats` for one that sees samples and answers in text.
     """
-    merged = merged_values(values.join(stage(open_groups(values), "open"), "GroupID")).drop("first_line")
+    merged = merged_values(values.join(stage(open_groups(values), "open"), "GroupID"), by).drop("first_line")
     if proposer is not None:
-        return collapse_entities(cover_all(match_formats(merged, proposer(merged), "GroupID"))).drop("matched")
+        return collapse_entities(cover_all(match_formats(merged.drop(*by), proposer(merged), "GroupID"))).drop("matched")
     placed = prefix_buckets(stage(with_shape(merged), "shaped"), prefixes)
     proposed = propose_formats(placed.where("used"), ["GroupID", "bucket"])
     alone = placed.where("not used").withColumn("Format", F.lit(fm.SLOT)).withColumn("Parts", F.array("value"))
     found = proposed.unionByName(alone.select(*proposed.columns))
-    return collapse_entities(found).drop("bucket", "used")
+    return collapse_entities(found).drop("bucket", "used", *by)
 
 
 class Proposed(NamedTuple):
@@ -225,10 +237,11 @@ NOT_A_LIST, UNUSED = "not a list", "fits no value"
 def proposed_formats(
     values: DataFrame,
     proposer: Callable[[DataFrame, int], DataFrame],
-    prefixes: Sequence[str] = (),
+    prefixes: Prefixes = (),
     rounds: int = 5,
     max_tokens: int = MAX_TOKENS,
     at_least: int = MIN_VALUES,
+    by: Sequence[str] = (),
 ) -> Proposed:
     """Formats that a proposer suggests, checked against all values of the open groups.
 
@@ -241,7 +254,7 @@ def proposed_formats(
     In the end each value takes the first format of its group that fits, over all buckets and rounds.  Formats that
     fit no value of their bucket when they are proposed are rejected, like answers that are no list.
     """
-    merged = merged_values(values.join(stage(open_groups(values), "open"), "GroupID"))
+    merged = merged_values(values.join(stage(open_groups(values), "open"), "GroupID"), by)
     merged = stage(merged, "merged")
     placed = prefix_buckets(merged, prefixes).where("used").select("GroupID", "bucket", "value", "first_line")
     left, keys = stage(placed, "left"), ["GroupID", "bucket"]
@@ -266,18 +279,18 @@ def proposed_formats(
     none = merged.where("false")
     formats = reduce(DataFrame.union, verified, none.select("GroupID", F.col("value").alias("Format"))).distinct()
     texts = none.select("GroupID", F.lit("").alias("bucket"), F.lit(0).alias("attempt"), F.col("value").alias("text"), F.lit("").alias("reason"))
-    found = match_formats(merged.drop("first_line"), stage(formats, "verified"), "GroupID")
+    found = match_formats(merged.drop("first_line", *by), stage(formats, "verified"), "GroupID")
     found = collapse_entities(cover_all(found)).drop("matched")
     return Proposed(found, reduce(DataFrame.unionByName, rejected, texts))
 
 
-def format_rows(variables: DataFrame, values: DataFrame, formats: DataFrame) -> DataFrame:
+def format_rows(variables: DataFrame, values: DataFrame, formats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The format table in long form (schema FORMAT_ROWS): decided and filled rows.
 
     ``variables`` has GroupID; ``values`` has DynamicID, token, value, first_line.
     """
     facts = variables.select(
-        "DynamicID", F.col("NewTemplate").alias("Template"), F.col("pos").cast("int").alias("ParameterIndex"),
+        *by, "DynamicID", F.col("NewTemplate").alias("Template"), F.col("pos").cast("int").alias("ParameterIndex"),
         "TokenFormat", "ComponentFormat", "ValueType", F.col("GroupID").cast("long").alias("GroupID"),
     )
     rows = values.select("DynamicID", "token", "value", "first_line").join(facts, "DynamicID")
@@ -289,7 +302,7 @@ def format_rows(variables: DataFrame, values: DataFrame, formats: DataFrame) ->
         .withColumnRenamed("Format", "ComponentFormat")
     )
     columns = [
-        "DynamicID", "Template", "ParameterIndex", "TokenFormat", F.col("token").alias("Token"), "ComponentFormat",
+        *by, "DynamicID", "Template", "ParameterIndex", "TokenFormat", F.col("token").alias("Token"), "ComponentFormat",
         F.col("value").alias("Value"), "Parts", "ValueType", "GroupID", F.col("first_line").alias("FirstLine"),
     ]
     return decided.select(*columns).unionByName(filled.select(*columns))

@@ -15,7 +15,7 @@ from ..operators import analysis, classify, compare, drift, extract, groups, ind
 from ..operators.staging import stage
 from . import fixtures as fx
 from . import check_sql as tests
-from .check_sql import GROUP_PROPOSAL, VARIABLE_PROPOSAL, format_regex, number, sql
+from .check_sql import GROUP_PROPOSAL, VARIABLE_PROPOSAL, format_regex, number, one_set, sql
 from .workflow import SPECIAL_MARKERS, SPLIT_PREFIXES, run
 
 MARKERS = SPECIAL_MARKERS["BGL"]
@@ -784,6 +784,23 @@ def annotator_disagreements(spark, sf):
     return labels.disagreements(*_annotators(spark, sf))
 
 
+_SET_FORMATS = sql(f"""
+select DynamicID, Template, cast(ParameterIndex as bigint) as ParameterIndex, TokenFormat, Token, ComponentFormat, Value, ValueType, GroupID
+from {_FORMAT_TABLE}""", extra=GROUP_PROPOSAL)
+
+
+# Two sets that share their templates and, by chance, line numbers' order; one has markers, the other prefixes.
+@query(f"""
+select 'Spark' as dataset, * from ({one_set(_SET_FORMATS, "LineId % 3 > 0", markers=False, prefixes=True)})
+union all select 'BGL' as dataset, * from ({one_set(_SET_FORMATS, "LineId % 3 = 0", markers=True, prefixes=False)})""")
+def log_set_formats(spark, sf):
+    lines = fx.parsed_logs(spark, sf).withColumn("dataset", F.when(F.col("LineId") % 3 > 0, "Spark").otherwise("BGL"))
+    return run(lines, by="dataset")["formats"].select(
+        "dataset", "DynamicID", "Template", F.col("ParameterIndex").cast("long"), "TokenFormat", "Token", "ComponentFormat", "Value",
+        "ValueType", "GroupID",
+    )
+
+
 # ---- whole job ----------------------------------------------------------------------
 
 

@@ -274,6 +274,16 @@ def sql(body: str, *tables: str, extra: dict[str, str] | None = None) -> str:
     return "with recursive " + ",\n".join(f"{n} as ({pool[n]})" for n in need) + "\n" + body if need else body
 
 
+def one_set(text: str, lines: str, markers: bool, prefixes: bool) -> str:
+    """``text`` over the lines of one log set only, with its own settings."""
+    known, own = f"parsed_logs as ({TABLES['parsed_logs']})", f"parsed_logs as (select * from ({TABLES['parsed_logs']}) where {lines})"
+    assert text.count(known) == 1
+    text = text.replace(known, own)
+    if not markers:
+        text = text.replace(f"in {_MARKERS}", "in ('')")
+    return text if prefixes else text.replace(TABLES["buckets"], "select GroupID, value, first_line, '(all)' as bucket, true as used from merged")
+
+
 def _words(text: str) -> list[str]:
     return "".join(ch if ch.isalnum() or ch == "_" else " " for ch in text).split()
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.templates import is_dynamic, replace_nth_hole
-from .ranking import hash_key, prefix_rows
+from .extract import extract_parameters
+from .ranking import before_edge, edge_rows, hash_key, hash_numbers, prefix_edges, prefix_rows, with_keys
 from .staging import stage
 from .variables import first_lines
 
@@ -14,18 +15,27 @@ SEED = "line-sample"
 
 
 def sample_lines(lines: DataFrame, n: int, seed: str = SEED) -> DataFrame:
-    """``n`` lines of each template in a reproducible random order (all, if it has fewer)."""
-    hashed = lines.withColumn("_h", hash_key(seed, "LineId"))
-    return prefix_rows(hashed, ["EventTemplate"], [F.substring("_h", 1, 4)], ["_h", "LineId"], F.lit(n)).drop("_h")
+    """``n`` lines of each template in a reproducible random order (all, if it has fewer).
+
+    Lines are chosen by template and number alone, before anything else about them is computed.
+    """
+    keys = ["EventTemplate", "LineId"]
+    hashed = stage(lines.select(*keys).withColumn("_h", hash_key(seed, "LineId")), "line-hashes")
+    chosen = prefix_rows(hashed, ["EventTemplate"], hash_numbers(F.col("_h")), ["_h", "LineId"], F.lit(n))
+    chosen = stage(chosen.select(*keys).distinct(), "chosen-lines")
+    on = [lines[k].eqNullSafe(chosen[k]) for k in keys]
+    return lines.join(chosen, on, "left_semi")
 
 
 def parameter_label_sheet(lines: DataFrame, templates: DataFrame, n: int, seed: str = SEED) -> DataFrame:
     """(Template, LineId, Log, Index, Value): every parameter of the sampled lines.
 
-    ``lines`` has ParameterList as an array.
+    ``lines`` has ParameterList as an array, or is not extracted yet: then only the sampled lines are.
     """
     wanted = templates.where(is_dynamic(F.col("EventTemplate"))).select("EventTemplate").distinct()
     sampled = sample_lines(lines.join(wanted, "EventTemplate", "left_semi"), n, seed)
+    if "NewTemplate" not in lines.columns:
+        sampled = extract_parameters(sampled)
     return sampled.select(
         F.col("EventTemplate").alias("Template"), "LineId", F.col("Content").alias("Log"),
         F.posexplode("ParameterList").alias("Index", "Value"),
@@ -35,19 +45,24 @@ def parameter_label_sheet(lines: DataFrame, templates: DataFrame, n: int, seed:
 def mark_share(rows: DataFrame, key: str, ratio: float = 0.2, seed: str = SEED) -> DataFrame:
     """Add ``selected``: exactly ``int(n * ratio)`` rows, chosen by hash.
 
-    Only the bucket of hashes in which the share ends is ranked; the rest is decided by
-    its bucket alone.
+    Only the stretch of hashes in which the share ends is ranked; the rest is decided by its hashes alone.
     """
-    hashed = rows.select(key).withColumn("_h", hash_key(seed, key))
+    here = hash_key(seed, key)
+    keyed = stage(with_keys(rows.select(key).withColumn("_h", here), hash_numbers(F.col("_h"))), "share-hashes")
     budget = F.floor(F.col("_total") * F.lit(float(ratio)))
-    chosen = prefix_rows(hashed, [], [F.substring("_h", 1, 4)], ["_h", key], budget)
-    # The last chosen row is the cut; one row comes back, the rest is a comparison per row.
-    last = chosen.agg(F.max(F.struct("_h", key)).alias("cut")).first()["cut"]
-    if last is None:
+    edges = prefix_edges(keyed, [], budget)
+    edge = edges.first()
+    if edge is None:
         return rows.withColumn("selected", F.lit(False))
-    here = hash_key(seed, key)
-    before = (here < last["_h"]) | ((here == last["_h"]) & (F.col(key) <= F.lit(last[key])))
-    return rows.withColumn("selected", before)
+    # The last chosen row of that stretch is the cut; one row comes back.
+    order = F.struct("_h", key)
+    last = edge_rows(keyed, edges, [], ["_h", key], budget, 0).agg(F.max(order).alias("cut")).first()["cut"]
+    bound = {c: F.lit(edge[c]).cast("long") for c in ("_low",)} | {"_at": F.lit(edge["_at"]).cast("array<bigint>")}
+    marked = with_keys(rows.withColumn("_h", here), hash_numbers(F.col("_h"))).withColumns(bound)
+    selected = before_edge()
+    if last is not None:
+        selected |= (F.col("_h") < last["_h"]) | ((F.col("_h") == last["_h"]) & (F.col(key) <= F.lit(last[key])))
+    return marked.withColumn("selected", selected).select(*rows.columns, "selected")
 
 
 def format_label_sheet(extracted: DataFrame, formats: DataFrame) -> DataFrame:

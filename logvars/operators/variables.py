@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import templates as tpl
 from .extract import explode_parameters
-from .ranking import hash_key, prefix_rows
+from .ranking import hash_key, hash_numbers, prefix_rows
 from .staging import stage
 
 VARIABLE = ["NewTemplate", "pos"]
@@ -49,8 +49,8 @@ def first_lines(extracted: DataFrame) -> DataFrame:
 
 def representative_lines(extracted: DataFrame, n: int, seed: str) -> DataFrame:
     """At most ``n`` distinct contents of each template in a reproducible random order."""
-    rows = distinct_contents(extracted).withColumn("_h", hash_key(seed, "first_line"))
-    return prefix_rows(rows, ["NewTemplate"], [F.substring("_h", 1, 3)], ["_h", "first_line"], F.lit(n)).drop("_h")
+    rows = stage(distinct_contents(extracted).withColumn("_h", hash_key(seed, "first_line")), "contents")
+    return prefix_rows(rows, ["NewTemplate"], hash_numbers(F.col("_h")), ["_h", "first_line"], F.lit(n)).drop("_h")
 
 
 def representative_values(extracted: DataFrame, n: int, seed: str) -> DataFrame:

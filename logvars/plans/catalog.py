@@ -742,7 +742,7 @@ def parser_difference_sheet(spark, sf):
 select EventTemplate as Template, LineId, Content as Log, cast(unnest(generate_series(0, len(params) - 1)) as bigint) as Index, unnest(params) as Value
 from (select *, row_number() over (partition by EventTemplate order by md5('line-sample-' || LineId), LineId) as r from ext) where r <= 10"""))
 def parameter_label_sheet(spark, sf):
-    sheet = labels.parameter_label_sheet(_extracted(spark, sf), _templates(spark, sf), 10)
+    sheet = labels.parameter_label_sheet(fx.parsed_logs(spark, sf), _templates(spark, sf), 10)
     return sheet.withColumn("Index", F.col("Index").cast("long"))
 
 

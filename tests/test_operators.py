@@ -350,3 +350,42 @@ def test_prefix_states_against_a_walk(spark):
         state[t] = step[want[t, c]]
     for block in (3, 64, 1000):
         assert {(r.tid, r.chunk): r.state for r in drift.prefix_states(table, block).collect()} == want
+
+
+def plain_prefix(rows, order, budget, at_least=0):
+    """{group: ids} of (group, weight, id, …) rows."""
+    want = set()
+    for g in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == g), key=order)
+        total, limit = 0, budget(len(mine))
+        for k, r in enumerate(mine, 1):
+            total += r[1]
+            if total <= limit or k <= at_least:
+                want.add(r[2])
+    return want
+
+
+@pytest.mark.parametrize("limit", [1, 3, 40, 10_000])
+def test_prefix_rows_cut_again_until_the_edge_is_small(spark, limit):
+    rnd = random.Random(limit)
+    rows = [(rnd.choice("ab"), rnd.choice([0, 1, 1, 5]), i, rnd.choice([7, 7, 7, rnd.randrange(50), 10**17]), rnd.randrange(4)) for i in range(700)]
+    rows += [(None, 1, 1000, 5, 5), ("one", 9, 1001, -3, 2)]
+    df = stage(spark.createDataFrame(rows, "g string, w int, i long, a long, b long"), "rows")
+    keys, order = [F.col("a"), F.col("b"), F.col("i")], ["a", "b", "i"]
+    for share in (0.0, 0.3, 0.9, 5.0):
+        got = ranking.prefix_rows(df, ["g"], keys, order, F.floor(F.col("_total") * share), F.col("w"), at_least=2, limit=limit)
+        want = plain_prefix(rows, lambda r: (r[3], r[4], r[2]), lambda n, s=share: int(n * s), 2)
+        found = [r.i for r in got.collect()]
+        assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_an_outlier_and_equal_lengths_leave_a_small_edge(spark):
+    values = spark.range(1_000_000).select(
+        F.lit("g").alias("g"), F.lit("abcd").alias("value"), F.when(F.col("id") == 999_999, 1 << 60).otherwise(F.col("id")).alias("first_line")
+    )
+    rows = ranking.with_keys(stage(values, "values"), [F.length("value"), F.col("first_line")])
+    edges = ranking.prefix_edges(rows, ["g"], F.lit(400_123), limit=1000).collect()
+    assert len(edges) == 1 and edges[0]["_n"] <= 1000 and edges[0]["_n0"] <= 400_123 < edges[0]["_n0"] + edges[0]["_n"]
+    kept = sampling.token_budget_sample(stage(values, "values"), ["g"], 400_123, 5)
+    found = kept.agg(F.count(F.lit(1)).alias("n"), F.max("first_line").alias("last")).first()
+    assert (found["n"], found["last"]) == (400_123, 400_122)

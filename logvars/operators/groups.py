@@ -43,35 +43,72 @@ def attach_groups(table: DataFrame, groups: DataFrame) -> DataFrame:
     return table.join(groups, "DynamicID", "left").fillna(0, ["GroupID"])
 
 
-def _pieces(text: Column) -> tuple[Column, Column]:
-    """Begins (0-based) and ends of the pieces between boundary characters, in one pass over the text."""
-    at = F.array_compact(
-        F.transform(F.split(text, ""), lambda c, i: F.when((c != "") & (F.instr(F.lit(BOUNDARY), c) > 0), i))
-    )
-    return F.concat(F.array(F.lit(0)), F.transform(at, lambda i: i + 1)), F.concat(at, F.array(F.length(text)))
+#: Modulus and base of the hashes of stretches; products of two residues fit a long.
+_PRIME, _BASE = (1 << 31) - 1, 1_103_515_245
+_START = "\x01"
+
+
+def _power(exponent: Column) -> Column:
+    """Base to the power of a number below 2^31, modulo the prime, by its bits."""
+    found = F.lit(1).cast("long")
+    for bit in range(31):
+        factor = F.when(exponent.bitwiseAND(1 << bit) != 0, pow(_BASE, 1 << bit, _PRIME)).otherwise(1)
+        found = found * factor % _PRIME
+    return found
+
+
+def _cut_texts(texts: DataFrame) -> DataFrame:
+    """(id, k, j, begin, size, head, term): a narrow row for each piece between boundary characters.
+
+    ``head`` is the hash of the piece, ``term`` its part in the hash of a stretch: the hash of the piece with the
+    boundary before it, times the base to the power of its place.  Each text is read once, and cut at its boundaries.
+    """
+    boundary = "[" + "".join("\\" + c for c in BOUNDARY) + "]"
+    # With a character in front, every piece has one before it.
+    pieces = F.split(F.concat(F.lit(_START), F.col("text")), f"(?={boundary})", -1)
+    rows = texts.select("id", pieces.alias("_p")).select("id", F.size("_p").alias("k"), F.posexplode("_p").alias("j", "e"))
+    term = F.pmod(F.xxhash64("e"), F.lit(_PRIME)) * _power(F.col("j")) % _PRIME
+    return rows.select("id", "k", "j", F.length("e").alias("size"), F.xxhash64(F.substring("e", 2, 2**31 - 1)).alias("head"), term.alias("term"))
 
 
 def contained_pairs(values: DataFrame) -> DataFrame:
     """Distinct (short, long): ``short`` lies in ``long`` between boundary characters.
 
-    The pair test becomes an equality join.  A long value is read once for each of its pieces; there it
-    offers only stretches with as many pieces as some short value that begins with that piece.  Only
-    the first occurrence counts, all-digit and empty values are never the short side.
+    The pair test becomes equality joins of hashes.  Each piece of a long value may open a stretch of as many pieces
+    as some short value that begins with that piece; the hash of such a stretch is the difference of two prefix
+    hashes.  Only what meets the hash of a short value fetches its texts, which decide.  Only the first occurrence
+    counts, all-digit and empty values are never the short side.
     """
-    begins, ends = _pieces(F.col("long"))
-    texts = values.select(F.col("value").alias("long")).distinct()
-    cut = stage(texts.select("long", begins.alias("begins"), ends.alias("ends")), "texts").withColumn("k", F.size("ends"))
-    first = F.substring("long", F.lit(1), F.get("ends", F.lit(0)))
-    shorts = cut.where(~F.col("long").rlike(r"^\d*$")).select(F.col("long").alias("short"), first.alias("piece"), F.col("k").alias("n"))
-    widths = stage(shorts.select("piece", "n").distinct(), "widths")
-    starts = cut.where("k > 1").select("long", "ends", "k", F.posexplode("begins").alias("p", "begin"))
-    starts = starts.withColumn("piece", F.substring("long", F.col("begin") + 1, F.get("ends", F.col("p")) - F.col("begin")))
+    texts = values.select(F.col("value").alias("text")).distinct().withColumn("id", F.monotonically_increasing_id())
+    texts = stage(texts, "texts")  # written, so that ids stay
+    pieces = stage(_cut_texts(texts), "pieces")
+    shorts = texts.where(~F.col("text").rlike(r"^\d*$")).select("id")
+    whole = pieces.join(shorts, "id").groupBy("id", "k").agg(
+        F.min(F.when(F.col("j") == 0, F.col("head"))).alias("head"),
+        # The first piece stands for itself, whatever is before it; it has the power 0.
+        (F.sum(F.when(F.col("j") > 0, F.col("term")).otherwise(0)) % _PRIME).alias("rest"),
+    )
+    whole = stage(whole.select(F.col("id").alias("short_id"), F.col("k").alias("n"), "head", "rest"), "short-hashes")
+    widths = stage(whole.select("head", "n").distinct(), "widths")
+    along = Window.partitionBy("id").orderBy("j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = pieces.where("k > 1").select(
+        "id", "k", "j", "head", (F.sum("term").over(along) % _PRIME).alias("upto"),
+        (F.sum("size").over(along) - F.col("size")).cast("int").alias("begin"),
+    )
+    summed = stage(summed, "prefix-hashes")
     # A proper stretch has fewer pieces than its value.
-    met = starts.join(widths, "piece").where("p + n <= k and n < k")
-    width = F.get("ends", F.col("p") + F.col("n") - 1) - F.col("begin")
-    candidates = met.select("long", "begin", F.substring("long", F.col("begin") + 1, width).alias("short"))
-    found = candidates.join(shorts.select("short"), "short")
-    return found.where("instr(long, short) = begin + 1").select("short", "long")
+    opened = summed.join(widths, "head").where("j + n <= k and n < k").select(
+        "id", "head", "n", "j", "begin", (F.col("j") + F.col("n") - 1).alias("last"), F.col("upto").alias("before")
+    )
+    ends = summed.select("id", F.col("j").alias("last"), "upto")
+    stretch = opened.join(ends, ["id", "last"]).withColumn("stretch", F.pmod(F.col("upto") - F.col("before"), F.lit(_PRIME)))
+    # Shifted back to the place of the short value's own pieces by the inverse of the power.
+    inverse = _power((F.lit(_PRIME - 1) - F.col("j").cast("long") % (_PRIME - 1)) % (_PRIME - 1))
+    keyed = stretch.select("id", "head", "n", "begin", (F.col("stretch") * inverse % _PRIME).alias("rest"))
+    hits = keyed.join(whole, ["head", "n", "rest"]).select("id", "short_id", "begin")
+    found = hits.join(texts.select("id", F.col("text").alias("long")), "id")
+    found = found.join(texts.select(F.col("id").alias("short_id"), F.col("text").alias("short")), "short_id")
+    return found.where("instr(long, short) = begin + 1").select("short", "long").distinct()
 
 
 def contained_values(values: DataFrame) -> DataFrame:
@@ -82,6 +119,20 @@ def contained_values(values: DataFrame) -> DataFrame:
     return owners.join(marked, "long").select("DynamicID", "long", "short", "sub")
 
 
+def group_texts(groups: DataFrame, contained: DataFrame, chunk_rows: int = 1000) -> DataFrame:
+    """(GroupID, DynamicID, Chunk, subs): the texts with ``<sub>`` of each variable of a containment group.
+
+    ``contained`` are the :func:`contained_values`.  Distinct texts in order, in chunks of about ``chunk_rows``, so that
+    no list grows with a variable.
+    """
+    texts = contained.select("DynamicID", "sub").distinct().join(groups, "DynamicID")
+    texts = stage(texts.select("GroupID", "DynamicID", "sub"), "group-texts")
+    keys = ["GroupID", "DynamicID"]
+    sizes = texts.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("long").alias("_chunks"))
+    cut = texts.join(stage(sizes, "group-chunks"), keys).withColumn("Chunk", F.pmod(F.xxhash64("sub"), F.col("_chunks")))
+    return cut.groupBy(*keys, "Chunk").agg(F.array_sort(F.collect_list("sub")).alias("subs"))
+
+
 def containment_groups(variables: DataFrame, values: DataFrame) -> DataFrame:
     """(DynamicID, GroupID) of variables linked by contained values (Undecided ones only).
 

@@ -338,18 +338,31 @@ def contained_values(spark, sf):
     return groups.contained_values(_owners(spark, sf))
 
 
-@query(sql(f"""
-select DynamicID, dense_rank() over (order by root) as GroupID from (
+_CONTAINMENT = f"""(select DynamicID, dense_rank() over (order by root) as GroupID from (
   with recursive {_OWNERS}, {_PAIRS},
   links as (select distinct a.DynamicID as s, b.DynamicID as d from pairs join owners a on a.value = short join owners b on b.value = long),
   both_ways as (select s, d from links union select d, s from links),
   reached as (select distinct DynamicID as id, DynamicID as r from owners union select id, d from reached join both_ways on r = s)
-  select cast(id as bigint) as DynamicID, min(r) as root from reached group by id)""", "numbered", "contain_values"))
+  select cast(id as bigint) as DynamicID, min(r) as root from reached group by id))"""
+
+
+@query(sql(f"select DynamicID, GroupID from {_CONTAINMENT}", "numbered", "contain_values"))
 def containment_groups(spark, sf):
     values = _owners(spark, sf)
     return groups.containment_groups(values.select("DynamicID").distinct(), values)
 
 
+@query(sql(f"""
+select distinct GroupID, DynamicID, sub from {_CONTAINMENT} join (
+  with {_OWNERS}, {_PAIRS} select cast(v.DynamicID as bigint) as DynamicID, replace(long, short, '<sub>') as sub
+  from owners v join pairs on v.value = long) using (DynamicID)""", "numbered", "contain_values"))
+def containment_texts(spark, sf):
+    values = _owners(spark, sf)
+    found = groups.containment_groups(values.select("DynamicID").distinct(), values)
+    texts = groups.group_texts(found, groups.contained_values(values))
+    return texts.select("GroupID", "DynamicID", F.explode("subs").alias("sub"))
+
+
 # ---- samples ------------------------------------------------------------------------
 
 

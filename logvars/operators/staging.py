@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_run_folder: ContextVar[str | None] = ContextVar("run_folder", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
@@ -33,6 +38,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     optimizer the sizes of its files, so that it broadcasts only tables known to be small.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/logvars-{name}-{uuid.uuid4().hex}"
+    folder = _run_folder.get() or shared_dir(spark).rstrip("/")
+    path = f"{folder}/logvars-{name}-{uuid.uuid4().hex}"
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """Tables staged in here lie in one folder, which is removed at the end if all went well.
+
+    Nothing that is read later may depend on them: write results elsewhere first.  After a failure the
+    folder stays, so that the tables can be looked at.
+    """
+    path = f"{shared_dir(spark).rstrip('/')}/logvars-run-{uuid.uuid4().hex}"
+    token = _run_folder.set(path)
+    try:
+        yield path
+    finally:
+        _run_folder.reset(token)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import formats as fm
 from ..functions import literals as lit
 from ..functions import predicates as p
 from ..functions import templates as tpl
 from ..operators import analysis, classify, compare, drift, extract, groups, induce, labels, match, numbering, sampling, variables
-from ..operators.staging import stage
+from ..operators.staging import shared_dir, stage
+from ..sources import logs
 from . import fixtures as fx
 from . import check_sql as tests
 from .check_sql import GROUP_PROPOSAL, VARIABLE_PROPOSAL, format_regex, number, one_set, sql
@@ -155,6 +158,12 @@ def extract_params(spark, sf):
     return extract.explode_parameters(fitted, "LineId").withColumn("pos", F.col("pos").cast("long"))
 
 
+@query(sql("select LineId, NewTemplate, cast(pos as bigint) as pos, value from params"))
+def all_params(spark, sf):
+    """Every parameter, those of realigned lines too."""
+    return extract.explode_parameters(_extracted(spark, sf), "LineId").withColumn("pos", F.col("pos").cast("long"))
+
+
 @query(sql("""
 select LineId, NewTemplate, array_to_string(params, '|') as params from ext
 where len(string_split(Content, ' ')) <> len(string_split(EventTemplate, ' '))"""))
@@ -707,6 +716,64 @@ def free_memory_by_host(spark, sf):
     return analysis.free_memory_by_host(_applied(spark, sf, MEMORY_TEMPLATE, (2, 5, 6)), MEMORY_TEMPLATE, 2, 5)
 
 
+# ---- readers and writers ----------------------------------------------------------
+
+_AWKWARD = """case LineId % 4 when 0 then '"' || Content || '", ' || chr(10) || 'and "more"' when 1 then ' ' || Content || chr(13) || chr(10)
+  when 2 then '"' else Content || ',NA' end"""
+
+
+def _awkward(lines: DataFrame) -> DataFrame:
+    """Texts with quotes, commas and line breaks."""
+    content = F.col("Content")
+    quoted = F.concat(F.lit('"'), content, F.lit('", \nand "more"'))
+    made = F.when(F.col("LineId") % 4 == 0, quoted).when(F.col("LineId") % 4 == 1, F.concat(F.lit(" "), content, F.lit("\r\n")))
+    return lines.withColumn("Content", made.when(F.col("LineId") % 4 == 2, '"').otherwise(F.concat(content, F.lit(",NA"))))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/logvars-{name}-{uuid.uuid4().hex}"
+
+
+@query(sql(f"select LineId, {_AWKWARD} as Content, EventTemplate, 0 as n_rejected from parsed_logs"))
+def csv_round_trip(spark, sf):
+    """The log written as CSV for people, and read back with its rejected records counted."""
+    path = _folder(spark, "csv")
+    logs.write_sheet(_awkward(fx.parsed_logs(spark, sf).select("LineId", "Content", "EventTemplate")), path)
+    read = logs.read_csv_checked(spark, path, schemas.PARSED_LOG, multi_line=True)
+    return read.rows.select("LineId", "Content", "EventTemplate").withColumn("n_rejected", F.lit(read.rejected.count()))
+
+
+@query(sql("select reason, count(*) as n from (select case when LineId % 7 = 3 then 'wrong number of cells' else 'not a number' end as reason from parsed_logs where LineId % 7 > 2 and LineId % 7 < 5) group by reason union all select 'read', count(*) from parsed_logs where LineId % 7 < 3 or LineId % 7 > 4"))
+def rejected_records(spark, sf):
+    """Lines of a file with missing cells and with texts in place of numbers."""
+    path = _folder(spark, "broken")
+    lines = fx.parsed_logs(spark, sf)
+    cells = F.when(F.col("LineId") % 7 == 3, F.col("LineId").cast("string")).when(F.col("LineId") % 7 == 4, F.lit("x,a b,a <*>"))
+    text = cells.otherwise(F.concat(F.col("LineId").cast("string"), F.lit(",a b,a <*>")))
+    lines.select(text.alias("LineId,Content,EventTemplate")).write.option("header", True).option("quote", "").option("sep", "\x01").csv(path)
+    read = logs.read_csv_checked(spark, path, schemas.PARSED_LOG)
+    good = read.rows.agg(F.lit("read").alias("reason"), F.count(F.lit(1)).alias("n"))
+    return read.rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).unionByName(good)
+
+
+@query(sql(f"select LineId, {_AWKWARD} as Content, array_to_string(string_split(EventTemplate, ' '), '|') as tokens from parsed_logs"))
+def table_round_trip(spark, sf):
+    """The log as a table with a manifest, checked when it is read."""
+    path = _folder(spark, "table")
+    lines = _awkward(fx.parsed_logs(spark, sf)).select("LineId", "Content", tpl.tokens(F.col("EventTemplate")).alias("tokens"))
+    logs.write_committed(lines, path)
+    return logs.read_committed(spark, path).withColumn("tokens", _text("tokens"))
+
+
+@query(sql(f"select LineId, {_AWKWARD} as Content, EventTemplate from parsed_logs"))
+def adapted_csv(spark, sf):
+    """Regex templates from a CSV file whose texts hold line breaks."""
+    path = _folder(spark, "regex")
+    logs.write_sheet(_awkward(fx.regex_logs(spark, sf)), path)
+    found = compare.adapt_regex_templates(logs.read_regex_log(spark, path, multi_line=True))
+    return found.select(F.col("LineId").cast("long"), "Content", "EventTemplate")
+
+
 # ---- other parsers ------------------------------------------------------------------
 
 
@@ -748,6 +815,19 @@ def parser_difference_sheet(spark, sf):
     return sheet.select("Template", "Content", F.col("ParameterIndex").cast("long"))
 
 
+# Parameters of the other parser's log that the format table of the first one's does not know.
+_UNKNOWN = sql("select NewTemplate, cast(pos as bigint) as pos, count(*) as n_lines from params group by NewTemplate, pos", "parsed_logs_b")
+_UNKNOWN = _UNKNOWN.replace("from parsed_logs where contains(EventTemplate", "from parsed_logs_b where contains(EventTemplate")
+_KNOWN = sql(f"select distinct Template, ParameterIndex from {_FORMAT_TABLE}", extra=GROUP_PROPOSAL)
+
+
+@query(f"select u.* from ({_UNKNOWN}) u where not exists (select 1 from ({_KNOWN}) k where k.Template = u.NewTemplate and k.ParameterIndex = u.pos)")
+def params_of_other_log(spark, sf):
+    other = extract.extract_parameters(fx.parsed_logs_b(spark, sf))
+    found = analysis.parameters_without_format(other, stage(_format_rows(spark, sf), "formats"))
+    return found.withColumn("pos", F.col("pos").cast("long"))
+
+
 # ---- labels -------------------------------------------------------------------------
 
 
@@ -826,3 +906,9 @@ def full_run(spark, sf):
         F.count_distinct("DynamicID").alias("n_variables"), F.count_distinct("GroupID").alias("n_groups"),
         F.count(F.lit(1)).alias("n_values"), F.count_distinct("ComponentFormat").alias("n_formats"),
     )
+
+
+@query(_ITEMS)
+def full_run_records(spark, sf):
+    """The whole job down to the records of lines."""
+    return _items(run(fx.parsed_logs(spark, sf), "Spark", until="analysis", markers=MARKERS)["analysis"])

@@ -13,7 +13,7 @@ from ..operators.drift import extract_with_drift
 from ..operators.extract import extract_parameters
 from ..operators.groups import attach_groups, same_value_groups
 from ..operators.induce import format_rows, group_formats, group_rules, proposed_formats
-from ..operators.staging import stage
+from ..operators.staging import run_folder, stage
 from ..operators.variables import variable_values
 from ..sources.logs import write_table
 
@@ -60,11 +60,21 @@ def run(
     (see ``proposed_formats``, which gets the options ``proposal``) there is also "rejected": its answers and
     formats that were not used.
 
+    Tables between the stages lie in the shared folder; with ``out`` they are removed when all is written.
+
     ``by`` names a column of log sets: all sets run in one job, each with its own templates, settings, groups and
     numbers, as if it had run alone.  Lines of no set (null) are the set "".
     """
     if until not in ("grouped", "formats", "analysis"):
         raise ValueError(f"unknown stage: {until}")
+    how = (lines, dataset, out, until, prefixes, markers, drift, proposer, keep_equals, proposal, by)
+    if not out:
+        return _run(*how)
+    with run_folder(lines.sparkSession):
+        return _run(*how)
+
+
+def _run(lines, dataset, out, until, prefixes, markers, drift, proposer, keep_equals, proposal, by) -> dict[str, DataFrame]:
     sets = [by] if by else []
     if by:
         lines = lines.withColumn(by, F.coalesce(F.col(by).cast("string"), F.lit("")))

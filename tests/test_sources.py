@@ -1,8 +1,12 @@
 """Files in and out, and the whole job on them."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from logvars import schemas
+from logvars.operators import staging
 from logvars.operators.compare import adapt_positional, adapt_regex_templates
 from logvars.plans.workflow import run, run_log_sets
 from logvars.sources import logs
@@ -68,3 +72,43 @@ def test_log_sets(spark, tmp_path):
     run_log_sets(both, str(tmp_path / "sets"), ["Spark", "BGL"])
     found = spark.read.parquet(*[str(tmp_path / "sets" / f"dataset={n}" / "formats") for n in ("Spark", "BGL")])
     assert found.count() > 0
+
+
+def test_rejected_records_are_counted(spark, tmp_path):
+    (tmp_path / "log.csv").write_text(
+        'LineId,Content,EventTemplate\n1,"a ""b"", c",a <*>\n2,short\nx,not a number,t\n3,"broken\nline",t\n4,too,many,cells\n5,,t\n'
+    )
+    whole = logs.read_csv_checked(spark, str(tmp_path / "log.csv"), schemas.PARSED_LOG, multi_line=True)
+    assert sorted((r.LineId, r.Content) for r in whole.rows.collect() if r.Content) == [(1, 'a "b", c'), (3, "broken\nline")]
+    assert [r.Content for r in whole.rows.where("LineId = 5").collect()] == [None]
+    reasons = sorted(r.reason for r in whole.rejected.collect())
+    assert reasons == [logs.NO_NUMBER, logs.WRONG_WIDTH, logs.WRONG_WIDTH]
+    # Without multi-line reading a quoted line break is seen, not swallowed.
+    split = logs.read_csv_checked(spark, str(tmp_path / "log.csv"), schemas.PARSED_LOG)
+    assert split.rejected.count() > 3
+
+
+def test_committed_tables_are_whole(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(1, ["a"]), (2, None), (2, None)], "i int, xs array<string>")
+    logs.write_committed(rows, path)
+    assert sorted(map(str, logs.read_committed(spark, path).collect())) == sorted(map(str, rows.collect()))
+    rows.limit(1).write.mode("append").parquet(path)
+    with pytest.raises(ValueError, match="committed"):
+        logs.read_committed(spark, path)
+    empty, there = rows.where("i > 5"), str(tmp_path / "empty")
+    logs.write_committed(empty, there)
+    assert logs.read_committed(spark, there).count() == 0
+
+
+def test_run_folder_goes_after_success_only(spark, tmp_path):
+    with staging.run_folder(spark) as folder:
+        held = staging.stage(spark.range(3), "x")
+        assert held.count() == 3 and os.path.isdir(folder.removeprefix("file:"))
+    assert not os.path.exists(folder.removeprefix("file:"))
+    with pytest.raises(RuntimeError), staging.run_folder(spark) as folder:
+        staging.stage(spark.range(3), "x")
+        raise RuntimeError
+    assert os.path.isdir(folder.removeprefix("file:"))
+    result = run(lines(spark, "x").drop("dataset"), out=str(tmp_path / "out"))
+    assert all(rows.count() > 0 for rows in result.values())  # nothing depends on the removed folder

@@ -326,6 +326,7 @@ def same_value_groups(spark, sf):
 _OWNERS = """owners as (select distinct DynamicID, value from numbered where ValueType = 'Undecided'
   union select DynamicID + 1000000, value from contain_values), texts as (select distinct value from owners)"""
 
+# Fixed values in this text: the characters that may border a contained value.
 _PAIRS = r"""cut as (select value, [0] || [i for i in range(1, length(value) + 1) if contains('._:-/\,;|[](){}<>@#=+?', value[i])] || [length(value) + 1] as b
     from texts),
   opened as (select value, b, unnest(b) as lo from cut), closed as (select value, lo, unnest(b) as hi from opened),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .fixtures import CHECK_TABLES
 
 # The tests below say by splitting, trimming and counting what the library says by patterns.
+# The markers of the set BGL.
 _MARKERS = "('X-', 'X+', 'Y-', 'Y+', 'Z-', 'Z+', 'x+', 'x-', 'y+', 'y-', 'z+', 'z-')"
 _DIGIT, _HEX, _UPPER = "0123456789", "0123456789abcdefABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WORD = _UPPER + _UPPER.lower() + _DIGIT + "_"

@@ -18,18 +18,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lowest_hashes, shared_dir, stage
+from .common import shared_dir, stage
 
 TAILS = 1024
 #: Symbols in a stretch of a training text; stretches of all texts cover every symbol.
 STRETCH = 512
-#: Expected counts of the middle's words are rounded to parts of so many, which compress well in shuffles.
-UNITS = 1 << 20
-SEQUENCES = "row long, doc_id long, held_out boolean, n_tokens long, symbols binary, tail string"
+#: Texts and symbols of a block, about; a longer text is a block of its own.
+BLOCK_TEXTS, BLOCK_SYMBOLS = 128, 1 << 16
+#: Symbols worked on at once, about.
+AT_ONCE = 1 << 18
+#: Shares by state of the middle's words travel as numbers of so many bits, three in a long.
+BITS = 21
+#: Frequent symbols whose shares part the texts for the first counts.
+SHOWN = 128
+BLOCKS = "block long, doc_id array<long>, held_out boolean, lengths array<int>, symbols binary, tails binary, words array<string>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -144,33 +151,58 @@ def lexicon(counts: DataFrame, texts: int, head: int, least: int = 4) -> Lexicon
 
 
 def sequences(docs: DataFrame, held_out: Column, lex: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Symbols of every text (16 bits each, the end last) and its words outside the head, one row per row."""
+    """Blocks of texts: the symbols of all (32 bits each, every text's end last), and the different words outside the head.
+
+    From ``lex.symbols`` on, symbols number these words; ``tails`` are their tail symbols.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
+    symbols = lex.symbols
+
+    class Block:
+        def __init__(self):
+            self.ids, self.codes, self.lengths, self.own, self.n = [], [], [], {}, 0
+
+        def add(self, doc_id: int | None, text: str | None, numbers: dict) -> None:
+            own = self.own
+            codes = [numbers[w] if w in numbers else symbols + own.setdefault(w, len(own)) for w in words(text)]
+            codes.append(0)
+            self.ids.append(doc_id)
+            self.codes.append(np.array(codes, dtype="<i4"))
+            self.lengths.append(len(codes))
+            self.n += len(codes)
+
+        def row(self, number: int, held: bool) -> pa.RecordBatch:
+            tails = np.array([tail_symbol(w) for w in self.own], dtype="<u2").tobytes()
+            found = [w.decode("utf-8", "replace") for w in self.own]
+            columns = [
+                pa.array([number], pa.int64()),
+                pa.array([self.ids], pa.list_(pa.int64())),
+                pa.array([held]),
+                pa.array([self.lengths], pa.list_(pa.int32())),
+                pa.array([np.concatenate(self.codes).tobytes()], pa.binary()),
+                pa.array([tails], pa.binary()),
+                pa.array([found], pa.list_(pa.string())),
+            ]
+            return pa.record_batch(columns, names=[c.split()[0] for c in BLOCKS.split(", ")])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, row = lex.numbers(), TaskContext.get().partitionId() << 33
-        first_tail = len(lex.counts)
+        numbers, number = lex.numbers(), TaskContext.get().partitionId() << 33
+        waiting = {True: Block(), False: Block()}
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch, n_tokens, symbols, tails = whole.slice(at, 512), [], [], []
-                for text in batch.column("text").to_pylist():
-                    found = words(text)
-                    codes = [numbers.get(w, 0) for w in found]
-                    rare = [w for w, c in zip(found, codes, strict=True) if not c]
-                    out = np.array([*codes, 0], dtype="<u2")
-                    if rare:
-                        out[:-1][out[:-1] == 0] = [first_tail + tail_symbol(w) for w in rare]
-                    n_tokens.append(len(out))
-                    symbols.append(out.tobytes())
-                    tails.append(b" ".join(rare).decode("utf-8", "replace"))
-                ids = pa.array(range(row, row + len(symbols)), pa.int64())
-                row += len(symbols)
-                yield pa.record_batch(
-                    [ids, batch.column("doc_id"), batch.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(symbols, pa.binary()), pa.array(tails, pa.string())],
-                    names=[c.split()[0] for c in SEQUENCES.split(", ")],
-                )
-
-    return rows.mapInArrow(encode, SEQUENCES)
+            for at in range(0, whole.num_rows, 128):
+                batch = whole.slice(at, 128)
+                for doc_id, held, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
+                    block = waiting[held]
+                    block.add(doc_id, text, numbers)
+                    if len(block.ids) >= BLOCK_TEXTS or block.n >= BLOCK_SYMBOLS:
+                        yield block.row(number, held)
+                        number, waiting[held] = number + 1, Block()
+        for held, block in waiting.items():
+            if block.ids:
+                yield block.row(number, held)
+                number += 1
+
+    return rows.mapInArrow(encode, BLOCKS)
 
 
 def in_buckets(rows: DataFrame, key: str, name: str) -> DataFrame:
@@ -198,49 +230,130 @@ def shuffles_end(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def tail_words(coded: DataFrame) -> DataFrame:
-    """(row, word): the distinct words of each text outside the head."""
-    return coded.select("row", F.explode(F.array_distinct(F.split("tail", " "))).alias("word")).where("word <> ''")
-
+def with_counts(blocks: DataFrame, counts: DataFrame, lex: Lexicon) -> tuple[DataFrame, DataFrame]:
+    """The blocks with ``known`` (place, n, number or -1) for their words that training texts hold, and the middle's places.
 
-def with_own(coded: DataFrame, pairs: DataFrame, table: DataFrame) -> DataFrame:
-    """``coded`` and, as ``own``, the rows of ``table`` (word, n, counts by state or null) for the words of each text.
-
-    No word outside the head is more frequent than the last of the head, so no key of the join is hot.
+    Words meet their counts once, here; from then on a word of the middle is a number.  No word outside
+    the head is more frequent than the last of the head, so no key of the joins is hot.
     """
-    found = pairs.join(table, "word").groupBy("row").agg(F.collect_list(F.struct("word", "n", "by_state")).alias("own"))
-    return coded.join(found, "row", "left")
+    places = blocks.select("block", "held_out", F.posexplode("words").alias("place", "word"))
+    number = F.when(lex.in_middle(), F.col("number")).otherwise(F.lit(-1).cast("long")).alias("number")
+    with shuffles_end(blocks.sparkSession):
+        found = stage(places.join(counts.select("word", "n", number), "word").select("block", "held_out", "place", "n", "number"), "places")
+    known = found.groupBy("block").agg(F.collect_list(F.struct("place", "n", "number")).alias("known"))
+    coded = in_buckets(blocks.drop("words").join(known, "block", "left"), "block", "blocks")
+    middle = found.where("number >= 0").select("number", "block", "held_out", "place")
+    return coded, in_buckets(middle, "number", "middle_places") if lex.middle else middle
+
+
+def with_own(coded: DataFrame, places: DataFrame, table: DataFrame, lex: Lexicon) -> DataFrame:
+    """``coded`` and, as ``own``, the packed shares of ``table`` for the middle's words in each block."""
+    packed = [c for c in table.columns if c.startswith("q")]
+    if not lex.middle:
+        return coded.withColumn("own", F.lit(None).cast("array<struct<place: int, " + ", ".join(f"{c}: bigint" for c in packed) + ">>"))
+    found = places.join(table, "number").groupBy("block").agg(F.collect_list(F.struct("place", *packed)).alias("own"))
+    return coded.join(found, "block", "left")
+
+
+def _parts(states: int) -> int:
+    return -(-states // 3)
+
+
+def _packed(names: list[str]) -> list[Column]:
+    """Columns of counts by state as shares of their sum, three of BITS bits in a long."""
+    total = sum((F.col(c) for c in names[1:]), F.col(names[0]))
+    units = [F.coalesce(F.round(F.col(c) / total * ((1 << BITS) - 1)).cast("long"), F.lit(0).cast("long")) for c in names]
+    out = []
+    for k in range(_parts(len(names))):
+        three = units[3 * k : 3 * k + 3]
+        column = three[0]
+        for i, u in enumerate(three[1:], 1):
+            column = column.bitwiseOR(F.shiftleft(u, BITS * i))
+        out.append(column.alias(f"q{k}"))
+    return out
 
 
 @dataclass
-class Own:
-    """Words of some texts that are not in the head, numbered from ``symbols`` on if they have emissions of their own."""
-
-    texts: list[np.ndarray]
-    words: list[str]  # with emissions
-    n: np.ndarray  # of these
-    by_state: np.ndarray  # of these
-    counts: dict[str, int]  # of all that are known
-
-
-def numbered(batch: pa.RecordBatch, symbols: int, states: int) -> Own:
-    texts = [np.frombuffer(s, dtype="<u2").astype(np.int32) for s in batch.column("symbols").to_pylist()]
-    rows = batch.column("own").flatten()
-    found, n = rows.field("word").to_pylist(), rows.field("n").to_numpy(zero_copy_only=False)
-    counts = dict(zip(found, n.tolist(), strict=True))
-    valid = np.flatnonzero(rows.field("by_state").is_valid().to_numpy(zero_copy_only=False))
-    by_state = rows.field("by_state").flatten().to_numpy(zero_copy_only=False).reshape(-1, states)
-    first = {found[j]: i for i, j in enumerate(valid.tolist())}
-    chosen = np.array(list(first.values()), dtype=np.int64)
-    numbers = {w: symbols + i for i, w in enumerate(first)}
-    if numbers:
-        first_tail = symbols - TAILS
-        for text, tail in zip(texts, batch.column("tail").to_pylist(), strict=True):
-            if tail:
-                at = np.flatnonzero(text >= first_tail)
-                own = np.array([numbers.get(w, 0) for w in tail.split(" ")], dtype=np.int32)
-                text[at] = np.where(own > 0, own, text[at])
-    return Own(texts, list(first), n[valid][chosen], by_state[chosen].astype(float), counts)
+class Texts:
+    """Some blocks' texts end to end; the middle's words are numbered from ``symbols`` on."""
+
+    doc_ids: list
+    lengths: np.ndarray
+    steps: np.ndarray  # symbols of all texts
+    outside: np.ndarray  # places in ``steps`` of words outside the head
+    n: np.ndarray  # counts of these
+    number: np.ndarray  # of the words with emissions of their own
+    own_n: np.ndarray
+    own: np.ndarray  # their counts by state
+
+
+def _rows_of(column: pa.Array, i: int) -> pa.StructArray:
+    start, end = column.offsets[i].as_py(), column.offsets[i + 1].as_py()
+    return column.values.slice(start, end - start)
+
+
+def _field(rows: pa.StructArray, name: str) -> np.ndarray:
+    return rows.field(name).to_numpy(zero_copy_only=False)
+
+
+def read_blocks(batches: Iterator[pa.RecordBatch], symbols: int, states: int) -> Iterator[Texts]:
+    """Blocks put together until they have about AT_ONCE symbols."""
+
+    def united(parts: list[Texts]) -> Texts:
+        steps, outside, own, at = [], [], 0, 0
+        for p in parts:
+            steps.append(np.where(p.steps >= symbols, p.steps + own, p.steps))
+            outside.append(p.outside + at)
+            own, at = own + len(p.number), at + len(p.steps)
+        joined = {c: np.concatenate([getattr(p, c) for p in parts]) for c in ("lengths", "n", "number", "own_n", "own")}
+        return Texts([i for p in parts for i in p.doc_ids], steps=np.concatenate(steps), outside=np.concatenate(outside), **joined)
+
+    waiting, size = [], 0
+    for batch in batches:
+        for i in range(batch.num_rows):
+            steps = np.frombuffer(batch.column("symbols")[i].as_py(), dtype="<i4").astype(np.int64)
+            mapped = symbols - TAILS + np.frombuffer(batch.column("tails")[i].as_py(), dtype="<u2").astype(np.int64)
+            n, number = np.zeros(len(mapped), dtype=np.int64), np.full(len(mapped), -1, dtype=np.int64)
+            known = _rows_of(batch.column("known"), i)
+            at = _field(known, "place")
+            n[at], number[at] = _field(known, "n"), _field(known, "number")
+            found = _rows_of(batch.column("own"), i) if "own" in batch.schema.names else None
+            if found is not None:
+                at = _field(found, "place").astype(np.int64)
+                words = np.stack([_field(found, f"q{k}") for k in range(_parts(states))], axis=1)
+                units = np.stack([(words[:, s // 3] >> (BITS * (s % 3))) & ((1 << BITS) - 1) for s in range(states)], axis=1)
+            else:
+                at, units = np.flatnonzero(number >= 0), np.zeros(((number >= 0).sum(), states))
+            mapped[at] = symbols + np.arange(len(at))
+            outside = np.flatnonzero(steps >= symbols)
+            local = steps[outside] - symbols
+            steps[outside] = mapped[local]
+            own = units * (n[at, None] / ((1 << BITS) - 1))
+            waiting.append(Texts(batch.column("doc_id")[i].as_py(), np.array(batch.column("lengths")[i].as_py(), dtype=np.int64), steps, outside, n[local], number[at], n[at], own))
+            size += len(steps)
+            if size >= AT_ONCE:
+                yield united(waiting)
+                waiting, size = [], 0
+    if waiting:
+        yield united(waiting)
+
+
+def time_major(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of all symbols of texts laid end to end: the first of each text, the second of each, and so on.
+
+    Gives the order, where each time begins in it, and the order of the texts: longest first, so that
+    the texts alive at a time are the first ones.
+    """
+    texts = np.argsort(-lengths, kind="stable")
+    rank = np.empty_like(texts)
+    rank[texts] = np.arange(len(texts))
+    begin = np.cumsum(lengths) - lengths
+    alive = len(lengths) - np.searchsorted(np.sort(lengths), np.arange(lengths.max()), side="right")
+    times = np.concatenate([[0], np.cumsum(alive)])
+    time = np.arange(lengths.sum()) - np.repeat(begin, lengths)
+    order = np.empty(len(time), dtype=np.int64)
+    order[times[time] + np.repeat(rank, lengths)] = np.arange(len(time))
+    return order, times, texts
 
 
 @dataclass
@@ -259,20 +372,21 @@ class Model:
         return Model(self.start, self.move, np.concatenate([self.emit, rows])) if len(rows) else self
 
     def log10_probability(self, texts: list[np.ndarray], width: int = 512) -> np.ndarray:
-        """Exact scaled forward recursion, texts of like length at once."""
+        """Exact scaled forward recursion, at once over ``width`` texts of like length, or fewer long ones."""
         out = np.zeros(len(texts))
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        for at in range(0, len(order), width):
-            chosen = order[at : at + width]
-            n = np.array([len(texts[i]) for i in chosen])
-            steps = np.zeros((n[0], len(chosen)), dtype=np.int64)
-            for j, i in enumerate(chosen):
-                steps[: n[j], j] = texts[i]
-            alive = len(chosen) - np.searchsorted(n[::-1], np.arange(n[0]), side="right")
+        while order:
+            chosen, size = [], 0
+            while len(chosen) < min(width, len(order)) and (not chosen or size + len(texts[order[len(chosen)]]) <= AT_ONCE):
+                size += len(texts[order[len(chosen)]])
+                chosen.append(order[len(chosen)])
+            order = order[len(chosen) :]
+            places, times, _ = time_major(np.array([len(texts[i]) for i in chosen]))
+            steps = np.concatenate([texts[i] for i in chosen])[places]
             total, now = np.zeros(len(chosen)), None
-            for t in range(n[0]):
-                k = alive[t]
-                now = (self.start if t == 0 else now[:k] @ self.move) * self.emit[steps[t, :k]]
+            for t in range(len(times) - 1):
+                k = times[t + 1] - times[t]
+                now = (self.start if t == 0 else now[:k] @ self.move) * self.emit[steps[times[t] : times[t + 1]]]
                 scale = now.sum(axis=1)
                 now /= scale[:, None]
                 total[:k] += np.log10(scale)
@@ -292,42 +406,46 @@ class Expected:
 
         Gives the emission counts of the further symbols, whose emissions are ``own``.
         """
-        emit = self.model.emit if own is None else np.concatenate([self.model.emit, own])
-        counts = np.zeros_like(emit)
-        texts = sorted(texts, key=len, reverse=True)
-        n = np.array([len(t) for t in texts])
-        if not len(n):
-            return counts[len(self.emit) :]
-        length, states = n[0], len(self.model.start)
-        steps = np.zeros((length, len(texts)), dtype=np.int64)
-        for j, t in enumerate(texts):
-            steps[: n[j], j] = t
-        alive = len(texts) - np.searchsorted(n[::-1], np.arange(length), side="right")
+        if not texts:
+            return np.zeros((0 if own is None else len(own), len(self.model.start)))
+        return self.add_steps(np.concatenate(texts), np.array([len(t) for t in texts]), own)
+
+    def add_steps(self, flat: np.ndarray, lengths: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+        model = self.model
+        emit = model.emit if own is None else np.concatenate([model.emit, own])
+        places, times, _ = time_major(lengths)
+        steps, last = flat[places], len(times) - 2
         seen = emit[steps]
-        alpha, scales = np.zeros((length, len(texts), states)), np.ones((length, len(texts)))
-        for t in range(length):
-            k = alive[t]
-            now = (self.model.start if t == 0 else alpha[t - 1, :k] @ self.model.move) * seen[t, :k]
-            scales[t, :k] = now.sum(axis=1)
-            alpha[t, :k] = now / scales[t, :k, None]
-        gamma, beta = alpha, np.ones((len(texts), states))
-        for t in range(length - 2, -1, -1):
-            k = alive[t + 1]
-            later = seen[t + 1, :k] * beta[:k] / scales[t + 1, :k, None]
-            self.move += self.model.move * (alpha[t, :k].T @ later)
-            gamma[t + 1] *= beta
-            beta[:k] = later @ self.model.move.T
-        gamma[0] *= beta
-        self.start += gamma[0].sum(axis=0)
-        inside = np.arange(length)[:, None] < n[None, :]
-        for s in range(states):
-            counts[:, s] = np.bincount(steps[inside], weights=gamma[:, :, s][inside], minlength=len(emit))
+        alpha, scales, beta = np.empty_like(seen), np.empty(len(steps)), np.ones_like(seen)
+        for t in range(last + 1):
+            here = slice(times[t], times[t + 1])
+            now = (model.start if t == 0 else alpha[times[t - 1] : times[t - 1] + here.stop - here.start] @ model.move) * seen[here]
+            scales[here] = scale = now.sum(axis=1)
+            np.divide(now, scale[:, None], out=alpha[here])
+        later = seen
+        later /= scales[:, None]
+        back = np.ascontiguousarray(model.move.T)
+        for t in range(last, 0, -1):
+            here = slice(times[t], times[t + 1])
+            later[here] *= beta[here]
+            beta[times[t - 1] : times[t - 1] + here.stop - here.start] = later[here] @ back
+        if last > 0:
+            alive = np.diff(times)
+            before = np.arange(times[1], len(steps)) - np.repeat(alive[:-1], alive[1:])  # the same texts a time earlier
+            self.move += model.move * (alpha[before].T @ later[times[1] :])
+        alpha *= beta  # the states' probabilities
+        self.start += alpha[: times[1]].sum(axis=0)
+        counts = np.stack([np.bincount(steps, weights=alpha[:, s], minlength=len(emit)) for s in range(alpha.shape[1])], axis=1)
         self.emit += counts[: len(self.emit)]
         return counts[len(self.emit) :]
 
 
-def _stretches(codes: np.ndarray) -> list[np.ndarray]:
-    return [codes[i : i + STRETCH] for i in range(0, len(codes), STRETCH)]
+def stretch_lengths(lengths: np.ndarray) -> np.ndarray:
+    """Lengths of the stretches of texts laid end to end."""
+    parts = -(-lengths // STRETCH)
+    out = np.full(parts.sum(), STRETCH, dtype=np.int64)
+    out[np.cumsum(parts) - 1] = lengths - (parts - 1) * STRETCH
+    return out
 
 
 def _maximised(start: np.ndarray, move: np.ndarray, emit: np.ndarray, common: np.ndarray, own_seen: np.ndarray, own_total: np.ndarray) -> Model:
@@ -342,112 +460,115 @@ def _maximised(start: np.ndarray, move: np.ndarray, emit: np.ndarray, common: np
     return Model(start, move / move.sum(axis=1, keepdims=True), (emit + mix * common[:, None]) / total, mix, total)
 
 
-def _first_model(sample: list[tuple[bytes, list[str]]], common: np.ndarray, states: int, middle: set[str]) -> tuple[Model, dict[str, np.ndarray]]:
-    """States from groups of sampled texts with like frequent symbols (k-means with fixed seeds), and the middle's counts."""
-    texts = [np.frombuffer(s, dtype="<u2") for s, _ in sample]
-    shown = np.argsort(-common, kind="stable")[:256]
-    first_tail = len(common) - TAILS
-    emit, own = np.zeros((len(common), states)), {}
-    if len(texts):
-        held = []  # symbols without the middle's words
-        for t, (_, tail) in zip(texts, sample, strict=True):
-            at = np.flatnonzero(t >= first_tail)
-            held.append(np.delete(t, [i for i, w in zip(at, tail, strict=False) if w in middle]))
-        x = np.array([np.sqrt(np.bincount(h, minlength=len(common))[shown] / len(t)) for h, t in zip(held, texts, strict=True)])
-        centres = [x[0]]
-        for _ in range(states - 1):  # the text farthest from all centres so far
-            centres.append(x[int(np.argmax(np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0)))])
-        c = np.array(centres)
-        for _ in range(20):
-            group = ((x[:, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
-            c = np.array([x[group == g].mean(axis=0) if (group == g).any() else c[g] for g in range(states)])
-        for h, t, (_, tail), g in zip(held, texts, sample, group, strict=True):
-            emit[:, g] += np.bincount(h, minlength=len(common))
-            for w in tail[: int((t >= first_tail).sum())]:
-                if w in middle:
-                    own.setdefault(w, np.zeros(states))[g] += 1
-    rows = np.array(list(own.values())).reshape(-1, states)
-    move = np.full((states, states), 0.1) + 9 * np.eye(states)
-    return _maximised(np.ones(states), move, emit, common, (rows > 0.5).sum(axis=0), rows.sum(axis=0)), own
-
-
-def _one_round(texts: DataFrame, model: Model, lex: Lexicon) -> tuple[Model, DataFrame]:
-    """Expected counts of all training texts, summed by symbol or word on the executors.
-
-    The driver gets one row per symbol; those of the middle stay a table.
+@dataclass
+class Sides:
+    """Texts by the side of the mean on which they lie along the main directions of their frequent symbols' shares."""
+
+    shown: np.ndarray  # by symbol: its column or -1
+    mean: np.ndarray
+    directions: np.ndarray
+
+    @staticmethod
+    def shares(steps: np.ndarray, lengths: np.ndarray, shown: np.ndarray) -> np.ndarray:
+        d = int(shown.max()) + 1
+        text = np.repeat(np.arange(len(lengths)), lengths)
+        inside = np.flatnonzero(steps < len(shown))
+        column = shown[steps[inside]]
+        key = text[inside[column >= 0]] * d + column[column >= 0]
+        return np.sqrt(np.bincount(key, minlength=len(lengths) * d).reshape(-1, d) / lengths[:, None])
+
+    def groups(self, steps: np.ndarray, lengths: np.ndarray, states: int) -> np.ndarray:
+        above = (self.shares(steps, lengths, self.shown) - self.mean) @ self.directions > 1e-9
+        return above @ (1 << np.arange(above.shape[1])) % states
+
+
+def _sides(trained: DataFrame, lex: Lexicon, states: int) -> Sides:
+    """Main directions from the second moments of all training texts, summed on the executors; the driver gets these sums."""
+    top = np.argsort(-lex.counts, kind="stable")[:SHOWN]
+    shown = np.full(len(lex.counts), -1, dtype=np.int64)
+    shown[top] = np.arange(len(top))
+    d, symbols = len(top) + 1, lex.symbols
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((d, d))
+        for t in read_blocks(batches, symbols, states):
+            x = Sides.shares(t.steps, t.lengths, shown)
+            x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
+            total += x.T @ x
+        yield pa.record_batch([pa.array(np.arange(d * d, dtype=np.int32)), pa.array(total.ravel())], names=["place", "v"])
+
+    found = trained.select("doc_id", "lengths", "symbols", "tails", "known").mapInArrow(moments, "place int, v double").groupBy("place").agg(F.sum("v").alias("v")).toArrow()
+    total = np.zeros(d * d)
+    total[found.column("place").to_numpy()] = found.column("v").to_numpy()
+    total = total.reshape(d, d) / max(1.0, total[0])
+    mean = total[0, 1:]
+    _, vectors = np.linalg.eigh(total[1:, 1:] - np.outer(mean, mean))
+    chosen = vectors[:, ::-1][:, : max(1, (states - 1).bit_length())]
+    chosen = chosen * np.sign(chosen[np.abs(chosen).argmax(axis=0), np.arange(chosen.shape[1])])
+    return Sides(shown, mean, chosen)
+
+
+def _one_round(texts: DataFrame, now: Model | Sides, lex: Lexicon, states: int) -> tuple[Model, DataFrame]:
+    """Counts of all training texts, summed by symbol or word on the executors.
+
+    From a model these are Baum-Welch's expected counts; from ``Sides`` each text is of one state.
+    The driver gets one row per symbol; those of the middle stay a table of packed shares.
     """
-    states, common, weight = len(model.start), lex.common(), lex.weight()
+    common, weight, symbols = lex.common(), lex.weight(), lex.symbols
     names = [f"s{i}" for i in range(states)]
-    # Rows below zero hold the start counts (-1) and the moves from state i (-2 - i); words have no symbol.
-    schema = "symbol int, word string, n long, " + ", ".join(f"{c} double" for c in names)
+    # Keys: symbols, and the middle's words after them; below zero the start counts (-1) and the moves from state i (-2 - i).
+    schema = "key long, " + ", ".join(f"{c} double" for c in names)
 
-    def rows(symbols: pa.Array, found: pa.Array, n: pa.Array, table: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([symbols, found, n, *(pa.array(np.ascontiguousarray(table[:, i])) for i in range(states))], names=["symbol", "word", "n", *names])
+    def rows(keys: np.ndarray, table: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(keys.astype(np.int64)), *(pa.array(np.ascontiguousarray(table[:, i])) for i in range(states))], names=["key", *names])
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Expected(model)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                own = numbered(whole.slice(at, 512), len(model.emit), states)
-                emit = model.own(own.by_state, (own.n + 0.5) / weight)
-                parts = sorted((p for t in own.texts for p in _stretches(t)), key=len)
-                counts = np.zeros_like(emit)
-                for i in range(0, len(parts), 512):
-                    counts += found.add(parts[i : i + 512], emit)
-                if own.words:
-                    counts = np.round(counts * UNITS) / UNITS
-                    yield rows(pa.nulls(len(own.words), pa.int32()), pa.array(own.words), pa.array(own.n, pa.int64()), counts)
+        first = isinstance(now, Sides)
+        found = Expected(Model(np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states))) if first else now)
+        for t in read_blocks(batches, symbols, states):
+            if first:
+                key = t.steps * states + np.repeat(now.groups(t.steps, t.lengths, states), t.lengths)
+                counts = np.bincount(key, minlength=(symbols + len(t.number)) * states).reshape(-1, states).astype(float)
+                found.emit += counts[:symbols]
+                counts = counts[symbols:]
+            else:
+                counts = found.add_steps(t.steps, stretch_lengths(t.lengths), now.own(t.own, (t.own_n + 0.5) / weight))
+            if len(t.number):
+                words, at = np.unique(t.number, return_inverse=True)
+                summed = np.stack([np.bincount(at, weights=counts[:, s], minlength=len(words)) for s in range(states)], axis=1)
+                yield rows(symbols + words, summed)
         used = np.flatnonzero(found.emit.any(axis=1))
-        keys = np.concatenate([[-1], -2 - np.arange(states), used]).astype(np.int32)
-        table = np.concatenate([found.start[None], found.move, found.emit[used]])
-        yield rows(pa.array(keys), pa.nulls(len(keys), pa.string()), pa.nulls(len(keys), pa.int64()), table)
+        yield rows(np.concatenate([[-1], -2 - np.arange(states), used]), np.concatenate([found.start[None], found.move, found.emit[used]]))
 
-    summed = texts.select("symbols", "tail", "own").mapInArrow(expect, schema).groupBy("symbol", "word", "n").agg(*[F.sum(c).alias(c) for c in names])
+    columns = [c for c in ("doc_id", "lengths", "symbols", "tails", "known", "own") if c in texts.columns]
+    summed = texts.select(*columns).mapInArrow(expect, schema).groupBy("key").agg(*[F.sum(c).alias(c) for c in names])
     with shuffles_end(texts.sparkSession):
-        counts = stage(summed, "expected") if lex.middle else summed
-    start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit)
-    for r in counts.where("symbol is not null").select("symbol", *names).collect():
-        values = np.array(r[1:], dtype=float)
-        if r["symbol"] >= 0:
-            emit[r["symbol"]] = values
-        elif r["symbol"] == -1:
-            start = values
-        else:
-            move[-2 - r["symbol"]] = values
-    own = counts.where("symbol is null")
+        counts = stage(summed, "expected")
+    few = counts.where(F.col("key") < symbols).toArrow()
+    keys, values = few.column("key").to_numpy(), np.stack([few.column(c).to_numpy() for c in names], axis=1).reshape(-1, states)
+    start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states))
+    emit[keys[keys >= 0]] = values[keys >= 0]
+    start += values[keys == -1].sum(axis=0)
+    move[-2 - keys[keys < -1]] = values[keys < -1]
+    if isinstance(now, Sides):  # states stay, mostly
+        start, move = np.ones(states), np.full((states, states), 0.1) + 9 * np.eye(states)
+    own = counts.where(F.col("key") >= symbols)
     seen, total = np.zeros(states), np.zeros(states)
     if lex.middle:
         r = own.agg(*[F.count(F.when(F.col(c) > 0.5, 1)) for c in names], *[F.coalesce(F.sum(c), F.lit(0.0)) for c in names]).first()
         seen, total = np.array(r[:states]), np.array(r[states:])
-    return _maximised(start, move, emit, common, seen, total), own.select("word", "n", _by_state(names))
-
-
-def _by_state(names: list[str]) -> Column:
-    return F.array(*[F.coalesce(F.col(c), F.lit(0.0)).cast("float") for c in names]).alias("by_state")
+    return _maximised(start, move, emit, common, seen, total), own.select((F.col("key") - symbols).alias("number"), *_packed(names))
 
 
-def train(coded: DataFrame, lex: Lexicon, counts: DataFrame, states: int, rounds: int, sample: int = 1000) -> tuple[Model, DataFrame]:
-    """``rounds`` of Baum-Welch over all training sequences, from groups of a bounded sample.
+def train(coded: DataFrame, places: DataFrame, lex: Lexicon, states: int, rounds: int) -> tuple[Model, DataFrame]:
+    """``rounds`` of Baum-Welch over all training texts, from counts that give each text to one state.
 
-    Gives the model and the middle's table (word, n, by_state).
+    Gives the model and the middle's table (number, packed shares by state).
     """
-    spark = coded.sparkSession
-    names = [f"s{i}" for i in range(states)]
-    trained = coded.where("not held_out")
-    middle = counts.where(lex.in_middle()).select("word", "n")
-    few = trained.where("n_tokens > 20").select("row", F.substring("symbols", 1, 2 * STRETCH).alias("s"), F.slice(F.split("tail", " "), 1, STRETCH).alias("tail"))
-    texts = [(r["row"], bytes(r["s"]), r["tail"]) for r in lowest_hashes(few, few.count(), sample, "row").collect()]
-    pairs, known = None, set()
-    if lex.middle:
-        pairs = in_buckets(tail_words(trained).join(middle.select("word"), "word", "left_semi"), "word", "middle_words")
-        drawn = spark.createDataFrame([(row,) for row, _, _ in texts], "row long")
-        known = {r["word"] for r in pairs.join(F.broadcast(drawn), "row", "left_semi").select("word").distinct().collect()}
-    model, first = _first_model([(s, tail) for _, s, tail in texts], lex.common(), states, known)
-    table = spark.createDataFrame([(w, *map(float, v)) for w, v in first.items()], "word string, " + ", ".join(f"{c} double" for c in names))
-    table = middle.join(table, "word", "left").select("word", "n", _by_state(names))
+    trained, held = coded.where("not held_out"), places.where("not held_out")
+    model, table = _one_round(trained, _sides(trained, lex, states), lex, states)
     for _ in range(rounds):
-        own = F.lit(None).cast("array<struct<word: string, n: bigint, by_state: array<float>>>")
-        model, table = _one_round(with_own(trained, pairs, table) if lex.middle else trained.withColumn("own", own), model, lex)
+        model, table = _one_round(with_own(trained, held, table, lex), model, lex, states)
     return model, table
 
 
@@ -456,27 +577,27 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base doubl
 
 def _score_sequences(texts: DataFrame, model: Model, lex: Lexicon) -> DataFrame:
     base, tails, weight = np.log10(lex.counts + 0.5), np.log10(lex.tail_total), lex.weight()
-    first_tail, states = len(lex.counts), len(model.start)
+    seen, first_tail, states = lex.counts > 0, len(lex.counts), len(model.start)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                own = numbered(batch, len(model.emit), states)
-                known, bases, shares = [], [], []
-                for t, tail in zip(own.texts, batch.column("tail").to_pylist(), strict=True):
-                    head, others = t[t < first_tail], t[t >= first_tail]
-                    n = np.array([own.counts.get(w, 0) for w in tail.split(" ")] if tail else [])
-                    weights, rare = np.log10(n + 0.5), others < len(model.emit)
-                    known.append(int((lex.counts[head] > 0).sum() + (n > 0).sum()))
-                    bases.append(float(base[head].sum() + weights.sum()))
-                    shares.append(float((weights[rare] - tails[others[rare] - first_tail]).sum()))
-                sequence = model.extended(model.own(own.by_state, (own.n + 0.5) / weight)).log10_probability(own.texts)
-                columns = [pa.array(known, pa.int64()), pa.array(bases, pa.float64()), pa.array(sequence + np.array(shares), pa.float64())]
-                kept = [batch.column(c) for c in ("doc_id", "held_out", "n_tokens")]
-                yield pa.record_batch([*kept, *columns], names=[c.split()[0] for c in SCORED.split(", ")])
-
-    return texts.select("doc_id", "held_out", "n_tokens", "symbols", "tail", "own").mapInArrow(score, SCORED)
+            held_out = whole.column("held_out")
+            for held in (False, True):
+                for t in read_blocks([whole.filter(pyarrow.compute.equal(held_out, held))], len(model.emit), states):
+                    begin = np.cumsum(t.lengths) - t.lengths
+                    head = np.where(t.steps < first_tail, t.steps, 0)
+                    bases, known, shares = base[head], seen[head].astype(np.int64), np.zeros(len(t.steps))
+                    weights, symbol = np.log10(t.n + 0.5), t.steps[t.outside]
+                    bases[t.outside], known[t.outside] = weights, t.n > 0
+                    rare = symbol < len(model.emit)
+                    shares[t.outside[rare]] = weights[rare] - tails[symbol[rare] - first_tail]
+                    sums = [np.add.reduceat(x, begin) for x in (known, bases, shares)]
+                    parts = np.split(t.steps, begin[1:])
+                    found = model.extended(model.own(t.own, (t.own_n + 0.5) / weight)).log10_probability(parts)
+                    columns = [pa.array(t.doc_ids, pa.int64()), pa.array([held] * len(parts)), pa.array(t.lengths), pa.array(sums[0]), pa.array(sums[1]), pa.array(found + sums[2])]
+                    yield pa.record_batch(columns, names=[c.split()[0] for c in SCORED.split(", ")])
+
+    return texts.select("doc_id", "held_out", "lengths", "symbols", "tails", "known", "own").mapInArrow(score, SCORED)
 
 
 def language_model_scores(
@@ -492,12 +613,13 @@ def language_model_scores(
     held_out = F.coalesce(held_out, F.lit(False))
     train_docs = docs.where(~held_out)
     with shuffles_end(docs.sparkSession):
-        counts = stage(word_counts(train_docs, text_col), "word-counts")
-    lex = lexicon(counts, train_docs.count(), head)
-    coded = in_buckets(sequences(docs, held_out, lex, id_col, text_col), "row", "sequences")
-    model, table = train(coded, lex, counts, states, rounds)
-    others = counts.where(~lex.in_middle()).select("word", "n", F.lit(None).cast("array<float>").alias("by_state"))
-    scored = _score_sequences(with_own(coded, tail_words(coded), table.unionByName(others)), model, lex)
+        # Numbers of words are fixed by what is written.
+        counts = stage(word_counts(train_docs, text_col).withColumn("number", F.monotonically_increasing_id()), "word-counts")
+        lex = lexicon(counts, train_docs.count(), head)
+        blocks = stage(sequences(docs, held_out, lex, id_col, text_col), "sequences")
+    coded, places = with_counts(blocks, counts, lex)
+    model, table = train(coded, places, lex, states, rounds)
+    scored = _score_sequences(with_own(coded, places, table, lex), model, lex)
     return scored.select(
         "doc_id",
         "held_out",

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -319,6 +320,31 @@ def test_forward_and_expected_counts_against_all_paths():
     assert np.allclose(found.emit, counts[0]) and np.allclose(found.move, counts[1]) and np.allclose(found.start, counts[2])
 
 
+def test_stretches_and_time_order():
+    lengths = np.array([1, 3 * hmm.STRETCH, 2, hmm.STRETCH + 1])
+    assert hmm.stretch_lengths(lengths).tolist() == [1, *[hmm.STRETCH] * 3, 2, hmm.STRETCH, 1]
+    order, times, texts = hmm.time_major(np.array([1, 3, 2]))
+    assert texts.tolist() == [1, 2, 0] and times.tolist() == [0, 3, 5, 6] and order.tolist() == [1, 4, 0, 2, 5, 3]
+
+
+def test_forward_over_a_very_long_text_beside_short_ones():
+    """Memory is that of all words, not of a rectangle as long as the longest text."""
+    rng = np.random.default_rng(5)
+    model = hmm.Model(np.array([0.3, 0.7]), np.array([[0.9, 0.1], [0.2, 0.8]]), rng.dirichlet(np.ones(6), 2).T)
+    texts = [rng.integers(0, 6, n) for n in (100_000, *[40] * 600)]
+    tracemalloc.start()
+    found = model.log10_probability(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    for i in (1, 600):
+        now = model.start * model.emit[texts[i][0]]
+        for s in texts[i][1:]:
+            now = (now @ model.move) * model.emit[s]
+        assert abs(found[i] - math.log10(now.sum())) < 1e-9
+    assert np.isfinite(found).all() and found[0] < 1000 * found[1:].max() / 40
+
+
 def check_language_model(rows, docs, learn):
     count = Counter()
     for i, text in docs:

@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logvars.operators.staging import run_folder
+
 from .common import shared_dir, stage
 
 TAILS = 1024
@@ -32,6 +34,8 @@ STRETCH = 512
 BLOCK_TEXTS, BLOCK_SYMBOLS = 128, 1 << 16
 #: Symbols worked on at once, about.
 AT_ONCE = 1 << 18
+#: Expected counts of the middle's words are summed in whole numbers of so many parts, mostly zeros, which compress well.
+UNITS = 1 << 16
 #: Shares by state of the middle's words travel as numbers of so many bits, three in a long.
 BITS = 21
 #: Frequent symbols whose shares part the texts for the first counts.
@@ -230,19 +234,50 @@ def shuffles_end(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+PACKED = "block long, doc_id array<long>, held_out boolean, lengths array<int>, symbols binary, tails binary, middle binary, rare binary"
+#: A word of the middle and a rarer one in their binary columns.
+MIDDLE, RARE = np.dtype([("place", "<i4"), ("n", "<i8"), ("number", "<i8")]), np.dtype([("place", "<i4"), ("n", "<i4")])
+
+
+def _known_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in PACKED.split(", ")]
+    for batch in batches:
+        columns = {"middle": [], "rare": []}
+        for i in range(batch.num_rows):
+            known = _rows_of(batch.column("known"), i)
+            place, n, number = (_field(known, c) for c in ("place", "n", "number"))
+            order = np.argsort(place)
+            for name, kind, at in (("middle", MIDDLE, order[number[order] >= 0]), ("rare", RARE, order[number[order] < 0])):
+                rows = np.empty(len(at), dtype=kind)
+                rows["place"], rows["n"] = place[at], n[at]
+                if name == "middle":
+                    rows["number"] = number[at]
+                columns[name].append(rows.tobytes())
+        yield pa.record_batch([pa.array(columns[c], pa.binary()) if c in columns else batch.column(c) for c in names], names=names)
+
+
+def _middle_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [np.frombuffer(m, dtype=MIDDLE) for m in batch.column("middle").to_pylist()]
+        sizes = [len(f) for f in found]
+        every = np.concatenate(found) if found else np.empty(0, dtype=MIDDLE)
+        columns = [every["number"], np.repeat(batch.column("block").to_numpy(), sizes), np.repeat(batch.column("held_out").to_numpy(zero_copy_only=False), sizes), every["place"]]
+        yield pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in columns], names=["number", "block", "held_out", "place"])
+
+
 def with_counts(blocks: DataFrame, counts: DataFrame, lex: Lexicon) -> tuple[DataFrame, DataFrame]:
-    """The blocks with ``known`` (place, n, number or -1) for their words that training texts hold, and the middle's places.
+    """The blocks with the counts of their words that training texts hold, and the places of the middle's words.
 
     Words meet their counts once, here; from then on a word of the middle is a number.  No word outside
     the head is more frequent than the last of the head, so no key of the joins is hot.
     """
-    places = blocks.select("block", "held_out", F.posexplode("words").alias("place", "word"))
+    places = blocks.select("block", F.posexplode("words").alias("place", "word"))
     number = F.when(lex.in_middle(), F.col("number")).otherwise(F.lit(-1).cast("long")).alias("number")
-    with shuffles_end(blocks.sparkSession):
-        found = stage(places.join(counts.select("word", "n", number), "word").select("block", "held_out", "place", "n", "number"), "places")
+    found = places.join(counts.select("word", "n", number), "word")
     known = found.groupBy("block").agg(F.collect_list(F.struct("place", "n", "number")).alias("known"))
-    coded = in_buckets(blocks.drop("words").join(known, "block", "left"), "block", "blocks")
-    middle = found.where("number >= 0").select("number", "block", "held_out", "place")
+    coded = blocks.drop("words").join(known, "block", "left").select("block", "doc_id", "held_out", "lengths", "symbols", "tails", "known")
+    coded = in_buckets(coded.mapInArrow(_known_packed, PACKED), "block", "blocks")
+    middle = coded.select("block", "held_out", "middle").mapInArrow(_middle_places, "number long, block long, held_out boolean, place int")
     return coded, in_buckets(middle, "number", "middle_places") if lex.middle else middle
 
 
@@ -297,7 +332,7 @@ def _field(rows: pa.StructArray, name: str) -> np.ndarray:
 
 
 def read_blocks(batches: Iterator[pa.RecordBatch], symbols: int, states: int) -> Iterator[Texts]:
-    """Blocks put together until they have about AT_ONCE symbols."""
+    """Blocks put together until they have about AT_ONCE symbols; counts of rare words are 0 where ``rare`` is left out."""
 
     def united(parts: list[Texts]) -> Texts:
         steps, outside, own, at = [], [], 0, 0
@@ -314,9 +349,11 @@ def read_blocks(batches: Iterator[pa.RecordBatch], symbols: int, states: int) ->
             steps = np.frombuffer(batch.column("symbols")[i].as_py(), dtype="<i4").astype(np.int64)
             mapped = symbols - TAILS + np.frombuffer(batch.column("tails")[i].as_py(), dtype="<u2").astype(np.int64)
             n, number = np.zeros(len(mapped), dtype=np.int64), np.full(len(mapped), -1, dtype=np.int64)
-            known = _rows_of(batch.column("known"), i)
-            at = _field(known, "place")
-            n[at], number[at] = _field(known, "n"), _field(known, "number")
+            middle = np.frombuffer(batch.column("middle")[i].as_py(), dtype=MIDDLE)
+            n[middle["place"]], number[middle["place"]] = middle["n"], middle["number"]
+            if "rare" in batch.schema.names:
+                rare = np.frombuffer(batch.column("rare")[i].as_py(), dtype=RARE)
+                n[rare["place"]] = rare["n"]
             found = _rows_of(batch.column("own"), i) if "own" in batch.schema.names else None
             if found is not None:
                 at = _field(found, "place").astype(np.int64)
@@ -497,7 +534,7 @@ def _sides(trained: DataFrame, lex: Lexicon, states: int) -> Sides:
             total += x.T @ x
         yield pa.record_batch([pa.array(np.arange(d * d, dtype=np.int32)), pa.array(total.ravel())], names=["place", "v"])
 
-    found = trained.select("doc_id", "lengths", "symbols", "tails", "known").mapInArrow(moments, "place int, v double").groupBy("place").agg(F.sum("v").alias("v")).toArrow()
+    found = trained.select("doc_id", "lengths", "symbols", "tails", "middle").mapInArrow(moments, "place int, v double").groupBy("place").agg(F.sum("v").alias("v")).toArrow()
     total = np.zeros(d * d)
     total[found.column("place").to_numpy()] = found.column("v").to_numpy()
     total = total.reshape(d, d) / max(1.0, total[0])
@@ -536,11 +573,11 @@ def _one_round(texts: DataFrame, now: Model | Sides, lex: Lexicon, states: int)
             if len(t.number):
                 words, at = np.unique(t.number, return_inverse=True)
                 summed = np.stack([np.bincount(at, weights=counts[:, s], minlength=len(words)) for s in range(states)], axis=1)
-                yield rows(symbols + words, summed)
+                yield rows(symbols + words, np.round(summed * UNITS) / UNITS)
         used = np.flatnonzero(found.emit.any(axis=1))
         yield rows(np.concatenate([[-1], -2 - np.arange(states), used]), np.concatenate([found.start[None], found.move, found.emit[used]]))
 
-    columns = [c for c in ("doc_id", "lengths", "symbols", "tails", "known", "own") if c in texts.columns]
+    columns = [c for c in ("doc_id", "lengths", "symbols", "tails", "middle", "own") if c in texts.columns]
     summed = texts.select(*columns).mapInArrow(expect, schema).groupBy("key").agg(*[F.sum(c).alias(c) for c in names])
     with shuffles_end(texts.sparkSession):
         counts = stage(summed, "expected")
@@ -597,7 +634,7 @@ def _score_sequences(texts: DataFrame, model: Model, lex: Lexicon) -> DataFrame:
                     columns = [pa.array(t.doc_ids, pa.int64()), pa.array([held] * len(parts)), pa.array(t.lengths), pa.array(sums[0]), pa.array(sums[1]), pa.array(found + sums[2])]
                     yield pa.record_batch(columns, names=[c.split()[0] for c in SCORED.split(", ")])
 
-    return texts.select("doc_id", "held_out", "lengths", "symbols", "tails", "known", "own").mapInArrow(score, SCORED)
+    return texts.select("doc_id", "held_out", "lengths", "symbols", "tails", "middle", "rare", "own").mapInArrow(score, SCORED)
 
 
 def language_model_scores(
@@ -612,12 +649,13 @@ def language_model_scores(
     """
     held_out = F.coalesce(held_out, F.lit(False))
     train_docs = docs.where(~held_out)
-    with shuffles_end(docs.sparkSession):
-        # Numbers of words are fixed by what is written.
-        counts = stage(word_counts(train_docs, text_col).withColumn("number", F.monotonically_increasing_id()), "word-counts")
-        lex = lexicon(counts, train_docs.count(), head)
-        blocks = stage(sequences(docs, held_out, lex, id_col, text_col), "sequences")
-    coded, places = with_counts(blocks, counts, lex)
+    with run_folder(docs.sparkSession):  # these tables go when all that is read later is written
+        with shuffles_end(docs.sparkSession):
+            # Numbers of words are fixed by what is written.
+            counts = stage(word_counts(train_docs, text_col).withColumn("number", F.monotonically_increasing_id()), "word-counts")
+            lex = lexicon(counts, train_docs.count(), head)
+            blocks = stage(sequences(docs, held_out, lex, id_col, text_col), "sequences")
+        coded, places = with_counts(blocks, counts, lex)
     model, table = train(coded, places, lex, states, rounds)
     scored = _score_sequences(with_own(coded, places, table, lex), model, lex)
     return scored.select(

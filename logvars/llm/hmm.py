@@ -234,7 +234,7 @@ def shuffles_end(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-PACKED = "block long, doc_id array<long>, held_out boolean, lengths array<int>, symbols binary, tails binary, middle binary, rare binary"
+PACKED = "block long, held_out boolean, middle binary, rare binary"
 #: A word of the middle and a rarer one in their binary columns.
 MIDDLE, RARE = np.dtype([("place", "<i4"), ("n", "<i8"), ("number", "<i8")]), np.dtype([("place", "<i4"), ("n", "<i4")])
 
@@ -266,7 +266,7 @@ def _middle_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def with_counts(blocks: DataFrame, counts: DataFrame, lex: Lexicon) -> tuple[DataFrame, DataFrame]:
-    """The blocks with the counts of their words that training texts hold, and the places of the middle's words.
+    """``blocks`` (in buckets) with the counts of their words that training texts hold, and the places of the middle's words.
 
     Words meet their counts once, here; from then on a word of the middle is a number.  No word outside
     the head is more frequent than the last of the head, so no key of the joins is hot.
@@ -275,9 +275,10 @@ def with_counts(blocks: DataFrame, counts: DataFrame, lex: Lexicon) -> tuple[Dat
     number = F.when(lex.in_middle(), F.col("number")).otherwise(F.lit(-1).cast("long")).alias("number")
     found = places.join(counts.select("word", "n", number), "word")
     known = found.groupBy("block").agg(F.collect_list(F.struct("place", "n", "number")).alias("known"))
-    coded = blocks.drop("words").join(known, "block", "left").select("block", "doc_id", "held_out", "lengths", "symbols", "tails", "known")
-    coded = in_buckets(coded.mapInArrow(_known_packed, PACKED), "block", "blocks")
-    middle = coded.select("block", "held_out", "middle").mapInArrow(_middle_places, "number long, block long, held_out boolean, place int")
+    packed = blocks.select("block", "held_out").join(known, "block", "left").mapInArrow(_known_packed, PACKED)
+    packed = in_buckets(packed, "block", "known_words")
+    coded = blocks.drop("words").join(packed.drop("held_out"), "block")
+    middle = packed.select("block", "held_out", "middle").mapInArrow(_middle_places, "number long, block long, held_out boolean, place int")
     return coded, in_buckets(middle, "number", "middle_places") if lex.middle else middle
 
 
@@ -654,7 +655,7 @@ def language_model_scores(
             # Numbers of words are fixed by what is written.
             counts = stage(word_counts(train_docs, text_col).withColumn("number", F.monotonically_increasing_id()), "word-counts")
             lex = lexicon(counts, train_docs.count(), head)
-            blocks = stage(sequences(docs, held_out, lex, id_col, text_col), "sequences")
+            blocks = in_buckets(sequences(docs, held_out, lex, id_col, text_col), "block", "blocks")
         coded, places = with_counts(blocks, counts, lex)
     model, table = train(coded, places, lex, states, rounds)
     scored = _score_sequences(with_own(coded, places, table, lex), model, lex)

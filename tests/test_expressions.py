@@ -1,6 +1,7 @@
 """Column expressions on tables of edge cases."""
 
 import ast
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +103,20 @@ def test_similarity(spark):
     df = spark.createDataFrame([("abcd", "bcde"), ("same", "same"), ("", "x")], "a string, b string")
     got = [r[0] for r in df.select(similarity.text_similarity(F.col("a"), F.col("b"))).collect()]
     assert got == pytest.approx([SequenceMatcher(None, a, b).ratio() for a, b in [("abcd", "bcde"), ("same", "same"), ("", "x")]])
+
+
+def test_regex_templates_by_pieces(spark):
+    cases = {
+        "\\\\(.*?)x$": "\\<*>x", "\\(.*?)(.*?)": "(.*?)<*>", "a\\\\$": "a\\", "a\\$": "a", "a$\n": "a$\n", "\\d\\.": "\\d.", "$": "", "": "", None: None,
+    }
+    assert column(spark, list(cases), tpl.from_regex_template(V)) == list(cases.values())
+
+
+def test_regex_templates_cost_little_per_line(spark):
+    """A text is cut into pieces once, not once for each of its pieces."""
+    texts = [r"\(.*?)" + r"(.*?) in memory on \(x\)\: " * 200, r"(.*?) in memory on \(x\)\: " * 200]
+    lines = spark.range(0, 2000, 1, 4).select(F.when(F.col("id") % 20 == 0, texts[0]).otherwise(texts[1]).alias("v"))
+    start = time.monotonic()
+    n = lines.select(tpl.from_regex_template(V).alias("t")).agg(F.sum(F.length("t")).alias("n")).first()["n"]
+    assert n == 2000 * 200 * len("<*> in memory on (x): ") + 100 * len("(.*?)")
+    assert time.monotonic() - start < 20

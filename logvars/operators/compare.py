@@ -11,6 +11,10 @@ from .numbering import number_by_file_order
 from .staging import stage
 
 
+#: Lines of one log that a task compares at once.
+PART_LINES = 200_000
+
+
 def adapt_regex_templates(rows: DataFrame, number_lines: bool = False) -> DataFrame:
     """Regex-template results in the common form; lines of a file scan can be numbered from 1."""
     named = rows.withColumn("EventTemplate", from_regex_template(F.col("RegexTemplate"))).drop("RegexTemplate")
@@ -26,11 +30,14 @@ def adapt_positional(rows: DataFrame) -> DataFrame:
 def exact_clusters(base: DataFrame, other: DataFrame) -> DataFrame:
     """(BaseTemplate, EventTemplate, n_lines): clusters of both parsers with the same lines.
 
-    Each side is shuffled once, by line; equal clusters are those whose overlap is as
+    Each side is shuffled once, by line, into parts of bounded size; equal clusters are those whose overlap is as
     large as both of them, so no line sets are collected.
     """
-    a = base.select("LineId", F.col("EventTemplate").alias("BaseTemplate")).repartition("LineId").distinct()
-    b = other.select("LineId", "EventTemplate").repartition("LineId").distinct()
+    spark = base.sparkSession
+    # Templates compress to nearly nothing on their way, so parts are counted in lines, not in bytes.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-max(base.count(), other.count()) // PART_LINES))
+    a = base.select("LineId", F.col("EventTemplate").alias("BaseTemplate")).repartition(parts, "LineId").distinct()
+    b = other.select("LineId", "EventTemplate").repartition(parts, "LineId").distinct()
     overlap = a.join(b, "LineId").groupBy("BaseTemplate", "EventTemplate").agg(F.count(F.lit(1)).alias("n_lines"))
     n_a = a.groupBy("BaseTemplate").agg(F.count(F.lit(1)).alias("n_a"))
     n_b = b.groupBy("EventTemplate").agg(F.count(F.lit(1)).alias("n_b"))

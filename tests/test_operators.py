@@ -389,3 +389,18 @@ def test_an_outlier_and_equal_lengths_leave_a_small_edge(spark):
     kept = sampling.token_budget_sample(stage(values, "values"), ["g"], 400_123, 5)
     found = kept.agg(F.count(F.lit(1)).alias("n"), F.max("first_line").alias("last")).first()
     assert (found["n"], found["last"]) == (400_123, 400_122)
+
+
+def test_clusters_are_compared_in_parts_of_bounded_size(spark, monkeypatch):
+    lines = spark.range(1000).select(F.col("id").alias("LineId"), F.concat(F.lit("t"), F.col("id") % 3).alias("EventTemplate"))
+    monkeypatch.setattr(compare, "PART_LINES", 10, raising=False)
+    found = compare.exact_clusters(lines, lines)
+    assert "hashpartitioning(LineId" in (plan := found._jdf.queryExecution().toString()) and ", 100)" in plan
+    assert sorted(map(tuple, found.collect())) == [("t0", "t0", 334), ("t1", "t1", 333), ("t2", "t2", 333)]
+
+
+def test_buckets_are_joined_with_written_tables(spark, sf):
+    from logvars.plans.catalog import QUERIES
+
+    # Neither values nor groups are made again below the join, so that no group is sorted as one key.
+    assert "Aggregate" not in QUERIES["prefix_buckets"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()

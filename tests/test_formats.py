@@ -7,6 +7,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from logvars.functions import formats as fm
 from logvars.operators import induce, match
 
 
@@ -133,3 +134,35 @@ def test_samples_are_json_lists_only(spark):
         )
         assert {r.Format for r in found.collect()} == {kept}
         assert rejected.count() == (answer is None or answer == "[1, 2")
+
+
+def test_literal_texts_in_order_are_what_the_pattern_matches(spark):
+    rnd = random.Random(5)
+    pieces = ["<D>", "<D>", "a", "b", "ab", "\n", "é", "$", "\r"]
+    text = lambda: "".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 5)))
+    formats = spark.createDataFrame([(f,) for f in {merged(text()) for _ in range(60)}], "Format string")
+    values = spark.createDataFrame([(v,) for v in {text() for _ in range(120)}], "value string")
+    pairs = formats.withColumn("regex", fm.to_regex(F.col("Format"))).crossJoin(values)
+    fit = fm.fits(F.col("value"), F.col("regex"), F.split("Format", fm.SLOT, -1))
+    rows = pairs.select("Format", "value", F.regexp_like("value", "regex").alias("want"), fit.alias("got")).collect()
+    assert any(r.want for r in rows) and [r for r in rows if r.want != r.got] == []
+
+
+def test_characters_of_a_part_are_a_part_of_the_mask(spark):
+    rows = spark.createDataFrame([("xaab", "axbab"), ("xaaab", "axbab"), ("", "axbab"), ("ééé", "aé<D>éé")], "part string, whole string")
+    part, whole = fm.character_mask(F.col("part")), fm.character_mask(F.col("whole"))
+    assert [r[0] for r in rows.select(part.bitwiseAND(whole) == part).collect()] == [True, False, True, True]
+
+
+def test_a_stretch_that_many_formats_share_is_not_chosen_for_its_kind(spark):
+    table = spark.createDataFrame([("g", f"<D>word{i}word<D>b") for i in range(200)], "GroupKey string, Format string")
+    kinds = {r.kind for r in match.format_index(table, "GroupKey").collect()}
+    assert kinds == {"middle"}
+
+
+def test_texts_of_one_partition_are_dealt_out(spark):
+    values = spark.createDataFrame([("g", f"a{i}") for i in range(400)], "GroupKey string, value string").coalesce(1)
+    formats = spark.createDataFrame([("g", "a<D>")], "GroupKey string, Format string").withColumn("regex", fm.to_regex(F.col("Format")))
+    found = match.fitting_formats(values, formats, "GroupKey")
+    assert found.where("_fit is not null").count() == 400
+    assert found.select(F.spark_partition_id()).distinct().count() > 1

@@ -92,3 +92,16 @@ def test_lines_of_no_set_are_a_set(spark):
     lines = logs_of(spark, ["Spark"]).withColumn("dataset", F.lit(None).cast("string"))
     found = run(lines, by="dataset")["formats"]
     assert {r.dataset for r in found.collect()} == {""} and found.count() > 0
+
+
+def test_lines_travel_once_and_lists_are_gathered_after_the_shuffle(spark):
+    rows = [(None, "t", ["a", "b"]), (3, "t", []), (3, "t", None), (3, "u", [None, "a"])]
+    extracted = stage(spark.createDataFrame(rows, "LineId long, NewTemplate string, ParameterList array<string>"), "lines")
+    known = [(0, "t", 0, "<C>", "a", "<D>", "a", ["a"], "Macro", 1, 1), (0, "t", 1, "<C>", "b", "<D>_<D>", "b_1", ["b", "1"], "Undecided", 1, 2)]
+    found = analysis.analysis_ready(extracted, stage(spark.createDataFrame(known, FORMATS), "formats"))
+    got = {(r.LineId, r.NewTemplate, tuple((p.pos, p.value, tuple(p.parts), p.format, p.type, p.matched) for p in r.params)) for r in found.collect()}
+    none = (0, None, (None,), "<D>", None, False), (1, "a", ("a",), "<D>", None, False)
+    first = (0, "a", ("a",), "<D>", "Macro", True), (1, "b_1", ("b", "1"), "<D>_<D>", "Undecided", True)
+    assert got == {(None, "t", first), (3, "t", ()), (3, "u", none)} and found.count() == 4
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [_line" in plan

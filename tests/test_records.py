@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from logvars.operators import analysis
+from logvars.operators import analysis, induce, staging
 from logvars.operators.staging import stage
 from logvars.plans.workflow import run
 
@@ -105,3 +105,31 @@ def test_lines_travel_once_and_lists_are_gathered_after_the_shuffle(spark):
     assert got == {(None, "t", first), (3, "t", ()), (3, "u", none)} and found.count() == 4
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [_line" in plan
+
+
+def test_list_columns_are_gathered_after_a_narrow_shuffle(spark):
+    rows = [
+        (1, "t", 0, "<C>", "b", "<D>", "b", ["b"], "Macro", 1, 5), (1, "t", 0, "<C>", "a", "<D>", "a", None, "Macro", 1, 5),
+        (1, "t", 0, "<C>", "(a)", "<D>", "a", ["a"], "Macro", 1, 2), (1, None, None, "<C>", None, "<D>", "a", ["a"], "Macro", 1, 1),
+        (2, "t", 1, "<C>", "a_1", "a_<D>", "a_1", ["1"], "Undecided", None, 3), (2, "t", 1, "<C>", "a_1", "a_<D>", "a_1", ["1"], "Undecided", None, 3),
+        (None, "t", 1, "<C>", "x", "<D>", "x", ["x"], "Macro", 1, 1),
+    ]
+    given = spark.createDataFrame(rows, FORMATS)
+    written = induce.stage_format_rows(given)
+    assert sorted(map(repr, written.collect())) == sorted(map(repr, given.collect()))
+    found = induce.nested_formats(written)
+    got = {(r.DynamicID, r.Template, r.GroupID, r.Chunk, tuple(r.Tokens), tuple(p and tuple(p) for p in r.ValueList)) for r in found.collect()}
+    assert got == {
+        (1, "t", 1, 0, ("(a)", "a", "b"), (("a",), None, ("b",))), (1, None, 1, 0, (None,), (("a",),)),
+        (2, "t", None, 0, ("a_1", "a_1"), (("1",), ("1",))),
+    } and found.count() == 3
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [_owner" in plan
+
+
+def test_staged_columns_that_others_tell_are_not_written(spark):
+    rows = spark.createDataFrame([("a", "a"), ("b", None), (None, "c"), (None, None), ("d", "e")], "token string, value string")
+    found = staging.stage_narrow(rows, "narrow", {"value": F.col("token")})
+    assert found.columns == rows.columns and sorted(map(repr, found.collect())) == sorted(map(repr, rows.collect()))
+    kept = spark.read.parquet(*found.inputFiles())
+    assert kept.where("value is not null").count() == 2

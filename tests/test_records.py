@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from logvars.operators import analysis, induce, staging
+from logvars.operators import analysis, induce, labels, staging
 from logvars.operators.staging import stage
 from logvars.plans.workflow import run
 
@@ -133,3 +133,11 @@ def test_staged_columns_that_others_tell_are_not_written(spark):
     assert found.columns == rows.columns and sorted(map(repr, found.collect())) == sorted(map(repr, rows.collect()))
     kept = spark.read.parquet(*found.inputFiles())
     assert kept.where("value is not null").count() == 2
+
+
+def test_label_sheet_needs_no_texts_of_lines(spark):
+    lines = [(2, "b <*>", "b <*>", ["x"]), (1, "b =<*>", "b <*>", ["y"]), (3, "c", "c", None)]
+    extracted = stage(spark.createDataFrame(lines, "LineId long, EventTemplate string, NewTemplate string, ParameterList array<string>"), "lines")
+    known = [(0, "b <*>", 0, "<C>", "x", "<D>", "x", ["x"], "Macro", 1, 2), (0, "b <*>", 0, "<C>", "y", "<D>", "y", ["y"], "Macro", 1, 1)]
+    sheet = labels.format_label_sheet(extracted, spark.createDataFrame(known, FORMATS)).collect()
+    assert [(r.OldTemplate, r.Content, r.Token, r.ValueList) for r in sheet] == [("b =<*>", "b y", "y", ["y"])]

@@ -141,3 +141,12 @@ def test_label_sheet_needs_no_texts_of_lines(spark):
     known = [(0, "b <*>", 0, "<C>", "x", "<D>", "x", ["x"], "Macro", 1, 2), (0, "b <*>", 0, "<C>", "y", "<D>", "y", ["y"], "Macro", 1, 1)]
     sheet = labels.format_label_sheet(extracted, spark.createDataFrame(known, FORMATS)).collect()
     assert [(r.OldTemplate, r.Content, r.Token, r.ValueList) for r in sheet] == [("b =<*>", "b y", "y", ["y"])]
+
+
+def test_parameters_without_format_are_counted_by_length(spark):
+    lines = [("t", ["a", "b"]), ("t", ["a", None]), ("t", ["a"]), ("t", []), ("t", None), (None, ["a"]), ("u", ["a"])]
+    extracted = spark.createDataFrame(lines, "NewTemplate string, ParameterList array<string>")
+    known = spark.createDataFrame([("u", 0)], "Template string, ParameterIndex int")
+    found = analysis.parameters_without_format(extracted, known)
+    assert {tuple(r) for r in found.select("NewTemplate", "pos", "n_lines").collect()} == {("t", 0, 3), ("t", 1, 2), (None, 0, 1)}
+    assert "posexplode" not in found._jdf.queryExecution().optimizedPlan().toString()

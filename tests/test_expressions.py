@@ -1,6 +1,7 @@
 """Column expressions on tables of edge cases."""
 
 import ast
+import random
 import time
 
 import pytest
@@ -120,3 +121,20 @@ def test_regex_templates_cost_little_per_line(spark):
     n = lines.select(tpl.from_regex_template(V).alias("t")).agg(F.sum(F.length("t")).alias("n")).first()["n"]
     assert n == 2000 * 200 * len("<*> in memory on (x): ") + 100 * len("(.*?)")
     assert time.monotonic() - start < 20
+
+
+def test_parts_are_the_captures(spark):
+    rnd = random.Random(7)
+    rows = []
+    for _ in range(400):
+        pieces = [rnd.choice(["", "a", "_", "ab", "aa", "é", ".", "$"]) for _ in range(rnd.randint(1, 5))]
+        value = "".join(p + rnd.choice(["", "a", "1", "_a_", "aab", "é.", "x\ny"]) * (i + 1 < len(pieces)) for i, p in enumerate(pieces))
+        rows.append((value, "<D>".join(pieces)))
+    rows += [("a\n", "a"), ("ab\n", "a<D>"), ("", ""), ("", "<D>")]
+    regex, pieces = fm.to_regex(F.col("f")), F.split("f", fm.SLOT, -1)
+    found = spark.createDataFrame(rows, "v string, f string").where(F.regexp_like(V, regex)).select(
+        "v", "f", fm.parts(V, regex, pieces).alias("parts"), fm.captures(V, regex, fm.count_slots(F.col("f"))).alias("want")
+    ).collect()
+    assert len(found) > 200
+    for r in found:
+        assert r.parts == r.want, r

@@ -166,3 +166,14 @@ def test_texts_of_one_partition_are_dealt_out(spark):
     found = match.fitting_formats(values, formats, "GroupKey")
     assert found.where("_fit is not null").count() == 400
     assert found.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_only_stretches_that_formats_may_have_become_rows(spark):
+    words = " ".join(f"w{i}" for i in range(500))
+    values = spark.createDataFrame([("g", words + " key end"), ("g", words + " lock end"), ("h", "key"), (None, words)], "GroupKey string, value string")
+    formats = spark.createDataFrame([("g", "<D> key <D>"), (None, "<D> w7 <D>")], "GroupKey string, Format string")
+    formats = formats.withColumn("regex", fm.to_regex(F.col("Format")))
+    met = match.candidate_formats(values, formats, "GroupKey").collect()
+    assert {(r.GroupKey, r.value) for r in met} == {(r.GroupKey, r.value) for r in values.collect()}
+    assert {(r.GroupKey, r._fit.Format) for r in met if r._fit} == {("g", "<D> key <D>"), (None, "<D> w7 <D>")}
+    assert len(met) < 100  # 500 words each, most of them in no format

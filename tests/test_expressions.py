@@ -12,6 +12,7 @@ from logvars.functions import literals
 from logvars.functions import predicates as p
 from logvars.functions import similarity
 from logvars.functions import templates as tpl
+from logvars.operators import analysis, induce
 
 
 def column(spark, values, *exprs):
@@ -138,3 +139,21 @@ def test_parts_are_the_captures(spark):
     assert len(found) > 200
     for r in found:
         assert r.parts == r.want, r
+
+
+def test_scans_before_patterns_change_no_outcome(spark):
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice(["a", "B", "1", ".", "..", "/", "\\", ":", "://", "<D", ">", "-", "_", " ", "=", "é", "\n"])
+                     for _ in range(rnd.randint(0, 7))) for _ in range(1500)]
+    texts += ["h.x:80", "a.b.c", "C:/x", "00:1b:44:11:3a:b7", "wait....7", "http://x", None]
+    plain = {"host": V.rlike(p.HOST_PORT), "path": V.rlike(p.PATH), "dot": V.rlike(p.DOT_SUFFIX), "segments": F.split(V, "[_-]", -1)}
+    whole = V.rlike("<D|D>") | V.rlike(induce.URL) | V.rlike(induce.DOTTED) | V.rlike(induce.MAC) | V.rlike(p.PATH) | (V == "")
+    plain["kind"] = F.when(V.rlike(p.HOST_PORT), "joined").when(whole, "whole").when(V.rlike(induce.JOINED), "joined").otherwise("parts")
+    made = {"host": p.is_host_port(V), "path": p.is_path(V), "dot": p.is_dot_suffix(V), "segments": induce.segments(V), "kind": induce.kind_of(V)}
+    columns = [c.alias(f"{k}_{n}") for n, cs in enumerate([plain, made]) for k, c in cs.items()]
+    for r in spark.createDataFrame([(t,) for t in texts], "v string").select("v", *columns).collect():
+        for k in plain:
+            assert r[f"{k}_0"] == r[f"{k}_1"], (k, r)
+    # Patterns come after a scan, and formats of lines are not tested again.
+    assert "contains" in str(made["host"]) and "contains" in str(made["path"])
+    assert "RLIKE" not in str(analysis._settled(F.col("x"), F.col("r"))).upper()

@@ -150,3 +150,27 @@ def test_parameters_without_format_are_counted_by_length(spark):
     found = analysis.parameters_without_format(extracted, known)
     assert {tuple(r) for r in found.select("NewTemplate", "pos", "n_lines").collect()} == {("t", 0, 3), ("t", 1, 2), (None, 0, 1)}
     assert "posexplode" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_format_rows_are_shuffled_once_without_what_tokens_tell(spark):
+    lines = [(i, "a <*> b <*>", [f"x{i}_{i}", "hot"]) for i in range(300)]
+    extracted = stage(spark.createDataFrame(lines, "LineId long, NewTemplate string, ParameterList array<string>"), "lines")
+    known = [(0, "a <*> b <*>", 0, "<C>", f"x{i}_{i}", "x<D>_<D>", f"x{i}_{i}", [str(i), str(i)], "Undecided", 1, i) for i in range(299)]
+    # A later row of a token does not count, in any copy of a hot key.
+    known += [(1, "a <*> b <*>", 1, "<C>,", "hot", "<D>", "HOT", ["HOT"], "Macro", 2, 0), (2, "a <*> b <*>", 1, "<C>", "hot", "z", "z", ["z"], "Macro", 2, 0)]
+    formats = stage(spark.createDataFrame(known, FORMATS), "formats")
+    found = {r.LineId: [(p.value, p.parts, p.format, p.type, p.matched) for p in r.params] for r in analysis.analysis_ready(extracted, formats).collect()}
+    hot = ("HOT", ["HOT"], "<D>,", "Macro", True)
+    want = {i: [(f"x{i}_{i}", [str(i), str(i)], "x<D>_<D>", "Undecided", True), hot] for i in range(299)}
+    assert found == {**want, 299: [("x299_299", ["x299_299"], "<D>", None, False), hot]}
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        plan = analysis.analysis_ready(extracted, formats)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # Parameters and format rows by token, and lines.
+    assert plan.count("Exchange hashpartitioning") == 3, plan

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from logvars.functions import templates as tpl
-from logvars.operators import analysis, classify, extract, variables
+from logvars.operators import analysis, classify, extract, induce, variables
 from logvars.operators.staging import stage
 from logvars.plans.workflow import run
 
@@ -39,6 +39,28 @@ def test_normalised_values_are_cut_by_code_that_is_compiled(spark):
     assert cut["n=0x00000007"] == "0x00000007" and cut["a=17"] == "17" and cut["p10.0.0.7"] == "p10.0.0.7"
 
 
+def staged_names(monkeypatch, modules):
+    """Names of the tables that the modules stage from now on."""
+    names = []
+
+    def keep(df, name, *how):
+        names.append(name)
+        return stage(df, name, *how)
+
+    for module in modules:
+        monkeypatch.setattr(module, "stage", keep)
+    return names
+
+
+def test_values_are_shaped_once_for_formats_and_records(spark, monkeypatch):
+    names = staged_names(monkeypatch, [induce])
+    lines = spark.createDataFrame([(i, f"run rdd_{i}_{i % 3} of u{i}-x", "run <*> of <*>") for i in range(30)], LINES)
+    result = run(lines, "Spark", until="analysis")
+    formats = {(r.Template, r.ParameterIndex, r.Token): r.ComponentFormat for r in result["formats"].collect()}
+    assert len(formats) == 60 and {formats["run <*> of <*>", 0, "rdd_7_1"], formats["run <*> of <*>", 1, "u7-x"]} == {"rdd_<D>_<D>", "u<D>-x"}
+    assert names.count("shaped") == names.count("models") == 1
+
+
 def test_items_of_short_and_long_lists_are_made_alike(spark):
     lists = [None, [], ["a"], ["a", None, "c"], list("abcdefgh"), list("abcdefghi"), list("abcdefghijklmnop")]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "id int, v array<string>")

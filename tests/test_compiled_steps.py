@@ -5,8 +5,9 @@ import re
 from pyspark.sql import functions as F
 
 from logvars.functions import templates as tpl
-from logvars.operators import analysis, classify, extract, induce, variables
+from logvars.operators import analysis, classify, extract, groups, induce, variables
 from logvars.operators.staging import stage
+from logvars.plans import catalog
 from logvars.plans.workflow import run
 
 LINES = "LineId long, Content string, EventTemplate string"
@@ -61,6 +62,12 @@ def test_values_are_shaped_once_for_formats_and_records(spark, monkeypatch):
     assert names.count("shaped") == names.count("models") == 1
 
 
+def test_contained_pairs_are_found_once_for_groups_and_texts(spark, sf, monkeypatch):
+    names = staged_names(monkeypatch, [groups])
+    assert catalog.containment_texts(spark, sf).count() > 0
+    assert names.count("prefix-hashes") == 1
+
+
 def test_items_of_short_and_long_lists_are_made_alike(spark):
     lists = [None, [], ["a"], ["a", None, "c"], list("abcdefgh"), list("abcdefghi"), list("abcdefghijklmnop")]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "id int, v array<string>")
